@@ -149,7 +149,15 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         yield from (m.span() for m in GERMAN.finditer(text))
 
 
-CITY = re.compile(rf"(?:,?\s(?:Apt\.?|Flat|Unit)\s\d+)?(?:,\s\d{{5}}\s{_CAP}(?:\s{_CAP})?|[,\n]\s?{_CAP}(?:\s{_CAP})?(?:\s\d{{5}})?|,\s[a-z]+(?:\s[a-z]+)?(?=[,;.]|\s\d{{5}})(?:\s\d{{5}})?)?")
+#: What may follow a street: a unit, a town, a postal code.  A town in small letters only after a street in small letters.
+_FLAT = r"(?:,?\s(?:Apt\.?|Flat|Unit)\s\d+)?"
+CITY = re.compile(rf"{_FLAT}(?:,\s\d{{5}}\s{_CAP}(?:\s{_CAP})?|[,\n]\s?{_CAP}(?:\s{_CAP})?(?:\s\d{{5}})?)?")
+CITY_LOW = re.compile(rf"{_FLAT}(?:,\s[a-z]{{4,}}(?:\s[a-z]+)?(?=[,;.]|\s\d{{5}}|\sthis\b)(?:\s\d{{5}})?)?")
+
+
+def address_end(text: str, a: int, b: int) -> int:
+    return (CITY_LOW if text[a:b].islower() else CITY).match(text, b).end()
+
 
 # ---- names --------------------------------------------------------------------------------------------------
 #: Common given names of people, lower case.
@@ -231,7 +239,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     runs = [(max(0, m.start() - 8), m.end() + 6) for m in RUN.finditer(text)]
     for a, b in runs:
         add((m.span() for m in IDENTITY.finditer(text, a, b) if identity_valid(m.lastgroup if m.lastgroup != "s" else "ssn", m, text)), "identity")
-    add(((a, CITY.match(text, b).end()) for a, b in addresses(text)), "address")
+    add(((a, address_end(text, a, b)) for a, b in addresses(text)), "address")
     for a, b in runs:
         add((m.span() for m in PHONE.finditer(text, a, b) if phone_valid(m.lastgroup or "", m.group())), "phone")
     words = set(text.lower().translate(_PUNCTUATION).split())

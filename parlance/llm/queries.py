@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parlance.llm import split, threads
+from parlance.llm import pii, split, threads
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Key of the pseudonyms in the queries; a deployment passes its own secret.
+DEMO_KEY = b"parlance demonstration key"
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of personal information in the messages."""
+    found = pii.occurrences(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"))
+    return found.select(F.col("key").alias("row_id"), "pii_type", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All messages with typed placeholders in place of personal information."""
+    return pii.redacted(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"), DEMO_KEY).withColumnRenamed("key", "row_id")
+
+
 def _rules(spark: SparkSession, d: str) -> tuple[int, int]:
     """Limit and overlap for messages: parameters, from a table of one row per item kind."""
     row = table(spark, d, "split_rules").where("item_kind = 'campaign_message'").select("max_chars", "overlap_chars").first()
@@ -39,6 +54,7 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
 }
 
