@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parlance.llm import pii, split, threads
+from parlance.llm import names, pii, split, threads
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,15 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return threads.rebuild(table(spark, d, "campaign_messages"), table(spark, d, "campaign_meta"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of spellings of one character in a campaign."""
+    return names.variant_pairs(table(spark, d, "campaign_messages"), table(spark, d, "name_corrections"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
+    "p5_found": p5_found,
 }
 
 _ROLE = r"""CASE WHEN c IS NULL OR regexp_replace(c, '\s+', '', 'g') = '' THEN NULL WHEN lower(trim(c)) = 'dice roller' THEN 'dice'
