@@ -277,8 +277,10 @@ def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float
     whole = banded.df.where("full IS NULL")
     a, b = whole.select("key", F.col("id").alias("a")), whole.select("key", F.col("id").alias("b"))
     near = a.join(b, "key").where("a < b").select("a", "b")
-    short = banded.df.where("NOT full").select("key", F.col("id").alias("a"))
-    near = near.unionByName(short.join(banded.df.where("full").select("key", F.col("id").alias("b")), "key").select("a", "b")).distinct()
+    single = banded.df.where("full IS NOT NULL")
+    short = single.where("NOT full").select("key", F.col("id").alias("a"))
+    near = near.unionByName(short.join(single.select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b"))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

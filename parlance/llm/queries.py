@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from parlance.llm import names, pii, split, threads
+from parlance.llm import names, pii, split, subjects, threads
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,32 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "campaign_messages"), table(spark, d, "name_corrections"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every subject that at least a quarter of a document's sentences are about."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, characters and share of the characters by subject; a document on two subjects counts half for each."""
+    found = _subjects(spark, d).select("doc_id", "subject")
+    each = found.groupBy("doc_id").agg(F.collect_list("subject").alias("subjects"))
+    size = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    spread = size.join(each, "doc_id", "left").select(
+        F.explode(F.coalesce("subjects", F.array(F.lit("none")))).alias("subject"),
+        (F.col("chars") / F.coalesce(F.size("subjects"), F.lit(1))).alias("chars"),
+    )
+    total = spread.groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("chars")).cast("long").alias("n_chars"))
+    return total.withColumn("share", F.round(F.col("n_chars") / F.sum("n_chars").over(W.partitionBy(F.lit(0))), 4))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
-    "p5_found": p5_found,
+    "p5_found": p5_found, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
 _ROLE = r"""CASE WHEN c IS NULL OR regexp_replace(c, '\s+', '', 'g') = '' THEN NULL WHEN lower(trim(c)) = 'dice roller' THEN 'dice'
