@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from parlance.llm import names, pii, split, subjects, threads
+from parlance.llm import mixing, names, packing, pii, split, subjects, threads, tokens
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "campaign_messages"), table(spark, d, "name_corrections"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of each capacity."""
+    sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+    kinds = {r.container_kind: r.capacity_tokens for r in table(spark, d, "pack_containers").collect()}
+    return packing.pack(sizes, F.col("key"), F.col("n_tokens"), kinds).withColumnRenamed("key", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    packed = p7_packed(spark, d).groupBy("container_kind").agg(
+        F.count_distinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")
+    )
+    full = packed.join(F.broadcast(table(spark, d, "pack_containers")), "container_kind")
+    return full.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every mix in their order."""
+    sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), ("source",))
+    return mixing.mix(sizes, table(spark, d, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of every mix."""
+    return mixing.shares(p8_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Shares when each mix is as large as its sources together: small sources reach what their repeats allow."""
+    sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), ("source",))
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets, total="held"), targets)
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
 
@@ -83,7 +117,9 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
-    "p5_found": p5_found, "p9_found": p9_found, "p9_composition": p9_composition,
+    "p5_found": p5_found,
+    "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
+    "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
 _ROLE = r"""CASE WHEN c IS NULL OR regexp_replace(c, '\s+', '', 'g') = '' THEN NULL WHEN lower(trim(c)) = 'dice roller' THEN 'dice'
