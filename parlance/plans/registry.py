@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import records
+from parlance.plans import basic, records
 
-FLAGSHIP = "p4_found"
-MODULES = (records,)
+FLAGSHIP = "time_intervals"
+MODULES = (records, basic)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
