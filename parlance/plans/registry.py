@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import basic, records
+from parlance.plans import analysis, basic, records
 
 FLAGSHIP = "time_intervals"
-MODULES = (records, basic)
+MODULES = (records, basic, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
