@@ -86,7 +86,8 @@ def judge_overall(response: Column) -> Column:
 
 def judge_character(response: Column, character: Column) -> Column:
     """Map from dimension to the score in a character's section; ``N/A`` is null, missing dimensions are absent."""
-    section = F.regexp_extract(response, F.concat(F.lit(r"(?is)\Q"), character, F.lit(r"\E:\s*\n(.*?)(?=\n\w+:|### |\z)")), F.lit(1))
+    pattern = F.concat(F.lit(r"(?is)\Q"), character, F.lit(r"\E:\s*\n(.*?)(?=\n\w+:|### |\z)"))
+    section = F.call_function("regexp_extract", response, pattern, F.lit(1))
     raw = F.array(*(F.struct(F.lit(d).alias("k"), F.nullif(F.regexp_extract(section, rf"(?i)-\s*{d}:\s*(\d|N/A)", 1), F.lit("")).alias("v")) for d in DIMENSIONS))
     kept = F.filter(raw, lambda e: e["v"].isNotNull())
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("k"), e["v"].try_cast("int").alias("v"))))
@@ -129,7 +130,7 @@ def character_sheets(response: str | None, names: list[str]) -> list[dict[str, o
     current: dict[str, object] | None = None
     for line in map(str.strip, (response or "").split("\n")):
         head, colon, value = line.partition(":")
-        name = head.strip().strip("*#").strip().removeprefix("[").removesuffix("]").split(" (", 1)[0].strip()
+        name = head.strip().strip("*#").strip().split(" (", 1)[0].strip().removeprefix("[").removesuffix("]").strip()
         if colon and name.lower() in known:
             current = {"Name": known[name.lower()]}
             sheets.append(current)
@@ -158,8 +159,7 @@ def final_response(response: str) -> str:
     return rest
 
 
-@F.pandas_udf("string")
-def final_response_or_null(response: pd.Series) -> pd.Series:
+def final_response_or_null(response: Column) -> Column:
     """As :func:`final_response`, null where it would fail."""
 
     def one(text: str | None) -> str | None:
@@ -168,4 +168,8 @@ def final_response_or_null(response: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return response.map(one)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(response)

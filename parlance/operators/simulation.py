@@ -108,5 +108,6 @@ def system_prompt(name: str, mean: float, median: float, deviation: float) -> st
 def system_prompts(turns: DataFrame) -> DataFrame:
     """The system prompt of each campaign from its post lengths, with the population deviation."""
     s = turns.groupBy("campaign_id").agg(F.avg("word_count").alias("m"), F.median("word_count").alias("d"), F.stddev_pop("word_count").alias("p"))
-    text = F.format_string("You take part in the game %s. Posts have %.0f words on average (median %.0f, standard deviation %.0f).", "campaign_id", "m", "d", "p")
+    whole = [F.floor(F.col(c) + 0.5) for c in ("m", "d", "p")]
+    text = F.format_string("You take part in the game %s. Posts have %d words on average (median %d, standard deviation %d).", "campaign_id", *whole)
     return s.select("campaign_id", text.alias("prompt"))
