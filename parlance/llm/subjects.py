@@ -289,8 +289,10 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
                     y = _embed(ids, ends, load.value)
                     y = y[np.linalg.norm(y, axis=1) > opt.energy]
                     if len(y):
-                        best = (_unit(y) @ sent.value[lang].T).argmax(axis=1)
-                        out[lang * k : lang * k + k] += _sum_rows(best, y, k)
+                        # A subject without a seed in this language has no direction and attracts nothing.
+                        cosine = _unit(y) @ sent.value[lang].T
+                        near = cosine.max(axis=1) > 0
+                        out[lang * k : lang * k + k] += _sum_rows(cosine[near].argmax(axis=1), y[near], k)
             return out
 
         new = _gather(coded, refine, shape).reshape(n_lang, -1, COMPONENTS)
