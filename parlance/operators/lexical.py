@@ -13,37 +13,40 @@ BLOCK = 256
 
 
 def player_words(turns: DataFrame, session_turns: int = 5) -> DataFrame:
-    """Distinct words per player and block session: ``campaign_id, session, player, word``; word null if none.
+    """Distinct words per player and block session: ``campaign_id, session, player, words``.
 
-    Messages without text or player take no part; campaigns with fewer than two players drop out.
+    Messages without text or player take no part; campaigns with fewer than two players drop out.  A row holds the
+    words of at most ``session_turns`` messages.
     """
     rows = turns.where("text IS NOT NULL AND player IS NOT NULL").select(
         "campaign_id", F.floor(F.col("turn_idx") / session_turns).alias("session"), "player", vocabulary(F.col("text")).alias("words")
     )
-    several = rows.groupBy("campaign_id").agg(F.count_distinct("player").alias("n")).where("n >= 2").select("campaign_id")
-    rows = rows.join(several, "campaign_id", "left_semi")
-    return rows.select("campaign_id", "session", "player", F.explode_outer("words").alias("word")).distinct()
+    sets = rows.groupBy("campaign_id", "session", "player").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    several = sets.groupBy("campaign_id").agg(F.min("player").alias("a"), F.max("player").alias("b")).where("a <> b").select("campaign_id")
+    return sets.join(several, "campaign_id", "left_semi")
 
 
 def session_jaccard(words: DataFrame) -> DataFrame:
     """Each player's words against the others' together, averaged over the players of a session with at least two.
 
-    With c the number of players of the session that use a word, a player shares the words with c >= 2, and the
-    union is all words of the session, so no pairs of players are formed.
+    The union is all words of the session for every player.  A session is a few messages, so its sets are compared
+    inside one row; no pairs of rows are formed.
     """
-    used = words.groupBy("campaign_id", "session", "word").agg(F.count("*").alias("c"))
-    session = words.groupBy("campaign_id", "session").agg(F.count_distinct("player").alias("players"), F.count_distinct("word").alias("union"))
-    shared = words.join(used, ["campaign_id", "session", "word"]).where("word IS NOT NULL AND c >= 2")
-    total = shared.groupBy("campaign_id", "session").agg(F.count("*").alias("shared"))
-    joined = session.where("players >= 2").join(total, ["campaign_id", "session"], "left")
-    value = F.coalesce("shared", F.lit(0)) / F.greatest(F.col("union"), F.lit(1)) / F.col("players")
-    return joined.select("campaign_id", "session", "players", F.round(value, 6).alias("jaccard"))
+    held = words.groupBy("campaign_id", "session").agg(F.collect_list(F.struct("player", "words")).alias("p"))
+    others = lambda me: F.flatten(F.transform(F.filter("p", lambda q: q["player"] != me["player"]), lambda q: q["words"]))
+    shared = F.aggregate(F.transform("p", lambda me: F.size(F.array_intersect(me["words"], others(me)))), F.lit(0), lambda s, x: s + x)
+    union = F.size(F.array_distinct(F.flatten(F.transform("p", lambda q: q["words"]))))
+    players = F.size("p")
+    value = shared / F.greatest(union, F.lit(1)) / players
+    return held.where(players >= 2).select("campaign_id", "session", players.cast("long").alias("players"), F.round(value, 6).alias("jaccard"))
 
 
 def vocabulary_sizes(words: DataFrame) -> DataFrame:
-    return words.groupBy("campaign_id", "player").agg(
-        F.count_distinct("word").alias("vocabulary"), F.count_distinct("session").alias("sessions")
-    )
+    """Distinct words and sessions of each player of a campaign."""
+    each = words.select("campaign_id", "player", F.explode("words").alias("word")).groupBy("campaign_id", "player").agg(F.count_distinct("word").alias("v"))
+    sessions = words.groupBy("campaign_id", "player").agg(F.count("*").alias("sessions"))
+    joined = sessions.join(each, ["campaign_id", "player"], "left")
+    return joined.select("campaign_id", "player", F.coalesce("v", F.lit(0)).alias("vocabulary"), "sessions")
 
 
 def self_jaccard(words: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def self_jaccard(words: DataFrame) -> DataFrame:
 
     The pairs are summed up inside blocks of sessions against blocks of sessions; only sums leave a task.
     """
-    sets = words.where("word IS NOT NULL").groupBy("campaign_id", "player", "session").agg(F.collect_set(F.xxhash64("word")).alias("words"))
+    sets = words.where(F.size("words") > 0).withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
     key = F.pmod(F.xxhash64("session"), F.lit(1 << 30))
     count = sets.groupBy("campaign_id", "player").agg(F.count("*").alias("n")).where("n >= 2")
     blocked = sets.join(count, ["campaign_id", "player"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlance.functions.text import word_count
 from parlance.functions.vectors import cosine
 from parlance.operators import basic, episodes as E, lexical as L, semantic as S
-from parlance.plans.base import M, turns
+from parlance.plans.base import M, stored_turns, turns
+from parlance.session import Stage
 from parlance.sources.tables import table
 
 
@@ -86,6 +87,11 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d, "character", "player", "text", "in_combat", "primary_label", "word_count")
 
 
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    """The order with what the episodes need, stored."""
+    return stored_turns(spark, d, "in_combat", "primary_label", "word_count")
+
+
 def _annotated(t: DataFrame) -> DataFrame:
     """Combat turns stand for the findings of an annotator; their kind and rating follow from the message."""
     kind = F.when(F.col("primary_label") == "in-character", "DRAMATIC").otherwise("PLAYER")
@@ -102,7 +108,7 @@ def extraction_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def dedupe_turns(spark: SparkSession, d: str) -> DataFrame:
     """Findings of overlapping windows, each turn kept as its first window has it."""
-    t = _turns(spark, d)
+    t = _marks(spark, d)
     n = t.groupBy("campaign_id").agg(F.count("*").alias("n"))
     w = E.windows(n, 50, 10).select("campaign_id", "window_start", F.explode(F.sequence("window_start", "window_end")).alias("turn_idx"))
     found = _annotated(t).join(w, ["campaign_id", "turn_idx"]).withColumn("position", F.col("turn_idx") - F.col("window_start"))
@@ -129,25 +135,24 @@ def episode_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d)
+    t = _marks(spark, d)
     return E.chunks(t, _episodes(t), 7)
 
 
 def chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d)
-    found = _episodes(t)
+    t = _marks(spark, d)
+    found = Stage(_episodes(t), "episodes").df
     return E.chunk_figures(E.chunks(t, found, 7), found)
 
 
 def social_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d)
-    found = _episodes(t)
+    t = _marks(spark, d)
+    found = Stage(_episodes(t), "episodes").df
     return E.social_summary(found, E.chunk_figures(E.chunks(t, found, 7), found))
 
 
 def scenes(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d)
-    held = t.withColumn("n", word_count(F.col("text")))
+    held = Stage(turns(spark, d, "text").select("campaign_id", "turn_idx", word_count(F.col("text")).alias("n")), "scene-words").df
     numbered = E.scenes(held, F.col("n")).join(held.select("campaign_id", "turn_idx", "n"), ["campaign_id", "turn_idx"])
     return numbered.groupBy("campaign_id", "scene_no").agg(F.min("turn_idx").alias("first_turn"), F.count("*").alias("messages"), F.sum("n").alias("words"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.operators.order import with_turns
+from parlance.session import Stage
 from parlance.sources.tables import table
 
 #: ``m``: one row per message with its place ``turn_idx`` in the campaign.
@@ -19,6 +20,11 @@ def turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return with_turns(table(spark, d, "campaign_messages").select(*wanted))
 
 
+def stored_turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """As :func:`turns`, written once: for queries that read the order several times."""
+    return Stage(turns(spark, d, *columns), "turns").df
+
+
 def stats(value: str, prefix: str = "", largest: bool = True) -> str:
     """SQL of the five statistics of a column."""
     top = f"max({value}) AS {prefix}max, " if largest else ""

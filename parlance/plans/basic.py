@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlance.functions import text as X
 from parlance.operators import basic as B
 from parlance.operators.sessions import gap_sessions, handle
-from parlance.plans.base import M, stats, turns
+from parlance.plans.base import M, stats, stored_turns, turns
 from parlance.sources.tables import table
 
 HOURS = "date_diff('microsecond', lag(date) OVER (PARTITION BY {k} ORDER BY turn_idx), date) / 3.6e9"
@@ -80,11 +80,11 @@ def dice_roll_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_report(spark: SparkSession, d: str) -> DataFrame:
-    return B.summary_report(turns(spark, d, "player", "character", "in_combat", "message_type", "word_count"))
+    return B.summary_report(stored_turns(spark, d, "player", "character", "in_combat", "message_type", "word_count"))
 
 
 def campaign_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return B.campaign_bundle(turns(spark, d, "player", "word_count", "has_dice_roll"))
+    return B.campaign_bundle(stored_turns(spark, d, "player", "word_count", "has_dice_roll"))
 
 
 def campaign_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ def cumulative_posts_by_player(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_players_running(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d, "player", "character")
+    t = stored_turns(spark, d, "player", "character")
     return B.running_distinct(t, "player", "players").join(B.running_distinct(t, "character", "characters"), ["campaign_id", "turn_idx"])
 
 
