@@ -38,7 +38,7 @@ def session_jaccard(words: DataFrame) -> DataFrame:
     union = F.size(F.array_distinct(F.flatten(F.transform("p", lambda q: q["words"]))))
     players = F.size("p")
     value = shared / F.greatest(union, F.lit(1)) / players
-    return held.where(players >= 2).select("campaign_id", "session", players.cast("long").alias("players"), F.round(value, 6).alias("jaccard"))
+    return held.where(players >= 2).select("campaign_id", "session", players.cast("long").alias("players"), F.round(value + 1e-12, 6).alias("jaccard"))
 
 
 def vocabulary_sizes(words: DataFrame) -> DataFrame:

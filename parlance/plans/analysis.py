@@ -203,7 +203,7 @@ o AS (SELECT a.campaign_id, a.session, a.player, any_value(a.ws) AS ws, list_dis
   ON a.campaign_id = b.campaign_id AND a.session = b.session AND a.player <> b.player GROUP BY 1, 2, 3),
 j AS (SELECT campaign_id, session, avg(CASE WHEN len(ws) = 0 OR len(rest) = 0 THEN 0.0
   ELSE len(list_intersect(ws, rest)) / len(list_distinct(list_concat(ws, rest))) END) AS jaccard FROM o GROUP BY 1, 2),
-q AS (SELECT campaign_id, session, players, round(jaccard, 6) AS jaccard FROM j JOIN g USING (campaign_id, session))"""
+q AS (SELECT campaign_id, session, players, round(jaccard + 1e-12, 6) AS jaccard FROM j JOIN g USING (campaign_id, session))"""
 
 _V = """WITH v AS (SELECT label AS campaign_id, vec_id, vec_id % 4 AS player, CAST(embedding AS DOUBLE[]) AS x,
   row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS turn_idx, row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) - 1 AS own_idx FROM embeddings)"""
