@@ -48,7 +48,29 @@ def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_messages": p6_messages, "p6_paragraphs": p6_paragraphs}
 
+#: Paragraph objects of readable new-format messages: ``raw_id, k, q`` (key or place, paragraph).
+PARAGRAPHS = """
+t0 AS (SELECT raw_id, payload AS p FROM raw_messages WHERE NOT coalesce(starts_with(message_key, '_'), false) AND json_valid(payload)),
+t1 AS (SELECT raw_id, CASE WHEN json_type(p) = 'VARCHAR' THEN p ->> '$' ELSE p END AS p FROM t0),
+t2 AS (SELECT raw_id, p FROM t1 WHERE json_valid(p)),
+t3 AS (SELECT raw_id, CASE WHEN json_type(p) = 'OBJECT' AND json_keys(p) = ['message'] THEN CAST(json_extract(p, '$.message') AS VARCHAR) ELSE p END AS p FROM t2),
+msg AS (SELECT raw_id, p, json_extract(p, '$.paragraphs') AS ps, coalesce(json_type(p, '$.text'), 'NULL') <> 'NULL' AS old FROM t3 WHERE json_type(p) = 'OBJECT'),
+ent AS (SELECT raw_id, k, json_extract(ps, '$."' || k || '"') AS q FROM (SELECT raw_id, ps, unnest(json_keys(ps)) AS k FROM msg WHERE NOT old AND json_type(ps) = 'OBJECT')
+  UNION ALL SELECT raw_id, CAST(i AS VARCHAR), json_extract(ps, '$[' || i || ']') FROM (SELECT raw_id, ps, unnest(range(CAST(json_array_length(ps) AS BIGINT))) AS i FROM msg WHERE NOT old AND json_type(ps) = 'ARRAY')),
+par AS (SELECT raw_id, k, q, json_extract(q, '$.actions') AS a FROM ent WHERE json_type(q) = 'OBJECT')"""
+LABEL = r"""CASE WHEN lower(regexp_replace(q ->> '$.label', '^\s+|\s+$', '', 'g')) IN ('in-character', 'out-of-character', 'mixed')
+  THEN lower(regexp_replace(q ->> '$.label', '^\s+|\s+$', '', 'g')) ELSE 'unlabeled' END"""
+#: Actions of the paragraphs, nulls left out, numbered from 1; with the paragraphs that have none.
+ACTIONS = """
+one AS (SELECT raw_id, k, q, 0 AS i, a AS x FROM par WHERE json_type(a) = 'VARCHAR'
+  UNION ALL SELECT raw_id, k, q, i, json_extract(a, '$[' || i || ']') FROM (SELECT *, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM par WHERE json_type(a) = 'ARRAY')),
+act AS (SELECT raw_id, k, q, row_number() OVER (PARTITION BY raw_id, k ORDER BY i) AS action_no,
+  coalesce(CASE WHEN json_type(x) = 'OBJECT' THEN x ->> '$.name' ELSE x ->> '$' END, '') AS action_name FROM one WHERE json_type(x) <> 'NULL'),
+every AS (SELECT * FROM act UNION ALL SELECT raw_id, k, q, CASE WHEN coalesce(json_type(a), 'NULL') = 'NULL' THEN -1 ELSE 0 END, '' FROM par
+  WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.raw_id = par.raw_id AND act.k = par.k))"""
+
 SQL = {
+    "p6_found": f"WITH {PARAGRAPHS}, {ACTIONS} SELECT raw_id, k AS para_key, {LABEL} AS label_out, action_no, action_name FROM every",
     "p4_found": r"""
 WITH m AS (
   SELECT DISTINCT campaign_id, message_id, lower(regexp_replace(player, '^\s+|\s+$', '', 'g')) AS player, date

@@ -10,6 +10,7 @@ from parlance.functions.text import action_class, python_bool
 from parlance.operators import basic, corrections as C, episodes as E, models as Mo, parsers as P, results as R, simulation as G
 from parlance.operators.shred import actions_table, clean_label, messages_table, paragraphs_table
 from parlance.plans.base import M, turns
+from parlance.plans.records import ACTIONS, LABEL, PARAGRAPHS
 from parlance.session import Stage, shared_folder
 from parlance.sources import campaigns as S
 from parlance.sources.tables import table
@@ -383,5 +384,14 @@ QUALIFY row_number() OVER (PARTITION BY campaign_id, player ORDER BY turn_idx) <
   CAST(floor(avg(word_count) + 0.5) AS BIGINT), CAST(floor(median(word_count) + 0.5) AS BIGINT), CAST(floor(stddev_pop(word_count) + 0.5) AS BIGINT)) AS prompt FROM m GROUP BY 1""",
     "annotated_turns": f"""WITH {M} SELECT campaign_id, turn_idx, 'DRAMATIC' AS type FROM m WHERE regexp_matches('Turn ' || turn_idx || ' - ' || coalesce(character, '') || ': ' || split_part(coalesce(text, ''), chr(10), 1), '^Turn \\d+ - [^:\\n]*: .*')
   AND contains(lower(regexp_replace(coalesce(character, '') || ': ' || split_part(replace(coalesce(text, ''), chr(13), chr(10)), chr(10), 1), '^[^:]*: ', '')), 'attacks')""",
+    "message_formats": f"WITH {PARAGRAPHS} SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS format, count(*) AS messages FROM msg GROUP BY 1",
+    "paragraph_labels": f"WITH {PARAGRAPHS} SELECT {LABEL} AS label, count(*) AS paragraphs FROM par GROUP BY 1",
+    "paragraph_fallback": f"WITH {PARAGRAPHS}, x AS (SELECT lower(q ->> '$.text') AS t FROM par) SELECT CASE WHEN contains(t, 'roll') OR contains(t, 'd20') OR contains(t, 'dice') THEN 'roll'"
+    """ WHEN contains(t, 'says') OR contains(t, 'asks') OR contains(t, 'replies') OR contains(t, '"') OR contains(t, '''') THEN 'dialogue' WHEN contains(t, 'spell') OR contains(t, 'cast') OR contains(t, 'magic') THEN 'spells'
+  WHEN contains(t, 'attack') OR contains(t, 'sword') OR contains(t, 'weapon') OR contains(t, 'hit') THEN 'weapon' ELSE 'none' END AS kind, count(*) AS paragraphs FROM x GROUP BY 1""",
+    "paragraph_actions": f"WITH {PARAGRAPHS}, {ACTIONS}, z AS (SELECT DISTINCT raw_id, k, CASE " + " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(action_name), '{w}')" for w in words) + f" THEN '{name}'" for name, words in ACTION_KINDS
+    ) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2)
+SELECT kind, count(*) AS paragraphs FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0 GROUP BY 1""",
     "events_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
