@@ -142,7 +142,15 @@ WITH m AS (
   FROM campaign_meta t LEFT JOIN r USING (campaign_id) GROUP BY t.campaign_id
 )"""
 
+_LONGEST = "coalesce(list_max(list_transform({l}, lambda x: length(x))), 0)"
+
 SQL = {
+    "p2_found": r"""
+WITH u AS (SELECT row_id, text, max_chars AS n, regexp_split_to_array(text, '\n[ \t\r\f\v]*\n\s*') AS paras FROM campaign_messages, split_rules WHERE length(text) > max_chars),
+s AS (SELECT *, flatten(list_transform(paras, lambda p: regexp_split_to_array(regexp_replace(p, '([.!?…]["''”’»)\]}›“‘]*)\s+', '\1' || chr(1), 'g'), chr(1)))) AS sents,
+  regexp_split_to_array(text, '\s+') AS ws FROM u)
+SELECT row_id, CASE WHEN """ + _LONGEST.format(l="paras") + " <= n THEN 'paragraph' WHEN " + _LONGEST.format(l="sents") + " <= n THEN 'sentence' WHEN "
+    + _LONGEST.format(l="ws") + " <= n THEN 'word' ELSE 'hard' END AS cut_at FROM s",
     "p3_found": _MESSAGES + " SELECT campaign_id, reason FROM v WHERE reason IS NOT NULL",
     "p3_conversations": _MESSAGES + """
 SELECT campaign_id, message_id AS turn, role, player, character, text
