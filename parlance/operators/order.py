@@ -13,16 +13,16 @@ CHUNK_DAYS = 7
 LAST_CHUNK = 2**31 - 1
 
 
-def with_turns(messages: DataFrame) -> DataFrame:
+def with_turns(messages: DataFrame, tie: tuple[str, ...] = ("message_id", "row_id")) -> DataFrame:
     """One row per message with ``chunk`` and ``turn_idx``, its 0-based place in the campaign.
 
-    The order is by date (nulls last), then message id.  ``(campaign_id, message_id)`` identifies a message; a message
+    The order is by date (nulls last), then by ``tie``.  ``(campaign_id, message_id)`` identifies a message; a message
     loaded repeatedly counts once, by its smallest row id.  Copies share their date, hence their chunk, and are
     dropped inside the shuffle that builds the order.
     """
     chunk = F.coalesce(F.floor(F.unix_date(F.col("date").cast("date")) / CHUNK_DAYS).cast("int"), F.lit(LAST_CHUNK))
     keyed = messages.withColumn("chunk", chunk)
-    inside = W.partitionBy("campaign_id", "chunk").orderBy(F.col("date").asc_nulls_last(), "message_id", "row_id")
+    inside = W.partitionBy("campaign_id", "chunk").orderBy(F.col("date").asc_nulls_last(), *tie)
     copy = F.coalesce(F.lag("message_id").over(inside) == F.col("message_id"), F.lit(False))
     once = keyed.withColumn("_copy", copy).where(~F.col("_copy")).drop("_copy")
     return offset(once.withColumn("turn_idx", F.row_number().over(inside) - 1), ["campaign_id"], "turn_idx", F.count("*"))
