@@ -44,7 +44,7 @@ WHOLE_BANDS = bands_for(WHOLE_ROWS, 0.55, 0.97)
 SINGLE_BANDS = bands_for(SINGLE_ROWS, 0.6, 0.97)
 
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_EPITHET = re.compile(r"\s(?:of\s)?the\s.*$|\sof\s.*$", re.I)
+_EPITHET = re.compile(r"\s(?:of\s)?the\s.*$|\sof\s.*$|\s*\(.*\)\s*$", re.I)
 _BREAKS = re.compile(r"[\s_\-–·/]+")
 
 
@@ -129,7 +129,7 @@ def token_similarity(a: str, b: str, da: int, db: int, nick: dict[str, tuple[str
         return 0.85
     # Two tokens that are both common are two names, however close their letters.
     established = min(da, db) >= max(3, 0.05 * max(da, db))
-    if min(len(a), len(b)) >= 4 and one_edit(a, b) and not established:
+    if min(len(a), len(b)) >= 3 and one_edit(a, b) and not established:
         return 1 - 1 / max(len(a), len(b))
     return 0.0
 
@@ -245,7 +245,8 @@ def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float
             if t not in single:
                 if len(single) > 200_000:
                     single.clear()
-                single[t] = band_keys(grams(t), SINGLE_ROWS, SINGLE_BANDS, "single", memo)
+                # A short form may share only its beginning with the name: its first two letters are one more band.
+                single[t] = band_keys(grams(t), SINGLE_ROWS, SINGLE_BANDS, "single", memo) + [_hash("begin|" + t[:2])]
             return single[t]
 
         for batch in batches:
