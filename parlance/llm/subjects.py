@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from parlance.llm.tokens import spread
 from parlance.session import Stage
 
 #: Frequent function words by which the language of a text is told.
@@ -124,7 +125,8 @@ def _vocabulary(docs: DataFrame, model: Model, opt: Options) -> np.ndarray:
 
 
 def _encode(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang, ids, ends``: term numbers of the sentences one after another, and where each sentence ends."""
+    """``doc_id, lang, ids, ends, cols, counts``: term numbers of the sentences one after another, where each sentence
+    ends, and the document's distinct terms with their counts."""
     held = docs.sparkSession.sparkContext.broadcast((model.frame, model.ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,34 +141,39 @@ def _encode(docs: DataFrame, model: Model) -> DataFrame:
                 for s in parts:
                     flat += sorted({n for x in terms(s, frame[lang]) if (n := ids.get((lang, x))) is not None})
                     ends.append(len(flat))
-                rows.append((i, lang, flat, ends))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "ids", "ends"])
+                cols, counts = np.unique(np.array(flat, dtype=np.int32), return_counts=True)
+                rows.append((i, lang, flat, ends, cols, counts.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "ids", "ends", "cols", "counts"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang int, ids array<int>, ends array<int>")
+    schema = "doc_id long, lang int, ids array<int>, ends array<int>, cols array<int>, counts array<int>"
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def _matrix(batch: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The batch's document-term matrix, rows of unit length, as (row, column, value)."""
-    lengths = np.array([len(x) for x in batch["ids"]])
+    lengths = np.array([len(x) for x in batch["cols"]])
     if not lengths.sum():
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    row, col = np.repeat(np.arange(len(batch)), lengths), np.concatenate(list(batch["ids"])).astype(np.int64)
-    pair, tf = np.unique(row * np.int64(len(idf)) + col, return_counts=True)
-    row, col = pair // len(idf), pair % len(idf)
-    val = np.log1p(tf) * idf[col]
+    row, col = np.repeat(np.arange(len(batch)), lengths), np.concatenate(list(batch["cols"])).astype(np.int64)
+    val = np.log1p(np.concatenate(list(batch["counts"]))) * idf[col]
     norm = np.sqrt(np.bincount(row, val * val, len(batch)))
     return row, col, val / np.maximum(norm, 1e-12)[row]
 
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the rows that share an index."""
-    out = np.zeros((size, rows.shape[1]))
+def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Add every row to the row of ``out`` that its index names."""
     if len(index):
         order = np.argsort(index, kind="stable")
         sorted_ = index[order]
         first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        out[sorted_[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+        out[sorted_[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _slices(batches: Iterator[pd.DataFrame], size: int = 1000) -> Iterator[pd.DataFrame]:
+    """Parts of the batches whose dense vectors stay small."""
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.iloc[at : at + size]
 
 
 def _gather(coded: DataFrame, part: Callable[[Iterator[pd.DataFrame]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
@@ -196,12 +203,13 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
 
     def moments(batches: Iterator[pd.DataFrame]) -> np.ndarray:
         out = np.zeros((n, 2))
-        for batch in batches:
+        for batch in _slices(batches):
             _, col, val = _matrix(batch, idf.value)
             out += np.stack((np.bincount(col, val, n), np.bincount(col, val * val, n)), axis=1)
         return out
 
-    first = _gather(coded, moments, (n, 2))
+    weights = coded.select("cols", "counts")
+    first = _gather(weights, moments, (n, 2))
     mean = first[:, 0] / np.maximum(size[model.lang], 1)
     variance = first[:, 1] - size[model.lang] * mean * mean
     width = COMPONENTS + SPARE
@@ -223,13 +231,14 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
 
         def product(batches: Iterator[pd.DataFrame], sent=sent) -> np.ndarray:
             out = np.zeros((n, width))
-            for batch in batches:
+            for batch in _slices(batches):
                 row, col, val = _matrix(batch, idf.value)
-                b = _sum_rows(row, sent.value[col] * val[:, None], len(batch))
-                out += _sum_rows(col, b[row] * val[:, None], n)
+                weight, b = val.astype(np.float32)[:, None], np.zeros((len(batch), width), dtype=np.float32)
+                _add_rows(b, row, sent.value[col] * weight)
+                _add_rows(out, col, b[row] * weight)
             return out
 
-        z = _gather(coded, product, (n, width))
+        z = _gather(weights, product, (n, width))
         for i, rows in enumerate(own):
             z[rows] -= size[i] * np.outer(mean[rows], mean[rows] @ q[rows])
         last, q = q, orthonormal(z)
@@ -246,11 +255,15 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
         model.load[rows, :kept] = axes * (model.idf[rows] * np.clip(communality, 0, 1))[:, None]
 
 
-def _embed(ids: np.ndarray, ends: np.ndarray, load: np.ndarray) -> np.ndarray:
-    """Vectors of a document's sentences."""
-    ends = np.asarray(ends, dtype=np.int64)
-    sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    return _sum_rows(sentence, load[np.asarray(ids, dtype=np.int64)], len(ends))
+def _embed(batch: pd.DataFrame, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all sentences of the documents, and the number of sentences of each document."""
+    counts = np.array([len(e) for e in batch["ends"]], dtype=np.int64)
+    y = np.zeros((int(counts.sum()), load.shape[1]), dtype=np.float64)
+    if len(y):
+        sizes = np.concatenate([np.diff(e, prepend=0) for e in batch["ends"]])
+        ids = np.concatenate(list(batch["ids"])).astype(np.int64)
+        _add_rows(y, np.repeat(np.arange(len(y)), sizes), load[ids])
+    return y, counts
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -267,14 +280,17 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
 
     def seed(batches: Iterator[pd.DataFrame]) -> np.ndarray:
         out = np.zeros(shape)
-        for batch in batches:
-            for lang, ids, ends, found in zip(batch["lang"], batch["ids"], batch["ends"], batch["subjects"], strict=True):
-                v = _unit(_embed(ids, ends, load.value).mean(axis=0))
+        for batch in _slices(batches):
+            y, counts = _embed(batch, load.value)
+            mean = np.zeros((len(batch), COMPONENTS))
+            _add_rows(mean, np.repeat(np.arange(len(batch)), counts), y)
+            for v, lang, found in zip(_unit(mean), batch["lang"], batch["subjects"], strict=True):
                 for s in found:
                     out[lang * k + place[s]] += v / len(found)
         return out
 
-    c = _gather(coded.join(marked, "doc_id"), seed, shape).reshape(n_lang, -1, COMPONENTS)
+    placed = coded.select("doc_id", "lang", "ids", "ends")
+    c = _gather(placed.join(marked, "doc_id"), seed, shape).reshape(n_lang, -1, COMPONENTS)
     seeded = (np.abs(c).sum(axis=2) > 0)[..., None]
     # What all subjects share tells none of them from another.
     c = np.where(seeded, c - c.sum(axis=1, keepdims=True) / np.maximum(seeded.sum(axis=1, keepdims=True), 1), 0)
@@ -284,18 +300,19 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
 
         def refine(batches: Iterator[pd.DataFrame], sent=sent) -> np.ndarray:
             out = np.zeros(shape)
-            for batch in batches:
-                for lang, ids, ends in zip(batch["lang"], batch["ids"], batch["ends"], strict=True):
-                    y = _embed(ids, ends, load.value)
-                    y = y[np.linalg.norm(y, axis=1) > opt.energy]
-                    if len(y):
-                        # A subject without a seed in this language has no direction and attracts nothing.
-                        cosine = _unit(y) @ sent.value[lang].T
-                        near = cosine.max(axis=1) > 0
-                        out[lang * k : lang * k + k] += _sum_rows(cosine[near].argmax(axis=1), y[near], k)
+            for batch in _slices(batches):
+                y, counts = _embed(batch, load.value)
+                langs = np.repeat(batch["lang"].to_numpy(), counts)
+                strong = np.linalg.norm(y, axis=1) > opt.energy
+                for lang in range(n_lang):
+                    # A subject without a seed in this language has no direction and attracts nothing.
+                    own = y[strong & (langs == lang)]
+                    cosine = _unit(own) @ sent.value[lang].T
+                    near = cosine.max(axis=1, initial=0) > 0
+                    _add_rows(out, lang * k + cosine[near].argmax(axis=1), own[near])
             return out
 
-        new = _gather(coded, refine, shape).reshape(n_lang, -1, COMPONENTS)
+        new = _gather(placed.drop("doc_id"), refine, shape).reshape(n_lang, -1, COMPONENTS)
         new = np.where(np.abs(new).sum(axis=2, keepdims=True) > 0, _unit(new), c)
         still = np.abs(new - c).max() < 1e-4
         c = new
@@ -307,7 +324,7 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], opt: Options | None = None) -> tuple[Model, DataFrame]:
     """The model of a corpus and the encoded corpus it was fitted on."""
     opt, model = opt or Options(), Model()
-    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    whole = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id")
     size = _vocabulary(whole, model, opt)
     coded = Stage(_encode(whole, model), "subjects-coded").df
     if len(model.idf) and subjects:
@@ -323,19 +340,21 @@ def assign(coded: DataFrame, model: Model, subjects: list[str], opt: Options | N
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load, centroids = held.value
-        for batch in batches:
-            rows = []
-            for doc, lang, ids, ends in zip(batch["doc_id"], batch["lang"], batch["ids"], batch["ends"], strict=True):
-                y = _embed(ids, ends, load)
-                cosine = _unit(y) @ centroids[lang].T
-                about = (np.linalg.norm(y, axis=1) > opt.energy) & (cosine.max(axis=1) > opt.cosine)
-                count = np.bincount(cosine.argmax(axis=1)[about], minlength=len(subjects))
-                rows += [(doc, s, n / len(y)) for s, n in zip(subjects, count, strict=True) if n and n >= opt.quarter * len(y)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
+        for batch in _slices(batches):
+            y, counts = _embed(batch, load)
+            doc = np.repeat(np.arange(len(batch)), counts)
+            cosine = np.einsum("ij,ikj->ik", _unit(y), centroids[batch["lang"].to_numpy()[doc]])
+            about = (np.linalg.norm(y, axis=1) > opt.energy) & (cosine.max(axis=1, initial=0) > opt.cosine)
+            hits = np.zeros((len(batch), len(subjects)), dtype=np.int64)
+            np.add.at(hits, (doc[about], cosine[about].argmax(axis=1)), 1)
+            at, subject = np.nonzero((hits > 0) & (hits >= opt.quarter * counts[:, None]))
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].to_numpy()[at], "subject": np.array(subjects, dtype=object)[subject], "share": hits[at, subject] / counts[at],
+            })
 
     if not len(model.idf) or not subjects:
         return coded.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
-    return coded.mapInPandas(run, "doc_id long, subject string, share double")
+    return coded.select("doc_id", "lang", "ids", "ends").mapInPandas(run, "doc_id long, subject string, share double")
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: Column | None = None, text: Column | None = None) -> DataFrame:

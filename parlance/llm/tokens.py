@@ -25,6 +25,12 @@ def load(path: str) -> object:
     return _LOADED[path]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, for work that is heavy against its input: a file of few row groups would keep few busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def with_sizes(df: DataFrame, key: Column, text: Column, keep: tuple[str, ...] = (), path: str = f"{FOLDER}/{NAME}") -> DataFrame:
     """``key, n_tokens`` and the columns ``keep``; null and empty texts have 0 tokens.  Texts are counted whole."""
     slim = df.select(key.alias("key"), *keep, F.coalesce(text, F.lit("")).alias("text"))
@@ -38,4 +44,4 @@ def with_sizes(df: DataFrame, key: Column, text: Column, keep: tuple[str, ...] =
                 sizes += [len(e) for e in tokenizer.encode_batch(list(batch["text"].iloc[at : at + 256]), add_special_tokens=False)]
             yield batch.drop(columns="text").assign(n_tokens=sizes)
 
-    return slim.mapInPandas(run, f"{fields}, n_tokens long")
+    return spread(slim, "key").mapInPandas(run, f"{fields}, n_tokens long")
