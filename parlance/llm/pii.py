@@ -32,7 +32,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
     marks = []
     if "@" in text or "＠" in text or re.search(r"[\[({<]\s?at\s?[\])}>]", text, re.I):
         marks.append((AT, DOMAIN))
-    if " dot " in text or " DOT " in text:
+    if "dot" in text or "DOT" in text or "Dot" in text:
         marks.append((AT_WORD, DOMAIN_WORDS))
     for at, domain in marks:
         for m in at.finditer(text):
@@ -43,7 +43,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 # ---- identity numbers ---------------------------------------------------------------------------------------
-_SEP = "[-\u2010\u2011\u2013 ]"
+_SEP = "[-\u2010\u2011\u2013 \u00a0]"
 IDENTITY = re.compile(
     rf"""(?<![\w+/=-])(?:
       (?P<ssn>\d{{3}}(?P<s>{_SEP}?)\d{{2}}(?P=s)\d{{4}})
@@ -81,7 +81,7 @@ def identity_valid(kind: str, m: re.Match, text: str) -> bool:
     v = m.group()
     if kind == "ssn":
         # Area 000 and 666, group 00 and serial 0000 are never given out.
-        return m.group("s") not in ("", " ") and v[:3] not in ("000", "666") and v[4:6] != "00" and v[-4:] != "0000"
+        return m.group("s") not in ("", " ", "\u00a0") and v[:3] not in ("000", "666") and v[4:6] != "00" and v[-4:] != "0000"
     if kind in ("nino", "licence"):
         return v.upper() == v
     if kind == "dni":
@@ -106,7 +106,7 @@ PHONE = re.compile(
     re.X,
 )
 _DIGIT_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-SPOKEN = re.compile(rf"(?<![\w-]){_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{6,14}}(?![\w-])", re.I)
+SPOKEN = re.compile(rf"(?<![\w-]){_DIGIT_WORD}(?:(?:\s{{1,3}}|-){_DIGIT_WORD}){{6,14}}(?![\w-])", re.I)
 WORD_DIGIT = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 
 

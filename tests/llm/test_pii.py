@@ -28,6 +28,8 @@ FOUND = [
     ("on 01.99.00.47.96 now", "phone", "01.99.00.47.96"),
     ("on 030/23125618, now", "phone", "030/23125618"),
     ("call five five five zero one four two now", "phone", "five five five zero one four two"),
+    ("call five\xa0five\xa0five\xa0zero\xa0one\xa0six\xa0eight now", "phone", "five\xa0five\xa0five\xa0zero\xa0one\xa0six\xa0eight"),
+    ("SSN 963\xa042\xa03773.", "identity", "963\xa042\xa03773"),
     ("my SSN is 963-42-3773.", "identity", "963-42-3773"),
     ("SSN 952285521 (delete)", "identity", "952285521"),
     ("NI number QQ 59 91 64 C.", "identity", "QQ 59 91 64 C"),
