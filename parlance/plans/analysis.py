@@ -21,7 +21,7 @@ def jaccard_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_campaign(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_session(spark, d).groupBy("campaign_id").agg(F.count("*").alias("sessions"), F.round(F.avg("jaccard"), 5).alias("jaccard"))
+    return jaccard_session(spark, d).groupBy("campaign_id").agg(F.count("*").alias("sessions"), F.round(F.avg("jaccard") + 1e-9, 5).alias("jaccard"))
 
 
 def player_vocab(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +230,7 @@ f AS (SELECT campaign_id, chunk_no, start, "end", coalesce(episodes, 0) AS episo
 
 SQL = {
     "jaccard_session": _PAIRS + " SELECT * FROM q",
-    "jaccard_campaign": _PAIRS + " SELECT campaign_id, count(*) AS sessions, round(avg(jaccard), 5) AS jaccard FROM q GROUP BY 1",
+    "jaccard_campaign": _PAIRS + " SELECT campaign_id, count(*) AS sessions, round(avg(jaccard) + 1e-9, 5) AS jaccard FROM q GROUP BY 1",
     "player_vocab": _W + " SELECT campaign_id, player, len(list_distinct(flatten(list(ws)))) AS vocabulary, count(*) AS sessions FROM s GROUP BY 1, 2",
     "player_self_jaccard": _W + """, z AS (SELECT * FROM s WHERE len(ws) > 0)
 SELECT a.campaign_id, a.player, round(avg(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))), 6) AS self_jaccard, count(*) AS pairs
