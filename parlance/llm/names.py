@@ -300,9 +300,11 @@ def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float
     known = F.lit(0)
     if nick:
         known = F.size(F.filter("tokens", lambda t: t.isin(*nick)))
+    # Names that are common over all groups come before rare tokens, which may be mistyped, whatever their counts here.
+    usual = lambda c: F.floor(F.log2(c)).cast("int")
     rank = F.struct(
-        F.least(long, F.lit(2)).alias("whole"), (-known).alias("nick"), (F.array_min("dfs") >= 3).cast("int").alias("common"),
-        F.col("n").alias("n"), F.array_min("dfs").alias("df"), F.col("form").alias("form"), F.col("id").alias("id"),
+        F.least(long, F.lit(2)).alias("whole"), (-known).alias("nick"), usual(F.array_min("dfs")).alias("least"), usual(F.array_max("dfs")).alias("most"),
+        F.col("n").alias("n"), F.col("form").alias("form"), F.col("id").alias("id"),
     )
     nodes = forms_at.df.select("id", "user", rank.alias("rank"))
     state = Stage(nodes.withColumn("centre", F.lit(None).cast("boolean")), "names-stars")
