@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,8 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
         return existing.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="parlance-")
-    spark.sparkContext.setCheckpointDir(made)
+    made = tempfile.mkdtemp(prefix="parlance-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
