@@ -120,11 +120,10 @@ MESSAGE = (
 WRAPPERS = ("message", "msg", "payload", "data", "record")
 
 
-def parse_message(payload: str | None) -> dict | None:
-    """A payload as a record of :data:`MESSAGE`; None if it holds no readable message object.
+def message_object(payload: str | None) -> dict | None:
+    """The message object in a payload; None if it holds no readable one.
 
     A payload may be encoded as a JSON string once more, and the message may sit under a single wrapping key.
-    A message with a non-null ``text`` has the old format: it keeps its text and has no paragraphs.
     """
     value = payload
     for _ in range(8):
@@ -137,29 +136,58 @@ def parse_message(payload: str | None) -> dict | None:
             value = next(iter(value.values()))
         else:
             break
-    if not isinstance(value, dict):
-        return None
-    record = {k: v if isinstance(v, str) else None for k in ("date", "player", "character", "text") for v in (value.get(k),)}
-    old = value.get("text") is not None
-    record["format"] = "old" if old else "new"
-    paragraphs = None if old else value.get("paragraphs")
+    return value if isinstance(value, dict) else None
+
+
+def paragraph_items(value: dict) -> list[tuple[str, dict]] | None:
+    """Keys and paragraph objects of a message, a list's keys being its places; None if it has no paragraphs."""
+    paragraphs = value.get("paragraphs")
     if isinstance(paragraphs, dict):
-        items: list | None = list(paragraphs.items())
+        items = list(paragraphs.items())
     elif isinstance(paragraphs, list):
         items = [(str(i), p) for i, p in enumerate(paragraphs)]
     else:
-        items = None
-    record["paragraphs"] = None if items is None else [paragraph(k, p) for k, p in items if isinstance(p, dict)]
+        return None
+    return [(k, p) for k, p in items if isinstance(p, dict)]
+
+
+def plain_message(payload: str | None) -> str | None:
+    """A payload as JSON of one shape: paragraphs as an object of objects, their actions as lists without nulls."""
+    value = message_object(payload)
+    if value is None:
+        return None
+    items = paragraph_items(value)
+    if items is not None:
+        value = value | {"paragraphs": {k: p | {"actions": action_list(p.get("actions"))} for k, p in items}}
+    return json.dumps(value)
+
+
+def parse_message(payload: str | None) -> dict | None:
+    """A payload as a record of :data:`MESSAGE`; None if :func:`message_object` finds no message.
+
+    A message with a non-null ``text`` has the old format: it keeps its text and has no paragraphs.
+    """
+    value = message_object(payload)
+    if value is None:
+        return None
+    record = {k: v if isinstance(v, str) else None for k in ("date", "player", "character", "text") for v in (value.get(k),)}
+    old = value.get("text") is not None
+    record["format"] = "old" if old else "new"
+    items = None if old else paragraph_items(value)
+    record["paragraphs"] = None if items is None else [paragraph(k, p) for k, p in items]
     return record
 
 
-def paragraph(key: str, value: dict) -> dict:
-    actions = value.get("actions")
+def action_list(actions: object) -> list | None:
+    """Actions as a list without nulls, a single one as a list of one; None if there are none."""
     if isinstance(actions, (str, dict)):
         actions = [actions]
-    named: list[dict] | None = None
-    if isinstance(actions, list):
-        named = [{"name": action_name(a)} for a in actions if a is not None]
+    return [a for a in actions if a is not None] if isinstance(actions, list) else None
+
+
+def paragraph(key: str, value: dict) -> dict:
+    actions = action_list(value.get("actions"))
+    named: list[dict] | None = None if actions is None else [{"name": action_name(a)} for a in actions]
     text, label = value.get("text"), value.get("label")
     return {
         "key": key, "text": text if isinstance(text, str) else None,

@@ -167,8 +167,8 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Plain message payloads flattened to the message model; wrapped and re-encoded ones are the shredder's."""
-    rows = _raw(spark, d).where("payload LIKE '{\"date\"%'").select("campaign_id", F.col("raw_id").alias("ordinal"), "message_key", "payload")
+    """All message payloads flattened to the message model; one row per payload, readable or not."""
+    rows = _raw(spark, d).select("campaign_id", F.col("raw_id").alias("ordinal"), "message_key", "payload")
     flat = S.flatten(rows)
     return flat.select(
         F.col("ordinal").alias("raw_id"), "player", "character", F.md5("text").alias("text_md5"), "label_counts.in_character", "label_counts.out_of_character",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from parlance.operators.shred import plain_message
+
 PARAGRAPHS = "map<string, struct<text: string, label: string, actions: array<string>>>"
 #: A message object; ``actions`` stays raw JSON, as it is an object or a list.
 MESSAGE = (
@@ -76,11 +79,17 @@ def flatten(rows: DataFrame) -> DataFrame:
     """Messages with their texts by label, label counts and paragraph actions.
 
     A message with ``text`` has the old format and wins over paragraphs.  Paragraphs are joined by one space in the
-    order of their numeric keys.  Paragraphs without an ``actions`` key get what their text suggests.
+    order of their numeric keys.  Paragraphs without an ``actions`` key get what their text suggests.  Wrapped and
+    re-encoded payloads and paragraphs in a list count as plain ones; paragraphs that are not objects are passed over.
+    A payload that holds no message keeps its row, without content.
     """
     from parlance.functions.text import action_class
 
-    m = rows.where(~F.col("message_key").startswith("_")).select("campaign_id", "ordinal", "message_key", F.from_json("payload", MESSAGE).alias("m"))
+    @F.pandas_udf("string")
+    def plain(payloads: pd.Series) -> pd.Series:
+        return payloads.map(plain_message)
+
+    m = rows.where(~F.col("message_key").startswith("_")).select("campaign_id", "ordinal", "message_key", F.from_json(plain(F.col("payload")), MESSAGE).alias("m"))
     old = F.col("m.text").isNotNull()
     held = m.select("campaign_id", "ordinal", "message_key", "m", old.alias("old"), F.when(~old, _ordered(F.col("m.paragraphs"))).alias("p"))
 
