@@ -46,9 +46,9 @@ class HashEncoder:
 
 
 class KeywordAnnotator:
-    """Answers an extraction prompt with the turns whose line holds one of the keywords."""
+    """Answers an extraction prompt with the turns whose text, up to the next turn's heading, holds one of the keywords."""
 
-    LINE = re.compile(r"^Turn (\d+) - [^:\n]*: (.*)$", re.M)
+    HEADING = re.compile(r"^Turn (\d+) - ", re.M)
 
     def __init__(self, keywords: tuple[str, ...], none: str, kind: str | None = None):
         self.keywords, self.none, self.kind = keywords, none, kind
@@ -56,7 +56,9 @@ class KeywordAnnotator:
     def answer(self, prompts: list[str]) -> list[str]:
         out = []
         for p in prompts:
-            hits = [(n, t) for n, t in self.LINE.findall(p) if any(k in t.lower() for k in self.keywords)]
+            parts = self.HEADING.split(p)[1:]
+            texts = [(n, body.partition(": ")[2]) for n, body in zip(parts[::2], parts[1::2], strict=True)]
+            hits = [(n, " ".join(t.split())) for n, t in texts if any(k in t.lower() for k in self.keywords)]
             mark = f" [{self.kind}]" if self.kind else ""
             out.append("\n".join(f"TURN {n}{mark}: {t[:60]}" for n, t in hits) or self.none)
         return out
