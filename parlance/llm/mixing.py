@@ -130,11 +130,12 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | str | None = None, se
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual share, tokens, documents and rounds of every source of every mix."""
+    """Target and actual share, shortfall, tokens, documents and rounds of every source of every mix."""
     each = mixed.groupBy("mix_name", "source").agg(
         F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), (F.max("repeat_no") + 1).alias("rounds")
     )
     every = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
     joined = every.join(each, ["mix_name", "source"], "left").na.fill(0, ["tokens", "rows", "rounds"])
     whole = F.sum("tokens").over(W.partitionBy("mix_name"))
-    return joined.withColumn("actual_share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)))
+    reached = joined.withColumn("actual_share", F.when(whole > 0, F.round(F.col("tokens") / whole, 6)))
+    return reached.withColumn("shortfall", F.round(F.greatest(F.col("target_share") - F.col("actual_share"), F.lit(0.0)), 6))

@@ -74,22 +74,29 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return full.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of every mix in their order."""
+def _mixed(spark: SparkSession, d: str, total: str | None) -> DataFrame:
     sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), ("source",))
-    return mixing.mix(sizes, table(spark, d, "mix_targets")).withColumnRenamed("key", "doc_id")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), total)
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every mix in their order; a mix is as large as its sources together, scarce ones repeat as far as they may."""
+    return _mixed(spark, d, "held").withColumnRenamed("key", "doc_id")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual shares of every mix."""
+    """Target and actual shares of every mix, and what scarce sources fall short by."""
     return mixing.shares(p8_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_shares_whole(spark: SparkSession, d: str) -> DataFrame:
     """Shares when each mix is as large as its sources together: small sources reach what their repeats allow."""
-    sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), ("source",))
-    targets = table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(sizes, targets, total="held"), targets)
+    return p8_shares(spark, d)
+
+
+def p8_shares_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Shares when each mix is only as large as all its sources can keep their exact shares of."""
+    return mixing.shares(_mixed(spark, d, None), table(spark, d, "mix_targets"))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
     "p5_found": p5_found,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
+    "p8_shares_exact": p8_shares_exact,
     "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
