@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MASTER = "Dungeon Master"
 
@@ -43,6 +43,20 @@ def corrected(turns: DataFrame, corrections: DataFrame, resolution: DataFrame |
     return kept if resolution is None else resolved(kept, resolution)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def save_corrected(messages: DataFrame, folder: str) -> DataFrame:
+    """Writes the corrected messages of campaigns that ``folder`` does not hold yet; all that it then holds."""
+    spark = messages.sparkSession
+    if _exists(spark, folder):
+        messages = messages.join(spark.read.parquet(folder).select("campaign_id").distinct(), "campaign_id", "left_anti")
+    messages.write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def turn_distribution(turns: DataFrame) -> DataFrame:
     each = turns.where("character IS NOT NULL").groupBy("campaign_id", "character").agg(F.count("*").alias("turns"))
     total = turns.where("character IS NOT NULL").groupBy("campaign_id").agg(F.count("*").alias("_n"))

@@ -93,6 +93,16 @@ def embed(df: DataFrame, text: str, make: Callable[[], Encoder] = HashEncoder, b
     return df.mapInPandas(run, schema)
 
 
+#: The text column of each label.
+LABEL_TEXTS = {"in-character": "in_character_text", "out-of-character": "out_of_character_text", "mixed": "mixed_text"}
+
+
+def embed_labels(df: DataFrame, keys: list[str], make: Callable[[], Encoder] = HashEncoder, batch: int = 64) -> DataFrame:
+    """``keys, label, text, vector``: a vector per text of a label; messages without content for a label have none."""
+    each = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.col(c).alias("text")) for n, c in LABEL_TEXTS.items()))).alias("t"))
+    return embed(each.select(*keys, "t.*").where("length(text) > 0"), "text", make, batch)
+
+
 def token_diversity(df: DataFrame, keys: list[str], text: str, make: Callable[[], HashEncoder] = HashEncoder, least: int = 5, most: int = 510) -> DataFrame:
     """Mean distance of all pairs of a text's token vectors, from the sum of the unit vectors; null below ``least`` tokens."""
     kinds = dict((f.name, f.dataType.simpleString()) for f in df.schema)

@@ -93,6 +93,18 @@ def judge_character(response: Column, character: Column) -> Column:
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("k"), e["v"].try_cast("int").alias("v"))))
 
 
+def judge_summary(scores: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """Mean of each dimension over the score maps of ``keys``, and ``creativity``: the mean of the maps' own means.
+
+    Every map is one session's (or one character's in it), so a missing dimension shifts nothing.
+    """
+    each = [F.try_element_at(F.col(score), F.lit(d)).cast("double") for d in DIMENSIONS]
+    there = F.array_compact(F.array(*each))
+    own = F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+    means = [F.round(F.avg(c), 6).alias(f"mean_{d}") for d, c in zip(DIMENSIONS, each, strict=True)]
+    return scores.groupBy(*keys).agg(F.count("*").alias("judged"), *means, F.round(F.avg(own), 6).alias("mean_creativity"))
+
+
 def _clean_name(raw: str) -> str:
     name = re.sub(r"\*+", "", re.sub(r"^[\d.)\-*\s]+", "", raw)).strip()
     return name.split(" (", 1)[0].strip() if " (" in name and ")" in name else name

@@ -30,6 +30,21 @@ def pool(values: DataFrame, category: DataFrame, value: str) -> DataFrame:
     return each.withColumn("position", F.row_number().over(W.orderBy(F.when(F.col("category") == "human", 0).otherwise(1), "category")))
 
 
+def pool_characters(values: DataFrame, category: DataFrame) -> DataFrame:
+    """Figures per category and metric, pooled over the characters' values ``(campaign_id, metric, value)`` of all its campaigns.
+
+    Null and NaN values do not count; a category without values keeps a row for each metric.
+    """
+    kept = values.select("campaign_id", "metric", F.nanvl(F.col("value").cast("double"), F.lit(None)).alias("value"))
+    each = kept.join(category, "campaign_id").groupBy("category", "metric").agg(
+        F.count_distinct(F.when(F.col("value").isNotNull(), F.col("campaign_id"))).alias("campaigns"), F.count("value").alias("values"),
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"),
+    )
+    # Few categories and metrics.
+    every = category.select("category").distinct().crossJoin(kept.select("metric").distinct())
+    return every.join(each, ["category", "metric"], "left").na.fill(0, ["campaigns", "values"])
+
+
 def histogram(values: DataFrame, value: Column, edges: int = 20, log: bool = False, group: list[str] | None = None) -> DataFrame:
     """Counts in ``edges - 1`` equal bins between the least and the largest value of all groups, the last one closed.
 

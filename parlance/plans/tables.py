@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.functions.text import action_class, python_bool
-from parlance.operators import basic, corrections as C, episodes as E, models as Mo, parsers as P, results as R, simulation as G
+from parlance.operators import basic, corrections as C, episodes as E, models as Mo, parsers as P, results as R, semantic as Se, simulation as G
 from parlance.operators.shred import actions_table, clean_label, messages_table, paragraphs_table
+from parlance.plans import analysis as An
 from parlance.plans.base import M, turns
 from parlance.plans.records import ACTIONS, LABEL, PARAGRAPHS
 from parlance.session import Stage, shared_folder
@@ -247,6 +250,103 @@ def scene_diversity(spark: SparkSession, d: str) -> DataFrame:
     return Mo.token_diversity(text, ["campaign_id", "scene_no"], "text").withColumn("diversity", F.round("diversity", 6))
 
 
+def label_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "campaign_messages").select("row_id", *Mo.LABEL_TEXTS.values())
+    return Mo.embed_labels(t, ["row_id"]).select("row_id", "label", F.size("vector").alias("size"), F.round(F.element_at("vector", 1), 6).alias("first"))
+
+
+def player_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Diversity of the scenes of each player's own messages in a campaign; players with one message have none."""
+    from parlance.functions.text import word_count
+
+    t = turns(spark, d, "player", "text").where("player IS NOT NULL")
+    own = Se.place_in(t, ["campaign_id", "player"], "turn_idx", "own_idx")
+    conv = F.to_json(F.struct("campaign_id", "player"))
+    held = Stage(own.select("campaign_id", "player", conv.alias("conv"), "own_idx", "text", word_count(F.col("text")).alias("n")), "player-turns").df
+    placed = E.scenes(held.select(F.col("conv").alias("campaign_id"), F.col("own_idx").alias("turn_idx"), "n"), F.col("n")).toDF("conv", "own_idx", "scene_no")
+    scene = placed.join(held, ["conv", "own_idx"]).groupBy("campaign_id", "player", "scene_no").agg(
+        F.count("*").alias("messages"), F.array_sort(F.collect_list(F.struct("own_idx", "text"))).alias("s")
+    )
+    many = held.groupBy("campaign_id", "player").agg(F.count("*").alias("all")).where("all >= 2").drop("all")
+    text = scene.join(many, ["campaign_id", "player"], "left_semi").withColumn("text", F.array_join(F.transform("s", lambda x: x.getField("text")), " ")).drop("s")
+    return Mo.token_diversity(text, ["campaign_id", "player", "scene_no", "messages"], "text").withColumn("diversity", F.round("diversity", 6))
+
+
+def player_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes, messages and mean diversity of each player of a campaign."""
+    return player_scenes(spark, d).groupBy("campaign_id", "player").agg(
+        F.count("*").alias("scenes"), F.sum("messages").alias("messages"), F.round(F.avg("diversity"), 6).alias("mean_diversity")
+    )
+
+
+def character_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Per-player values of diversity, self-similarity, vocabulary and cohesion pooled by category of campaign."""
+    scene = Stage(player_scenes(spark, d), "player-scenes").df
+    means = scene.groupBy("campaign_id", "player").agg(F.avg("diversity").alias("v"))
+    own = Se.place_in(turns(spark, d, "player", "text").where("player IS NOT NULL"), ["campaign_id", "player"], "turn_idx", "own_idx")
+    vectors = Stage(Se.as_doubles(Mo.embed(own.select("campaign_id", "player", "own_idx", "text"), "text")), "player-vectors").df
+    parts = (
+        ("dsi_scores", scene, "diversity"), ("mean_dsi", means, "v"), ("mean_jaccard", An.player_self_jaccard(spark, d), "self_jaccard"),
+        ("vocabulary", An.player_vocab(spark, d), "vocabulary"), ("sequential_cohesion", Se.cosine_back(vectors, ["campaign_id", "player"], "own_idx"), "cosine"),
+    )
+    values = None
+    for name, df, column in parts:
+        one = df.where("player IS NOT NULL").select("campaign_id", F.lit(name).alias("metric"), F.col(column).cast("double").alias("value"))
+        values = one if values is None else values.unionByName(one)
+    return R.pool_characters(values, _categories(spark, d))
+
+
+def episode_rating_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of the words of an episode's text with its rating, over all episodes."""
+    from parlance.functions.text import word_count
+
+    t = turns(spark, d, "character", "text", "in_combat", "primary_label", "word_count")
+    found = An._episodes(t)
+    text = E.range_text(t, found.select("campaign_id", "start_turn", "end_turn"), ["start_turn", "end_turn"])
+    sized = text.select("campaign_id", "start_turn", word_count(F.col("text")).alias("words"))
+    return R.correlations(sized.join(found.select("campaign_id", "start_turn", "rating"), ["campaign_id", "start_turn"]), ["words", "rating"])
+
+
+class _Judge:
+    """An annotator that rates a session and each character of its first line by a checksum, as a stand-in."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        return [self._one(p) for p in prompts]
+
+    def _one(self, prompt: str) -> str:
+        def rate(who: str, dash: str) -> str:
+            return "\n".join(f"{dash}{n}: {zlib.crc32(f'{who}|{n}|{prompt}'.encode()) % 5 + 1}" for n in P.DIMENSIONS)
+
+        names = [n for n in prompt.partition("\n")[0].split("|") if n]
+        return "\n".join([rate("", ""), *(f"### {n}:\n{rate(n, '- ')}" for n in names)])
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    sessions = E.judge_sessions(turns(spark, d, "player", "character", "text"))
+    requests = sessions.select("campaign_id", "block", "characters", F.concat("characters", F.lit("\n\n"), "text").alias("prompt"))
+    return Stage(Mo.annotate(requests, "prompt", _Judge, "judge").drop("prompt"), "judge-answers").df
+
+
+def judge_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Mean score of each dimension and composite of every campaign's judged sessions."""
+    return P.judge_summary(_judged(spark, d).withColumn("scores", P.judge_overall(F.col("response"))), "scores", ["campaign_id"])
+
+
+def judge_player_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`judge_summaries`, by the player who last posted as the judged character."""
+    each = _judged(spark, d).select("campaign_id", "response", F.explode(F.split("characters", "\\|")).alias("character")).where("character <> ''")
+    players = C.players_of_characters(turns(spark, d, "player", "character").where("player IS NOT NULL"))
+    scored = each.join(players, ["campaign_id", "character"]).withColumn("scores", P.judge_character(F.col("response"), F.col("character")))
+    return P.judge_summary(scored.where("size(scores) > 0"), "scores", ["campaign_id", "player"])
+
+
+def corrected_once(spark: SparkSession, d: str) -> DataFrame:
+    """Corrected messages written in two passes; the second leaves alone what the first has written."""
+    folder, t = f"{shared_folder(spark)}/corrected-{uuid.uuid4().hex}", corrected_messages(spark, d)
+    C.save_corrected(t.where(F.crc32("campaign_id") % 2 == 0), folder)
+    return C.save_corrected(t, folder)
+
+
 def linked_norms(spark: SparkSession, d: str) -> DataFrame:
     """Norms linked over the first texts of combat episodes, as stand-ins for an annotator's descriptions."""
     t = turns(spark, d, "text", "in_combat").where("in_combat AND text IS NOT NULL")
@@ -303,7 +403,8 @@ QUERIES = {f.__name__: f for f in (
     tidy_summary, metric_names, resolve_metric, topic_day_counts, type_transitions, top_transitions, cross_model_pivot, turn_distribution, first_sheets,
     character_players, name_conflicts, single_post_filter, manual_corrections, corrected_messages, player_posts_top, cache_miss, cache_status, cache_merge,
     cache_roundtrip, flatten_messages, metadata_index, message_formats, paragraph_labels, paragraph_actions, paragraph_fallback, annotated_turns,
-    annotated_episodes, message_embeddings, scene_diversity, linked_norms, system_prompts, simulated_games, turn_owners, events_daily, streamed_sessions,
+    annotated_episodes, message_embeddings, label_embeddings, player_scenes, player_diversity, character_pool, episode_rating_correlation, judge_summaries,
+    judge_player_summaries, corrected_once, scene_diversity, linked_norms, system_prompts, simulated_games, turn_owners, events_daily, streamed_sessions,
 )}
 
 _SIZES = f"WITH {M}, z AS (SELECT campaign_id, count(*) AS messages, round(avg(word_count), 6) AS words FROM m GROUP BY 1)"
