@@ -103,8 +103,11 @@ def embed_labels(df: DataFrame, keys: list[str], make: Callable[[], Encoder] = H
     return embed(each.select(*keys, "t.*").where("length(text) > 0"), "text", make, batch)
 
 
-def token_diversity(df: DataFrame, keys: list[str], text: str, make: Callable[[], HashEncoder] = HashEncoder, least: int = 5, most: int = 510) -> DataFrame:
-    """Mean distance of all pairs of a text's token vectors, from the sum of the unit vectors; null below ``least`` tokens."""
+def token_diversity(df: DataFrame, keys: list[str], text: str, make: Callable[[], HashEncoder] = HashEncoder, least: int = 5, most: int | None = None) -> DataFrame:
+    """Mean distance of all pairs of a text's token vectors, from the sum of the unit vectors; null below ``least`` tokens.
+
+    All tokens count; ``most`` is for encoders that read no further.
+    """
     kinds = dict((f.name, f.dataType.simpleString()) for f in df.schema)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_tokens int, diversity double"
 
