@@ -1,22 +1,28 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
 Each source's documents, in a fixed random order and repeated as often as needed, form a line of tokens cut into
-blocks.  Block k of a source with weight w is released at slot floor(k / w) and due at slot ceil((k + 1) / w); the
-earliest deadline first gives every source its share in every prefix up to less than one block.
+blocks.  Of a source with n of the mix's T blocks, block k is released at slot floor(k T / n) and due at slot
+ceil((k + 1) T / n); the earliest deadline first gives every source its share in every prefix up to less than one block.
+
+A long mix is cut into segments of slots.  Where they meet, every source stands less than one block off its share, so
+each segment is a mix of its own, scheduled in a task of its own; a prefix then deviates by less than two blocks,
+however large the mix.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parlance.session import Stage
 
-#: Blocks are at least this many tokens, and so large that a mix has at most that many of them.
-LEAST_BLOCK, MOST_BLOCKS = 4096, 100_000
+#: Tokens of a block and slots of a segment, unless others are asked for.
+BLOCK, SEGMENT = 4096, 65_536
 ROWS_PER_SALT = 200_000
 
 
@@ -26,30 +32,62 @@ def source_name(source: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def schedule(weights: dict[str, Fraction], blocks: dict[str, int]) -> list[tuple[str, int]]:
-    """The source and number of the block in each slot, by earliest deadline among the released; weights sum to one."""
-    release: list[tuple[int, int, str, int]] = []
-    for s, w in sorted(weights.items()):
-        if blocks.get(s):
-            release.append((0, math.ceil(1 / w), s, 0))
-    heapq.heapify(release)
-    ready: list[tuple[int, str, int]] = []
-    out: list[tuple[str, int]] = []
-    total, slot = sum(blocks.values()), 0
-    while len(out) < total:
-        while release and release[0][0] <= slot:
-            _, due, s, k = heapq.heappop(release)
-            heapq.heappush(ready, (due, s, k))
-        if ready:
-            _, s, k = heapq.heappop(ready)
-            out.append((s, k))
-            if k + 1 < blocks[s]:
-                w = weights[s]
-                heapq.heappush(release, (math.floor((k + 1) / w), math.ceil((k + 2) / w), s, k + 1))
-        slot += 1
+def schedule(blocks: list[int]) -> list[tuple[int, int]]:
+    """The source and its block in each slot, by earliest deadline among the released, for sources of so many blocks."""
+    total, done = sum(blocks), [0] * len(blocks)
+    # One entry per source: its next block, waiting for its release or ready for its deadline.
+    waiting = [(0, i) for i, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int]] = []
+    out: list[tuple[int, int]] = []
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // blocks[i]), i))
+        _, i = heapq.heappop(ready)
+        out.append((i, done[i]))
+        done[i] += 1
+        if done[i] < blocks[i]:
+            heapq.heappush(waiting, (done[i] * total // blocks[i], i))
     return out
 
 
+def segments(blocks: list[int], size: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """First slot, blocks done before and blocks to do of each source, for every segment of ``size`` slots.
+
+    At every border each source has the whole blocks of its share, or one more; the sources furthest behind get
+    those.  No source ever steps back.
+    """
+    total, done, start = sum(blocks), [0] * len(blocks), 0
+    while start < total:
+        end = min(total, start + size)
+        reached = [max(d, end * n // total) for d, n in zip(done, blocks)]
+        behind = sorted(((end * n % total, -i) for i, n in enumerate(blocks) if reached[i] == end * n // total), reverse=True)
+        for _, i in behind[: end - sum(reached)]:
+            reached[-i] += 1
+        yield start, done, [b - a for a, b in zip(done, reached)]
+        done, start = reached, end
+
+
+def _slots(mixes: DataFrame, size: int) -> DataFrame:
+    """``mix_name, source, k, slot`` of every block of ``mixes(mix_name, sources, blocks)``, a segment at a time."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mix, sources, blocks in zip(batch["mix_name"], batch["sources"], batch["blocks"], strict=True):
+                for start, done, todo in segments([int(n) for n in blocks], size):
+                    yield pd.DataFrame({"mix_name": [mix], "sources": [sources], "start": [start], "done": [done], "todo": [todo]})
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mix, sources, start, done, todo in zip(*(batch[c] for c in ("mix_name", "sources", "start", "done", "todo")), strict=True):
+                who, k = zip(*schedule([int(n) for n in todo]))
+                number = [int(done[i]) + j for i, j in zip(who, k)]
+                yield pd.DataFrame({"mix_name": mix, "source": [sources[i] for i in who], "k": number, "slot": range(start, start + len(who))})
+
+    cuts = mixes.mapInPandas(cut, "mix_name string, sources array<string>, start long, done array<long>, todo array<long>")
+    return cuts.repartition("mix_name", "start").mapInPandas(fill, "mix_name string, source string, k long, slot long")
+
+
 def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:
     """Tokens each source contributes.
 
@@ -78,15 +116,16 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return out
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 20) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total: int | str | None, seed: int = 20, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """Every mix of ``targets(mix_name, source, target_share, max_repeats)`` over ``sized(key, source, n_tokens)``.
 
     ``mix_name, slot, place, source, key, repeat_no, n_tokens``: read in order of slot and place.  Sources are
     compared by :func:`source_name`.  Documents without source or tokens take no part; a repeated key is a document
     of its own.  Sources that have no documents are left out and the others keep their proportions.  A source's
-    contribution ends with the document that reaches its quota.  Targets are few and given; sums per source and the
-    schedule of at most ``MOST_BLOCKS`` blocks a mix are all the driver holds.  ``total`` is the size of each mix; the
-    default keeps every share exact, ``"held"`` stands for all tokens of the mix's sources (see :func:`quotas`).
+    contribution ends with the document that reaches its quota.  Targets are few and given; sums per source are all
+    the driver holds.  ``total`` is the size of each mix in tokens: ``"held"`` stands for all tokens of the mix's
+    sources, None for as many as keep every share exact (see :func:`quotas`).  ``block`` is the number of tokens of a
+    block at every size of the corpus; a document belongs to the block it begins in.
     """
     spark = sized.sparkSession
     wanted: dict[str, dict[str, tuple[float, int]]] = {}
@@ -106,26 +145,21 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | str | None = None, se
     line = salted.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["source", "salt"])
     line = line.select("source", "key", "n_tokens", (F.col("offset") + F.col("before")).alias("start"))
 
-    plan, quota_rows = [], []
+    mixes, quota_rows = [], []
     for name, target in sorted(wanted.items()):
         size = sum(sizes.get(s, 0) for s in target) if total == "held" else total
-        quota = quotas(sizes, target, size)
-        whole = sum(quota.values())
-        if not whole:
-            continue
-        block = max(LEAST_BLOCK, math.ceil(whole / MOST_BLOCKS))
-        weights = {s: Fraction(q, whole) for s, q in quota.items() if q}
-        count = {s: math.ceil(quota[s] / block) for s in weights}
-        plan += [(name, s, k, slot) for slot, (s, k) in enumerate(schedule(weights, count))]
-        quota_rows += [(name, s, q, sizes[s], block, math.ceil(q / sizes[s])) for s, q in quota.items() if q]
-    quota_df = spark.createDataFrame(quota_rows, "mix_name string, source string, quota long, held long, block long, rounds int")
-    slots = spark.createDataFrame(plan, "mix_name string, source string, k long, slot long")
+        quota = {s: q for s, q in quotas(sizes, target, size).items() if q}
+        if quota:
+            mixes.append((name, list(quota), [math.ceil(q / block) for q in quota.values()]))
+            quota_rows += [(name, s, q, sizes[s], math.ceil(q / sizes[s])) for s, q in quota.items()]
+    quota_df = spark.createDataFrame(quota_rows, "mix_name string, source string, quota long, held long, rounds int")
+    slots = _slots(spark.createDataFrame(mixes, "mix_name string, sources array<string>, blocks array<long>"), segment)
     # One row per mix and source: a handful.
     copies = line.join(F.broadcast(quota_df), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
     copies = copies.withColumn("at", F.col("start") + F.col("repeat_no") * F.col("held")).where("at < quota")
-    copies = copies.withColumn("k", F.floor(F.col("at") / F.col("block")))
+    copies = copies.withColumn("k", F.floor(F.col("at") / block))
     return copies.join(slots, ["mix_name", "source", "k"]).select(
-        "mix_name", "slot", (F.col("at") - F.col("k") * F.col("block")).alias("place"), "source", "key", "repeat_no", "n_tokens"
+        "mix_name", "slot", (F.col("at") - F.col("k") * block).alias("place"), "source", "key", "repeat_no", "n_tokens"
     )
 
 

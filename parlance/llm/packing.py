@@ -22,6 +22,8 @@ from parlance.session import Stage
 
 #: Items of one size and salt; the number of salts follows from the number of items.
 ROWS_PER_SALT = 200_000
+#: Every item is packed once for each capacity, and these few rows are sent to all tasks.
+MOST_KINDS = 100
 
 
 @dataclass
@@ -224,6 +226,8 @@ def pack(sized: DataFrame, key: Column, size: Column, capacities: dict[str, int]
     tasks has at most as many entries as sizes up to the capacity have partners; it does not grow with the items.
     """
     spark = sized.sparkSession
+    if len(capacities) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} capacities")
     kinds = spark.createDataFrame(sorted(capacities.items()), "kind string, capacity long")
     base = sized.select(key.alias("key"), size.cast("long").alias("size")).where("size > 0")
     whole = F.floor(F.col("size") / F.col("capacity"))
