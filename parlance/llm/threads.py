@@ -164,24 +164,24 @@ def has_content(text: Column) -> Column:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """Resolved messages of ``(campaign_id, message_id, character, text)``: one row per distinct message.
+    """Resolved messages of ``(row_id, campaign_id, message_id, character, text)``: one row per distinct message.
 
     A message's parent is the turn before it.  Repeated loads are one message, which has content, or a side, if
-    any of its loads has.  Rows with a null campaign or message id take no part.
+    any of its loads has; ``load`` is its smallest row id.  Rows with a null campaign or message id take no part.
     """
     role, content = speaker_role(F.col("character")), has_content(F.col("text"))
     flat = messages.where("campaign_id IS NOT NULL AND message_id IS NOT NULL").select(
-        F.col("campaign_id").alias("conv"), F.col("message_id").cast("long").alias("id"),
+        F.col("campaign_id").alias("conv"), F.col("message_id").cast("long").alias("id"), F.col("row_id").cast("long").alias("load"),
         content.alias("content"), (content & F.coalesce(role == "gm", F.lit(False))).alias("gm"),
         (content & F.coalesce(role == "player", F.lit(False))).alias("pc"),
     )
     # Spread by block first; the aggregation then finds its rows together and needs no exchange of its own.
     near = F.floor(F.col("id") / BLOCK)
     one = flat.withColumn("near", near).repartition("conv", "near").groupBy("conv", "near", "id").agg(
-        F.max("content").alias("content"), F.max("gm").alias("gm"), F.max("pc").alias("pc")
+        F.min("load").alias("load"), F.max("content").alias("content"), F.max("gm").alias("gm"), F.max("pc").alias("pc")
     )
     parent = F.when(F.col("id") != 0, F.col("id") - 1)
-    return resolve(one.select("conv", "id", parent.alias("parent"), "content", "gm", "pc"))
+    return resolve(one.select("conv", "id", parent.alias("parent"), "load", "content", "gm", "pc"))
 
 
 def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -192,7 +192,11 @@ def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     have no message with content.  The first that holds is the reason.  Null campaign ids give no row; repeated
     ones give one.
     """
-    known = turns(messages).groupBy("conv").agg(
+    return _reasons(turns(messages), conversations)
+
+
+def _reasons(resolved: DataFrame, conversations: DataFrame) -> DataFrame:
+    known = resolved.groupBy("conv").agg(
         F.max("content").alias("content"), F.max("gm").alias("gm"), F.max("pc").alias("pc"),
         F.max(F.col("state") != "ok").alias("broken"),
     )
@@ -208,16 +212,17 @@ def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
 def rebuild(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """The kept conversations, one row per message: ``campaign_id, turn, role, player, character, text``.
 
-    ``turn`` is the depth under the root, so the rows of a conversation read from root to leaf in its order.  Of
-    repeated loads the one with the smallest row id is emitted.  Conversations stay rows rather than one array:
-    a single one may hold a large part of the corpus.
+    A conversation is the path from its root to its leaf: ``turn`` is the depth to which following the parents led, so
+    rows read in its order.  Of repeated loads the one with the smallest row id is emitted; a message whose loads all
+    lack a row id comes without player, character and text.  Conversations stay rows rather than one array: a single
+    one may hold a large part of the corpus.
     """
-    kept = verdicts(messages, conversations).where("reason IS NULL").select("campaign_id")
-    first = messages.where("campaign_id IS NOT NULL AND message_id IS NOT NULL").groupBy("campaign_id", "message_id").agg(
-        F.min_by(F.struct("player", "character", "text"), "row_id").alias("m")
-    )
-    # In a kept conversation the chain is complete, hence the depth is the message id itself.
-    return first.join(kept, "campaign_id", "left_semi").select(
-        "campaign_id", F.col("message_id").cast("long").alias("turn"), speaker_role(F.col("m.character")).alias("role"),
-        "m.player", "m.character", "m.text",
+    resolved = Stage(turns(messages), "threads-resolved").df
+    kept = _reasons(resolved, conversations).where("reason IS NULL").select(F.col("campaign_id").alias("conv"))
+    path = resolved.join(kept, "conv", "left_semi").select("conv", "depth", "load")
+    # Texts move once, by their row.
+    held = messages.where("row_id IS NOT NULL").select(F.col("row_id").cast("long").alias("load"), "player", "character", "text")
+    return path.join(held, "load", "left").select(
+        F.col("conv").alias("campaign_id"), F.col("depth").alias("turn"), speaker_role(F.col("character")).alias("role"),
+        "player", "character", "text",
     )
