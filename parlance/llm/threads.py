@@ -219,10 +219,11 @@ def rebuild(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """
     resolved = Stage(turns(messages), "threads-resolved").df
     kept = _reasons(resolved, conversations).where("reason IS NULL").select(F.col("campaign_id").alias("conv"))
-    path = resolved.join(kept, "conv", "left_semi").select("conv", "depth", "load")
-    # Texts move once, by their row.
-    held = messages.where("row_id IS NOT NULL").select(F.col("row_id").cast("long").alias("load"), "player", "character", "text")
-    return path.join(held, "load", "left").select(
-        F.col("conv").alias("campaign_id"), F.col("depth").alias("turn"), speaker_role(F.col("character")).alias("role"),
-        "player", "character", "text",
+    path = resolved.join(kept, "conv", "left_semi").select(F.col("conv").alias("campaign_id"), "id", "depth", "load")
+    # Texts move once, by message and load; rows that agree in those are one load.
+    held = messages.where("row_id IS NOT NULL").select(
+        "campaign_id", F.col("message_id").cast("long").alias("id"), F.col("row_id").cast("long").alias("load"), "player", "character", "text"
+    ).dropDuplicates(["campaign_id", "id", "load"])
+    return path.join(held, ["campaign_id", "id", "load"], "left").select(
+        "campaign_id", F.col("depth").alias("turn"), speaker_role(F.col("character")).alias("role"), "player", "character", "text",
     )

@@ -71,6 +71,8 @@ def test_verdicts(spark):
     assert got == {"good": None, "blank": "empty", "hole": "broken", "late": "broken", "alone": "no_reply", "mute": "no_reply", "none": "empty", "nullid": None}
     rows = [(r.turn, r.role, r.text) for r in threads.rebuild(df, meta).where("campaign_id = 'good'").orderBy("turn").collect()]
     assert rows == [(0, "gm", "yo"), (1, "player", "hi")]
+    again = [(r.turn, r.text) for r in threads.rebuild(df.unionByName(df), meta).where("campaign_id = 'good'").orderBy("turn").collect()]
+    assert again == [(0, "yo"), (1, "hi")]
     assert threads.verdicts(df.limit(0), meta).where("reason = 'empty'").count() == 9 - 1
     assert threads.verdicts(df, meta.limit(0)).count() == 0
 
