@@ -2,9 +2,10 @@
 
 Everything happens inside a group (a campaign).  Spellings are reduced to a form: case, accents, separators, order,
 titles and epithets are taken away.  Forms with two whole names meet in bands over the q-grams of both; incomplete
-forms (a single name, or one with an initial) meet whole ones in bands over the q-grams of single names.  Candidates
-are verified token by token; in the graph of verified links the strongest forms become star centres, and every other
-form joins its best adjacent centre.
+forms (a single name, or one with an initial) meet whole ones in bands over the q-grams of single names, and of what
+a single name begins with, so that shortened names meet their whole ones.  Candidates are verified token by token; in
+the graph of verified links the strongest forms become star centres, and every other form joins its best adjacent
+centre.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,6 @@ from parlance.session import Stage
 TITLES = frozenset(
     "ser sir lady lord dame captain capt brother sister father mother master mistress mr mrs ms miss dr doctor".split()
 )
-MAX_NICKNAMES = 20_000
 NGRAM = 2
 
 
@@ -38,10 +38,19 @@ def bands_for(rows: int, similarity: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-#: Two whole names with a typing error in each share about half of their q-grams; one name with an error about six tenths.
-WHOLE_ROWS, SINGLE_ROWS = 3, 2
+#: Two whole names with a typing error in each share about half of their q-grams; one name with an error about six
+#: tenths, one of up to six letters about three tenths.
+WHOLE_ROWS, SINGLE_ROWS, SHORT_ROWS = 3, 2, 1
 WHOLE_BANDS = bands_for(WHOLE_ROWS, 0.55, 0.97)
 SINGLE_BANDS = bands_for(SINGLE_ROWS, 0.6, 0.97)
+SHORT_BANDS = bands_for(SHORT_ROWS, 0.33, 0.97)
+SHORT_LENGTH = 6
+#: A shortened name is compared with beginnings of its own length, up to this one.
+LONGEST_SHORT = 7
+#: Forms of a bucket that one task pairs with as many others; larger buckets are split into parts.
+BUCKET_PART = 2_000
+#: No more buckets than this can be that large (see :func:`_parts`).
+MOST_SPLIT = 10_000
 
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _EPITHET = re.compile(r"\s(?:of\s)?the\s.*$|\sof\s.*$|\s*\(.*\)\s*$", re.I)
@@ -100,51 +109,62 @@ def band_keys(features: set[str], rows: int, bands: int, space: str, memo: dict[
     return key.view(np.int64).tolist()
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, substitution or swap of neighbours separates the two."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-
-
-def token_similarity(a: str, b: str, da: int, db: int, nick: dict[str, tuple[str, ...]]) -> float:
-    """Similarity of two tokens; ``da, db``: in how many groups they occur, for telling a name from a mistyped one."""
+def edits(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours that separate the two; ``most + 1`` if more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return min(last[-1], most + 1)
+
+
+def token_similarity(a: str, b: str, da: int, db: int, na: Sequence[str] = (), nb: Sequence[str] = ()) -> float:
+    """Similarity of two tokens.
+
+    ``da, db``: in how many groups they occur, for telling a name from a mistyped one; ``na, nb``: the names they may
+    be short for.  Typing errors are graded by their number against the length: one in any name of three letters or
+    more, two in one of seven or more.
+    """
     if a == b:
         return 1.0
+    if a in nb or b in na:
+        return 0.93
     if len(a) == 1 or len(b) == 1:
-        if a in nick.get(b, ()) or b in nick.get(a, ()):
-            return 0.93
         return 0.9 if a[0] == b[0] else 0.0
-    if b in nick.get(a, ()) or a in nick.get(b, ()):
-        return 0.93
     short, long, ds, dl = (a, b, da, db) if len(a) < len(b) else (b, a, db, da)
-    if len(short) >= 2 and long.startswith(short) and ds < 0.5 * max(dl, 2):
+    if long.startswith(short) and ds < 0.5 * max(dl, 2):
         return 0.85
     # Two tokens that are both common are two names, however close their letters.
     established = min(da, db) >= max(3, 0.05 * max(da, db))
-    if min(len(a), len(b)) >= 3 and one_edit(a, b) and not established:
-        return 1 - 1 / max(len(a), len(b))
-    return 0.0
+    allowed = 0 if len(short) < 3 or established else 1 if len(short) < 7 else 2
+    found = edits(a, b, allowed)
+    return 1 - found / len(long) if found <= allowed else 0.0
 
 
-def monge_elkan(a: list[str], b: list[str], da: list[int], db: list[int], nick: dict[str, tuple[str, ...]]) -> float:
+def monge_elkan(
+    a: list[str], b: list[str], da: list[int], db: list[int], na: Sequence[Sequence[str]] | None = None, nb: Sequence[Sequence[str]] | None = None
+) -> float:
     """Mean of the best similarities of the shorter name's tokens, each matched to another token; 0 if any has none."""
+    na, nb = na if na is not None else [()] * len(a), nb if nb is not None else [()] * len(b)
     if len(a) > len(b):
-        a, b, da, db = b, a, db, da
+        a, b, da, db, na, nb = b, a, db, da, nb, na
     if not a or max(map(len, a)) == 1 and len(a) > 1:
         return 0.0
     free, total, whole = list(range(len(b))), 0.0, 0.0
     for i in sorted(range(len(a)), key=lambda i: -len(a[i])):
         best, at = 0.0, -1
         for j in free:
-            s = token_similarity(a[i], b[j], da[i], db[j], nick)
+            s = token_similarity(a[i], b[j], da[i], db[j], na[i], nb[j])
             if s > best:
                 best, at = s, j
         if at < 0:
@@ -157,12 +177,11 @@ def monge_elkan(a: list[str], b: list[str], da: list[int], db: list[int], nick:
     return total / len(a) if whole or len(a) == 1 else 0.0
 
 
-def nicknames(corrections: DataFrame, old: Column, new: Column, support: int = 1) -> dict[str, tuple[str, ...]]:
-    """Short forms of given names, read from hand-made corrections that keep the other token.
+def nicknames(corrections: DataFrame, old: Column, new: Column, support: int = 1) -> DataFrame:
+    """``token, names``: short forms of given names, read from hand-made corrections that keep the other token.
 
     A pair counts with at least ``support`` corrections, and if the two have their first letter or two letters in a
-    row in common.  The result is a dictionary of given names, not of rows;
-    the :data:`MAX_NICKNAMES` best supported pairs are taken.
+    row in common.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,17 +194,13 @@ def nicknames(corrections: DataFrame, old: Column, new: Column, support: int = 1
                     x, y = rest_a[0], rest_b[0]
                     initial = len(x) == 1 and "." in o
                     alike = x[0] == y[0] or any(x[i : i + 2] in y for i in range(len(x) - 1))
-                    if not initial and not one_edit(x, y) and len(x) < len(y) and alike:
+                    if not initial and edits(x, y, 1) > 1 and len(x) < len(y) and alike:
                         rows.append((x, y))
-            yield pd.DataFrame(rows, columns=["short", "name"])
+            yield pd.DataFrame(rows, columns=["token", "name"])
 
     pairs = corrections.select(old.alias("o"), new.alias("n")).where("o IS NOT NULL AND n IS NOT NULL")
-    counted = pairs.mapInPandas(run, "short string, name string").groupBy("short", "name").count().where(F.col("count") >= support)
-    found = counted.orderBy(F.desc("count"), "short", "name").limit(MAX_NICKNAMES).collect()
-    out: dict[str, tuple[str, ...]] = {}
-    for r in found:
-        out[r.short] = (*out.get(r.short, ()), r.name)
-    return out
+    counted = pairs.mapInPandas(run, "token string, name string").groupBy("token", "name").count().where(F.col("count") >= support)
+    return counted.groupBy("token").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def spellings(messages: DataFrame) -> DataFrame:
@@ -208,12 +223,106 @@ def spellings(messages: DataFrame) -> DataFrame:
     return distinct.withColumn("role", role).where("role <> 'dice'").select("grp", "spelling", "n", "user", (F.col("role") == "gm").alias("gm"))
 
 
-def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float = 0.8) -> DataFrame:
+class Bands:
+    """Band keys of forms, with a memo of the tokens seen by this worker."""
+
+    def __init__(self) -> None:
+        self.grams: dict[str, int] = {}
+        self.single: dict[str, list[int]] = {}
+
+    def of_token(self, t: str) -> list[int]:
+        """Keys under which a single name is found."""
+        if t not in self.single:
+            if len(self.single) > 200_000:
+                self.single.clear()
+            # Names of the length between have both, as one typing error can lead to either side.
+            keys = band_keys(grams(t), SINGLE_ROWS, SINGLE_BANDS, "single", self.grams) if len(t) >= SHORT_LENGTH else []
+            if len(t) <= SHORT_LENGTH:
+                keys = keys + band_keys(grams(t), SHORT_ROWS, SHORT_BANDS, "short", self.grams)
+            self.single[t] = keys
+        return self.single[t]
+
+    def beginning(self, t: str) -> int:
+        """One key of all q-grams of a name's beginning, in their order: a band of as many rows as it has."""
+        return _hash("begin|" + t)
+
+    def of_name(self, parts: list[str]) -> list[int]:
+        return band_keys(set().union(*map(grams, parts)), WHOLE_ROWS, WHOLE_BANDS, "whole", self.grams)
+
+    def keys(self, parts: list[str], names: Sequence[Sequence[str]]) -> Iterator[tuple[int, bool | None]]:
+        """``(key, full)`` of a form: ``full`` is null for bands over whole names, else tells those from incomplete ones."""
+        long = [t for t in parts if len(t) > 1]
+        full = len(long) > 1
+        for t, known in zip(parts, names, strict=True):
+            for x in (*((t,) if len(t) > 1 else ()), *known):
+                yield from ((k, full) for k in self.of_token(x))
+            # Incomplete forms ask for names that begin as they do; a form that may be asked has a key per beginning.
+            for n in range(2, min(len(t), LONGEST_SHORT) + 1):
+                yield self.beginning(t[:n]), full or n < len(t)
+        if full:
+            views = [long] + [[n if x == t else x for x in long] for t, known in zip(parts, names, strict=True) for n in known]
+            for v in views:
+                yield from ((k, None) for k in self.of_name(v))
+
+
+def _parts(banded: DataFrame, rows: int) -> DataFrame:
+    """``key, parts`` of the buckets that are paired part by part.
+
+    They hold more than ``BUCKET_PART`` forms and more than a ten-thousandth of all rows: fewer than ``MOST_SPLIT``,
+    so they can be sent to every task.
+    """
+    large = max(BUCKET_PART, rows // MOST_SPLIT)
+    return banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key", F.ceil(F.col("n") / large).cast("int").alias("parts"))
+
+
+def _candidates(banded: DataFrame, rows: int) -> DataFrame:
+    """``a, b``: distinct pairs of forms that share a bucket, whole names with whole ones, incomplete ones with all."""
+    split = banded.join(F.broadcast(_parts(banded, rows)), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # Part (p, q) of a bucket pairs the left forms of part p with the right forms of part q.
+    left = lambda df: df.select("key", F.col("id").alias("a"), own.alias("p"), every.alias("q"))
+    right = lambda df: df.select("key", F.col("id").alias("b"), every.alias("p"), own.alias("q"))
+    whole, single = split.where("full IS NULL"), split.where("full IS NOT NULL")
+    near = left(whole).join(right(whole), ["key", "p", "q"]).where("a < b").select("a", "b")
+    near = near.unionByName(left(single.where("NOT full")).join(right(single), ["key", "p", "q"]).where("a <> b").select("a", "b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _satellites(edges: DataFrame) -> DataFrame:
+    """``id`` of the forms that are no star centres, by ``edges(a, b, ra, rb)`` in both directions with both ranks.
+
+    In each round an undecided form above all its undecided neighbours becomes a centre, and its neighbours
+    satellites; decided forms and their edges leave.  The highest form of what is left is decided in every round, so
+    rounds go on until nothing is left.  A form that loses all its neighbours is a centre.
+    """
+    found: list[DataFrame] = []
+    left = Stage(edges, "names-open")
+    while not left.df.isEmpty():
+        top = left.df.groupBy("a").agg(F.max("rb").alias("top"), F.max("ra").alias("ra"))
+        chosen = Stage(top.where(F.col("ra") > F.col("top")).select("a"), "names-centres")
+        hit = left.df.join(chosen.df.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct()
+        hit = Stage(hit, "names-satellites")
+        gone = chosen.df.unionByName(hit.df)
+        after = left.df.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti")
+        after = Stage(after.select("a", "b", "ra", "rb"), "names-open")
+        chosen.drop()
+        left.drop()
+        found.append(hit.df)
+        left = after
+    left.drop()
+    out = edges.select(F.col("a").alias("id")).limit(0)
+    for hit in found:
+        out = out.unionByName(hit.select(F.col("a").alias("id")))
+    return out
+
+
+def link(spelled: DataFrame, nick: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Entities of the spellings of each group: ``grp, spelling, entity``.
 
-    ``spelled`` is as :func:`spellings` gives it.  The titles of a game master are one entity.  Every spelling gets
-    exactly one entity, its own if nothing matches.  Repeated rows and ties are settled by count and then by the
-    alphabet, so the result does not depend on the order of rows.
+    ``spelled`` is as :func:`spellings` gives it, ``nick`` as :func:`nicknames`.  The titles of a game master are one
+    entity.  Every spelling gets exactly one entity, its own if nothing matches.  Repeated rows and ties are settled
+    by count and then by the alphabet, so the result does not depend on the order of rows.
     """
 
     @F.pandas_udf("array<string>")
@@ -227,104 +336,58 @@ def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float
         F.sum("n").alias("n"), F.max(F.struct("n", "user")).getField("user").alias("user"), F.first("tokens").alias("tokens")
     )
     spread = forms.select(F.explode("tokens").alias("token"), "grp").groupBy("token").agg(F.count_distinct("grp").alias("df"))
+    known = spread.join(nick, "token", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     counted = (
-        forms.select("grp", "form", F.explode("tokens").alias("token")).join(spread, "token")
-        .groupBy("grp", "form").agg(F.map_from_entries(F.collect_set(F.struct("token", "df"))).alias("dfs"))
+        forms.select("grp", "form", F.explode("tokens").alias("token")).join(known, "token")
+        .groupBy("grp", "form").agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("df", "names")))).alias("of"))
     )
     forms = forms.join(counted, ["grp", "form"]).select(
         F.xxhash64("grp", "form").alias("id"), "grp", "form", "n", "user", "tokens",
-        F.transform("tokens", lambda t: F.col("dfs")[t]).alias("dfs"),
+        F.transform("tokens", lambda t: F.col("of")[t]["df"]).alias("dfs"), F.transform("tokens", lambda t: F.col("of")[t]["names"]).alias("names"),
     )
     forms_at = Stage(forms, "names-forms")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
-        single: dict[str, list[int]] = {}
-
-        def of_token(t: str) -> list[int]:
-            if t not in single:
-                if len(single) > 200_000:
-                    single.clear()
-                # A short form may share only its beginning with the name: its first two letters are one more band.
-                single[t] = band_keys(grams(t), SINGLE_ROWS, SINGLE_BANDS, "single", memo) + [_hash("begin|" + t[:2])]
-            return single[t]
-
+        bands = Bands()
         for batch in batches:
             ids, grps, out, whole = [], [], [], []
-            for i, g, ts in zip(batch["id"], batch["grp"], batch["tokens"], strict=True):
-                ts = list(ts)
-                long = [t for t in ts if len(t) > 1]
-                found: list[int] = []
-                for t in [x for t in ts for x in (*((t,) if len(t) > 1 else ()), *nick.get(t, ()))]:
-                    found += of_token(t)
-                full = len(long) > 1
-                ids += [i] * len(found)
-                grps += [g] * len(found)
-                out += found
-                whole += [full] * len(found)
-                if full:
-                    views = [long] + [[n if x == t else x for x in long] for t in long for n in nick.get(t, ())]
-                    for v in views:
-                        k = band_keys(set().union(*map(grams, v)), WHOLE_ROWS, WHOLE_BANDS, "whole", memo)
-                        ids += [i] * len(k)
-                        grps += [g] * len(k)
-                        out += k
-                        whole += [None] * len(k)
+            for i, g, ts, ns in zip(batch["id"], batch["grp"], batch["tokens"], batch["names"], strict=True):
+                for k, full in bands.keys(list(ts), [tuple(n) for n in ns]):
+                    ids.append(i)
+                    grps.append(g)
+                    out.append(k)
+                    whole.append(full)
             yield pd.DataFrame({"id": ids, "grp": grps, "key": out, "full": pd.array(whole, dtype="boolean")})
 
-    # ``full`` is null for bands over whole names; in the others it tells whole names from incomplete ones.
-    rows = forms_at.df.select("id", "tokens", F.xxhash64("grp").alias("grp")).mapInPandas(keys, "id long, grp long, key long, full boolean")
+    rows = forms_at.df.select("id", "tokens", "names", F.xxhash64("grp").alias("grp")).mapInPandas(keys, "id long, grp long, key long, full boolean")
     banded = Stage(rows.select("id", F.xxhash64("grp", "key").alias("key"), "full"), "names-bands")
-    whole = banded.df.where("full IS NULL")
-    a, b = whole.select("key", F.col("id").alias("a")), whole.select("key", F.col("id").alias("b"))
-    near = a.join(b, "key").where("a < b").select("a", "b")
-    single = banded.df.where("full IS NOT NULL")
-    short = single.where("NOT full").select("key", F.col("id").alias("a"))
-    near = near.unionByName(short.join(single.select("key", F.col("id").alias("b")), "key").where("a <> b").select("a", "b"))
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = _candidates(banded.df, banded.df.count())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s = [
-                monge_elkan(list(x), list(y), list(dx), list(dy), nick)
-                for x, y, dx, dy in zip(batch["ta"], batch["tb"], batch["da"], batch["db"], strict=True)
-            ]
-            yield batch[["a", "b"]].assign(score=s)[lambda f: f["score"] >= threshold]
-
-    side = forms_at.df.select("id", "tokens", "dfs")
-    pairs = near.join(side.toDF("a", "ta", "da"), "a").join(side.toDF("b", "tb", "db"), "b")
+            columns = (batch[c] for c in ("ta", "tb", "da", "db", "na", "nb"))
+            yield batch[["a", "b"]].assign(score=[monge_elkan(*map(list, x)) for x in zip(*columns, strict=True)])[lambda f: f["score"] >= threshold]
+
+    side = forms_at.df.select("id", "tokens", "dfs", "names")
+    pairs = near.join(side.toDF("a", "ta", "da", "na"), "a").join(side.toDF("b", "tb", "db", "nb"), "b")
     scored = Stage(pairs.mapInPandas(score, "a long, b long, score double"), "names-links")
-    edges = scored.df.unionByName(scored.df.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
     long = F.size(F.filter("tokens", lambda t: F.length(t) > 1))
-    known = F.lit(0)
-    if nick:
-        known = F.size(F.filter("tokens", lambda t: t.isin(*nick)))
+    known = F.size(F.filter("names", lambda n: F.size(n) > 0))
     # Names that are common over all groups come before rare tokens, which may be mistyped, whatever their counts here.
     usual = lambda c: F.floor(F.log2(c)).cast("int")
     rank = F.struct(
         F.least(long, F.lit(2)).alias("whole"), (-known).alias("nick"), usual(F.array_min("dfs")).alias("least"), usual(F.array_max("dfs")).alias("most"),
         F.col("n").alias("n"), F.col("form").alias("form"), F.col("id").alias("id"),
     )
-    nodes = forms_at.df.select("id", "user", rank.alias("rank"))
-    state = Stage(nodes.withColumn("centre", F.lit(None).cast("boolean")), "names-stars")
-    for _ in range(64):
-        open_ = state.df.where("centre IS NULL")
-        if open_.isEmpty():
-            break
-        # An open form above all its open neighbours becomes a centre; open neighbours of centres are satellites.
-        above = edges.join(open_.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").groupBy("a").agg(F.max("rb").alias("top"))
-        chosen = open_.join(above, open_.id == above.a, "left").where(F.col("top").isNull() | (F.col("rank") > F.col("top"))).select("id")
-        chosen_at = Stage(chosen, "names-centres")
-        hit = edges.join(chosen_at.df.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct().withColumn("hit", F.lit(True))
-        new = state.df.join(chosen_at.df.withColumn("pick", F.lit(True)), "id", "left").join(hit, "id", "left")
-        after = Stage(new.select("id", "user", "rank", F.coalesce("centre", "pick", ~F.col("hit")).alias("centre")), "names-stars")
-        state.drop()
-        state = after
-    centres = state.df.where("centre").select(F.col("id").alias("b"), F.col("user").alias("ub"), F.col("rank").alias("rb"))
+    ranked = forms_at.df.select("id", "user", rank.alias("rank"))
+    both = scored.df.unionByName(scored.df.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    both = both.join(ranked.toDF("a", "ua", "ra"), "a").join(ranked.toDF("b", "ub", "rb"), "b")
+    edges = Stage(both.select("a", "b", "score", F.coalesce(F.col("ua") == F.col("ub"), F.lit(False)).alias("same"), "ra", "rb"), "names-edges")
+    satellites = Stage(_satellites(edges.df.select("a", "b", "ra", "rb")), "names-decided").df
     best = (
-        state.df.where("NOT centre").select(F.col("id").alias("a"), F.col("user").alias("ua")).join(edges, "a").join(centres, "b")
-        .groupBy("a").agg(F.max_by("b", F.struct(F.coalesce(F.col("ua") == F.col("ub"), F.lit(False)), "score", "rb")).alias("entity"))
+        edges.df.join(satellites.select(F.col("id").alias("a")), "a", "left_semi").join(satellites.select(F.col("id").alias("b")), "b", "left_anti")
+        .groupBy("a").agg(F.max_by("b", F.struct("same", "score", "rb")).alias("entity"))
     )
     every = forms_at.df.select("grp", "form", "id").join(best.withColumnRenamed("a", "id"), "id", "left")
     every = every.select("grp", "form", F.coalesce("entity", "id").alias("entity"))
@@ -332,14 +395,19 @@ def link(spelled: DataFrame, nick: dict[str, tuple[str, ...]], threshold: float
     return out.unionByName(base.where("gm").select("grp", "spelling", F.lit(0).cast("long").alias("entity")))
 
 
+def entities(messages: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``campaign_id, spelling, entity``: every spelling of a campaign once, with the character it stands for."""
+    nick = nicknames(corrections, F.col("old_name"), F.col("new_name"))
+    return link(spellings(messages), nick).withColumnRenamed("grp", "campaign_id")
+
+
 def variant_pairs(messages: DataFrame, corrections: DataFrame) -> DataFrame:
     """``campaign_id, name_a, name_b``: all pairs of different spellings of one character in a campaign, a before b.
 
     Null and empty spellings, empty tables and campaigns with one spelling give no pair; names of any length are
     compared whole.
     """
-    nick = nicknames(corrections, F.col("old_name"), F.col("new_name"))
-    linked = Stage(link(spellings(messages), nick), "names-entities").df
-    a = linked.select("grp", "entity", F.col("spelling").alias("name_a"))
-    b = linked.select("grp", "entity", F.col("spelling").alias("name_b"))
-    return a.join(b, ["grp", "entity"]).where("name_a < name_b").select(F.col("grp").alias("campaign_id"), "name_a", "name_b")
+    linked = Stage(entities(messages, corrections), "names-entities").df
+    a = linked.select("campaign_id", "entity", F.col("spelling").alias("name_a"))
+    b = linked.select("campaign_id", "entity", F.col("spelling").alias("name_b"))
+    return a.join(b, ["campaign_id", "entity"]).where("name_a < name_b").select("campaign_id", "name_a", "name_b")

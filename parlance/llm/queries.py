@@ -58,6 +58,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "campaign_messages"), table(spark, d, "name_corrections"))
 
 
+def p5_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling of a campaign with the character it stands for: the membership behind the pairs."""
+    return names.entities(table(spark, d, "campaign_messages"), table(spark, d, "name_corrections"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document in a container of each capacity."""
     sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
@@ -124,7 +129,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
-    "p5_found": p5_found,
+    "p5_found": p5_found, "p5_linked": p5_linked,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
     "p8_shares_exact": p8_shares_exact,
     "p9_found": p9_found, "p9_composition": p9_composition,
