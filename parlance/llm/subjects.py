@@ -1,23 +1,27 @@
 """Subject areas of documents: term weighting, truncated SVD, cosine to seed centroids refined iteratively.
 
-Documents and their sentences are embedded in one latent space per language.  The space is found by subspace
-iteration over all documents: each pass multiplies the weighted document-term matrix with a narrow block, in
-partial sums per task.  Only components above the noise floor are kept, and each term is weighted by its communality,
-the share of its variance that the kept components explain, so that words of the sentence frame weigh nothing.
-Centroids start from hand-labelled documents and are refined by reassigning all sentences.  A document gets every
-subject that at least a quarter of its sentences are about.
+Texts are parsed once, into numbers of words.  Terms are words and pairs of neighbouring words without the frame words
+of the language; they are hashed into a space of fixed width, so nothing the driver or a task holds grows with the
+corpus or its vocabulary.  Documents and their sentences are embedded in one latent space per language.  The space is
+found by subspace iteration over all documents: each pass multiplies the weighted document-term matrix with a narrow
+block, in partial sums per task.  Only components above the noise floor are kept, and each term is weighted by its
+communality, the share of its variance that the kept components explain, so that words of the sentence frame weigh
+nothing.  Centroids start from hand-labelled documents and are refined by reassigning all sentences.  A document gets
+every subject that at least a quarter of its sentences are about.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parlance.llm.tokens import spread
 from parlance.session import Stage
@@ -31,18 +35,22 @@ FUNCTION_WORDS = {
 LANGUAGES = tuple(FUNCTION_WORDS)
 SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]}]*\s+|\s*\n\s*""")
 WORD = re.compile(r"[^\W\d_]+")
-COMPONENTS, SPARE, PASSES = 24, 10, 8
+COMPONENTS, SPARE, PASSES = 24, 10, 6
+#: Places of the hashed terms of one language.
+WIDTH = 1 << 17
+SPACE = WIDTH * len(LANGUAGES)
 BLOCK = 2048
+SLICE = 1000
 
 
 @dataclass(frozen=True)
 class Options:
-    """``min_share``: terms in fewer documents of the language than this share (or than 3) are left out, which bounds
-    the vocabulary by the mean number of distinct terms of a document over the share.  ``max_share``: terms in more
-    documents are frame words.  ``noise``: kept components exceed the floor by this factor.  ``energy`` and
-    ``cosine``: what a sentence needs to be about anything.  ``quarter``: what share of sentences makes a subject."""
+    """``min_share``: places hit by fewer documents of the language than this share are left out.  ``max_share``: words
+    in more documents are frame words.  ``noise``: kept components exceed the floor by this factor.  ``energy`` and
+    ``cosine``: what a sentence needs to be about anything.  ``quarter``: what share of sentences makes a subject.
+    All are shares or ratios: none depends on the number of documents."""
 
-    min_share: float = 1e-4
+    min_share: float = 1e-3
     max_share: float = 0.25
     noise: float = 1.6
     energy: float = 0.1
@@ -57,106 +65,204 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in found if s]
 
 
-def language(parts: list[list[str]]) -> int:
-    hits = [sum(w in words for s in parts for w in s) for words in FUNCTION_WORDS.values()]
-    return int(np.argmax(hits))
+class WordIds(dict):
+    """A 32-bit number for every word, remembered."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return n
 
-def terms(words: list[str], frame: frozenset | set) -> list[str]:
-    """A sentence's words without frame words, and pairs of those that are then neighbours."""
-    kept = [w for w in words if w not in frame]
-    return kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])]
+
+_IDS = WordIds()
+_FUNCTION_IDS = [np.array(sorted(_IDS[w] for w in words), dtype=np.uint32) for words in FUNCTION_WORDS.values()]
+
+
+def languages(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The language of each document, by its function words; the first one listed if it has none of any."""
+    hits = [np.add.reduceat(np.isin(words, ids).astype(np.int64), starts) for ids in _FUNCTION_IDS]
+    return np.argmax(hits, axis=0).astype(np.int32)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and the length of each list."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose vectors stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _parse(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, words, ends``: numbers of a document's words, and where its sentences end among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in _slices(batches):
+            if len(ids) > 1_000_000:
+                ids.clear()
+            doc, flat, sizes, lengths = [], [], [], []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts = sentences(t)
+                if parts:
+                    doc.append(i)
+                    sizes.append(len(parts))
+                    for p in parts:
+                        flat += map(ids.__getitem__, p)
+                        lengths.append(len(p))
+            if not doc:
+                continue
+            words, sizes_, ends = np.array(flat, dtype=np.uint32), np.array(sizes), np.cumsum(lengths)
+            # Where each document's words end; its sentences' ends count from where they start.
+            last = ends[np.cumsum(sizes_) - 1]
+            starts = np.r_[0, last[:-1]]
+            own = (ends - np.repeat(starts, sizes_)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(languages(words, starts)), _lists(words.view(np.int32), last - starts), _lists(own, sizes_)],
+                ["doc_id", "lang", "words", "ends"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang int, words array<int>, ends array<int>")
+
+
+@dataclass
+class Words:
+    """The words of a slice of parsed documents, each with its language and its sentence's number in the slice."""
+
+    word: np.ndarray
+    lang: np.ndarray
+    sentence: np.ndarray
+    #: Per sentence its document's place in the slice.
+    doc: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Words:
+        word, n_words = _flat(batch.column("words"))
+        ends, n_sentences = _flat(batch.column("ends"))
+        # The first sentence of a document begins at its start, the others where the one before ends.
+        first = np.zeros(len(ends), dtype=bool)
+        first[np.r_[0, np.cumsum(n_sentences)[:-1]]] = True
+        sizes = ends - np.where(first, 0, np.r_[0, ends[:-1]])
+        lang = np.repeat(batch.column("lang").to_numpy(), n_words).astype(np.int64)
+        return cls(word.view(np.uint32).astype(np.int64), lang, np.repeat(np.arange(len(ends)), sizes), np.repeat(np.arange(batch.num_rows), n_sentences))
+
+    def keyed(self) -> np.ndarray:
+        return self.lang << 32 | self.word
+
+    def terms(self, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(sentence, place)``, each once and in order: words without the frame and pairs of those then neighbours."""
+        kept = ~np.isin(self.keyed(), frame)
+        w, s, lang = self.word[kept].astype(np.uint64), self.sentence[kept], self.lang[kept]
+        near = s[1:] == s[:-1]
+        with np.errstate(over="ignore"):
+            pairs = (w[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[1:])[near]
+            mixed = np.concatenate((w, pairs)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+            place = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (WIDTH.bit_length() - 1))
+        place = place.astype(np.int64) + np.concatenate((lang, lang[1:][near])) * WIDTH
+        key = np.unique(np.concatenate((s, s[1:][near])) * SPACE + place)
+        return key // SPACE, key % SPACE
 
 
 class Model:
-    """Everything the driver holds: per language the vocabulary, term weights, kept components and centroids.
+    """Everything the driver holds: the frame words, the places in use with their weights, loadings and centroids.
 
-    All arrays are as long as the vocabulary, whose size ``Options.min_share`` bounds.
+    All arrays are as long as the hashed space at most.
     """
 
     def __init__(self) -> None:
-        self.frame: list[set[str]] = [set() for _ in LANGUAGES]
-        self.ids: dict[tuple[int, str], int] = {}
+        self.frame = np.zeros(0, dtype=np.int64)
+        #: Place of the hashed space to row of the arrays below, -1 if it is left out.
+        self.row = np.full(SPACE, -1, dtype=np.int32)
         self.idf = np.zeros(0)
         self.lang = np.zeros(0, dtype=np.int64)
         self.load = np.zeros((0, COMPONENTS), dtype=np.float32)
         self.centroids = np.zeros((len(LANGUAGES), 0, COMPONENTS))
 
 
-def _count(docs: DataFrame, make: Callable[[int, list[list[str]]], set[str]]) -> DataFrame:
-    """In how many documents of each language each term occurs: ``lang, term, df``; combined inside tasks first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[int, str], int] = {}
-        for batch in batches:
-            for t in batch["text"]:
-                parts = sentences(t)
-                if parts:
-                    lang = language(parts)
-                    for x in {"", *make(lang, parts)}:
-                        seen[(lang, x)] = seen.get((lang, x), 0) + 1
-            if len(seen) > 200_000:
-                yield pd.DataFrame([(k[0], k[1], n) for k, n in seen.items()], columns=["lang", "term", "df"])
-                seen = {}
-        yield pd.DataFrame([(k[0], k[1], n) for k, n in seen.items()], columns=["lang", "term", "df"])
-
-    return docs.select("text").mapInPandas(run, "lang int, term string, df long").groupBy("lang", "term").agg(F.sum("df").alias("df"))
+def _vocabulary(parsed: DataFrame, model: Model, opt: Options) -> np.ndarray:
+    """Fill the model's frame words and places; the numbers of documents by language."""
+    context = parsed.sparkSession.sparkContext
+    size = np.zeros(len(LANGUAGES))
+    for r in parsed.groupBy("lang").count().collect():
+        size[r.lang] = r["count"]
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            w = Words.of(batch)
+            doc, one = w.doc[w.sentence], w.keyed()
+            order = np.lexsort((one, doc))
+            doc, one = doc[order], one[order]
+            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (one[1:] != one[:-1])] if len(one) else np.zeros(0, dtype=bool)
+            key, n = np.unique(one[fresh], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "df"])
+
+    counted = parsed.mapInArrow(words, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
+    total = F.element_at(F.array(*(F.lit(float(n)) for n in size)), F.shiftright("key", 32).cast("int") + 1)
+    # Words in a quarter of all documents: no more than four times as many as a document has.
+    model.frame = np.array(sorted(r.key for r in counted.where(F.col("df") > opt.max_share * total).select("key").collect()), dtype=np.int64)
+    frame = context.broadcast(model.frame)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((SPACE, 1))
+        for batch in _slices(batches):
+            w = Words.of(batch)
+            sentence, place = w.terms(frame.value)
+            out[:, 0] += np.bincount(np.unique(w.doc[sentence] * SPACE + place) % SPACE, minlength=SPACE)
+        return out
 
-def _vocabulary(docs: DataFrame, model: Model, opt: Options) -> np.ndarray:
-    """Fill the model's frame words and vocabulary; the numbers of documents by language (term '' counts them)."""
-    spark = docs.sparkSession
-    words = Stage(_count(docs, lambda _, parts: {w for s in parts for w in s}), "subjects-words").df
-    size = np.zeros(len(LANGUAGES))
-    for r in words.where("term = ''").collect():
-        size[r.lang] = r.df
-    total = F.create_map(*[x for i, n in enumerate(size) for x in (F.lit(i), F.lit(float(n)))])[F.col("lang")]
-    for r in words.where((F.col("term") != "") & (F.col("df") > opt.max_share * total)).collect():
-        model.frame[r.lang].add(r.term)
-    frame = spark.sparkContext.broadcast(model.frame)
-    counted = _count(docs, lambda lang, parts: {x for s in parts for x in terms(s, frame.value[lang])})
-    kept = counted.where((F.col("term") != "") & (F.col("df") >= F.greatest(F.lit(3.0), opt.min_share * total)))
-    rows: list[Row] = sorted(kept.collect(), key=lambda r: (r.lang, r.term))
-    model.ids = {(r.lang, r.term): i for i, r in enumerate(rows)}
-    model.lang = np.array([r.lang for r in rows], dtype=np.int64)
-    df = np.array([r.df for r in rows], dtype=float)
-    model.idf = np.maximum(np.log((size[model.lang] + 1) / (df + 0.5)), 0) if rows else np.zeros(0)
+    df = _gather(parsed.select("lang", "words", "ends"), places, (SPACE, 1))[:, 0]
+    lang = np.arange(SPACE) // WIDTH
+    used = np.flatnonzero((df > 0) & (df >= opt.min_share * size[lang]))
+    model.row[used] = np.arange(len(used))
+    model.lang = lang[used]
+    model.idf = np.maximum(np.log((size[model.lang] + 1) / (df[used] + 0.5)), 0)
     return size
 
 
-def _encode(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang, ids, ends, cols, counts``: term numbers of the sentences one after another, where each sentence
-    ends, and the document's distinct terms with their counts."""
-    held = docs.sparkSession.sparkContext.broadcast((model.frame, model.ids))
+def _encode(parsed: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, lang, ids, ends, cols, counts``: rows of the sentences' terms one after another, where each sentence
+    ends, and the document's distinct terms with the numbers of sentences that hold them."""
+    held = parsed.sparkSession.sparkContext.broadcast((model.frame, model.row))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame, ids = held.value
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                parts = sentences(t)
-                if not parts:
-                    continue
-                lang, flat, ends = language(parts), [], []
-                for s in parts:
-                    flat += sorted({n for x in terms(s, frame[lang]) if (n := ids.get((lang, x))) is not None})
-                    ends.append(len(flat))
-                cols, counts = np.unique(np.array(flat, dtype=np.int32), return_counts=True)
-                rows.append((i, lang, flat, ends, cols, counts.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "ids", "ends", "cols", "counts"])
-
-    schema = "doc_id long, lang int, ids array<int>, ends array<int>, cols array<int>, counts array<int>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
-
-
-def _matrix(batch: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The batch's document-term matrix, rows of unit length, as (row, column, value)."""
-    lengths = np.array([len(x) for x in batch["cols"]])
-    if not lengths.sum():
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    row, col = np.repeat(np.arange(len(batch)), lengths), np.concatenate(list(batch["cols"])).astype(np.int64)
-    val = np.log1p(np.concatenate(list(batch["counts"]))) * idf[col]
-    norm = np.sqrt(np.bincount(row, val * val, len(batch)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, rows = held.value
+        for batch in _slices(batches):
+            w = Words.of(batch)
+            sentence, place = w.terms(frame)
+            row = rows[place]
+            sentence, row = sentence[row >= 0], row[row >= 0]
+            n_docs, n_sentences = batch.num_rows, np.bincount(w.doc, minlength=batch.num_rows)
+            in_sentence = np.bincount(sentence, minlength=len(w.doc))
+            doc = w.doc[sentence]
+            before = np.r_[0, np.cumsum(np.bincount(doc, minlength=n_docs))]
+            ends = (np.cumsum(in_sentence) - before[w.doc]).astype(np.int32)
+            key, counts = np.unique(doc * np.int64(SPACE) + row, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("lang"), _lists(row, np.diff(before)), _lists(ends, n_sentences),
+                    _lists((key % SPACE).astype(np.int32), np.bincount(key // SPACE, minlength=n_docs)),
+                    _lists(counts.astype(np.int32), np.bincount(key // SPACE, minlength=n_docs)),
+                ],
+                ["doc_id", "lang", "ids", "ends", "cols", "counts"],
+            )
+
+    return parsed.mapInArrow(run, "doc_id long, lang int, ids array<int>, ends array<int>, cols array<int>, counts array<int>")
+
+
+def _matrix(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slice's document-term matrix, rows of unit length, as (row, column, value)."""
+    col, sizes = _flat(batch.column("cols"))
+    counts, _ = _flat(batch.column("counts"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    val = np.log1p(counts) * idf[col]
+    norm = np.sqrt(np.bincount(row, val * val, len(sizes)))
     return row, col, val / np.maximum(norm, 1e-12)[row]
 
 
@@ -169,28 +275,23 @@ def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
         out[sorted_[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def _slices(batches: Iterator[pd.DataFrame], size: int = 1000) -> Iterator[pd.DataFrame]:
-    """Parts of the batches whose dense vectors stay small."""
-    for batch in batches:
-        for at in range(0, len(batch), size):
-            yield batch.iloc[at : at + size]
-
+def _gather(coded: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Sum over all tasks of the matrix that ``part`` makes of a task's rows, added up in blocks of rows.
 
-def _gather(coded: DataFrame, part: Callable[[Iterator[pd.DataFrame]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all tasks of the matrix that ``part`` makes of a task's rows, added up in blocks of rows."""
+    The matrix has as many rows as the hashed space at most, and a few columns.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = part(batches)
-        blocks = range(0, len(m), BLOCK)
-        keep = [b for b in blocks if m[b : b + BLOCK].any()]
-        yield pd.DataFrame({"block": keep, "data": [m[b : b + BLOCK].astype(np.float64).tobytes() for b in keep]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = part(batches).astype(np.float32)
+        keep = [b for b in range(0, len(m), BLOCK) if m[b : b + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([m[b : b + BLOCK].tobytes() for b in keep], pa.binary())], ["block", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x) for x in pdf["data"]], axis=0)
+        total = np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf["data"]], axis=0, dtype=np.float64)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.tobytes()]})
 
     out = np.zeros(shape)
-    for r in coded.mapInPandas(run, "block long, data binary").groupBy("block").applyInPandas(add, "block long, data binary").collect():
+    for r in coded.mapInArrow(run, "block long, data binary").groupBy("block").applyInPandas(add, "block long, data binary").collect():
         block = np.frombuffer(bytes(r.data)).reshape(-1, shape[1])
         out[r.block : r.block + len(block)] = block
     return out
@@ -200,22 +301,9 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
     """Subspace iteration over all documents; fills the model's term loadings."""
     context, n = coded.sparkSession.sparkContext, len(model.idf)
     idf = context.broadcast(model.idf)
-
-    def moments(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        out = np.zeros((n, 2))
-        for batch in _slices(batches):
-            _, col, val = _matrix(batch, idf.value)
-            out += np.stack((np.bincount(col, val, n), np.bincount(col, val * val, n)), axis=1)
-        return out
-
-    weights = coded.select("cols", "counts")
-    first = _gather(weights, moments, (n, 2))
-    mean = first[:, 0] / np.maximum(size[model.lang], 1)
-    variance = first[:, 1] - size[model.lang] * mean * mean
-    width = COMPONENTS + SPARE
+    weights, width = coded.select("cols", "counts"), COMPONENTS + SPARE
     own = [np.flatnonzero(model.lang == i) for i in range(len(LANGUAGES))]
-    rng = np.random.default_rng(0)
-    q = np.zeros((n, width))
+    mean, variance = np.zeros(n), np.zeros(n)
 
     def orthonormal(z: np.ndarray) -> np.ndarray:
         out = np.zeros_like(z)
@@ -225,20 +313,28 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
                 out[rows, : basis.shape[1]] = basis
         return out
 
-    q, z = orthonormal(rng.standard_normal((n, width))), q
-    for _ in range(PASSES):
+    q = orthonormal(np.random.default_rng(0).standard_normal((n, width)))
+    last = z = q
+    for step in range(PASSES):
         sent = context.broadcast(q.astype(np.float32))
 
-        def product(batches: Iterator[pd.DataFrame], sent=sent) -> np.ndarray:
-            out = np.zeros((n, width))
+        def product(batches: Iterator[pa.RecordBatch], sent=sent, moments=step == 0) -> np.ndarray:
+            out = np.zeros((n, width + 2 * moments))
             for batch in _slices(batches):
                 row, col, val = _matrix(batch, idf.value)
-                weight, b = val.astype(np.float32)[:, None], np.zeros((len(batch), width), dtype=np.float32)
+                weight, b = val.astype(np.float32)[:, None], np.zeros((batch.num_rows, width), dtype=np.float32)
                 _add_rows(b, row, sent.value[col] * weight)
-                _add_rows(out, col, b[row] * weight)
+                _add_rows(out[:, :width], col, b[row] * weight)
+                if moments:
+                    out[:, width] += np.bincount(col, val, n)
+                    out[:, width + 1] += np.bincount(col, val * val, n)
             return out
 
-        z = _gather(weights, product, (n, width))
+        z = _gather(weights, product, (n, width + 2 * (step == 0)))
+        if step == 0:
+            mean = z[:, width] / np.maximum(size[model.lang], 1)
+            variance = z[:, width + 1] - size[model.lang] * mean * mean
+            z = z[:, :width].copy()
         for i, rows in enumerate(own):
             z[rows] -= size[i] * np.outer(mean[rows], mean[rows] @ q[rows])
         last, q = q, orthonormal(z)
@@ -255,15 +351,16 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
         model.load[rows, :kept] = axes * (model.idf[rows] * np.clip(communality, 0, 1))[:, None]
 
 
-def _embed(batch: pd.DataFrame, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of all sentences of the documents, and the number of sentences of each document."""
-    counts = np.array([len(e) for e in batch["ends"]], dtype=np.int64)
-    y = np.zeros((int(counts.sum()), load.shape[1]), dtype=np.float64)
-    if len(y):
-        sizes = np.concatenate([np.diff(e, prepend=0) for e in batch["ends"]])
-        ids = np.concatenate(list(batch["ids"])).astype(np.int64)
-        _add_rows(y, np.repeat(np.arange(len(y)), sizes), load[ids])
-    return y, counts
+def _embed(batch: pa.RecordBatch, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all sentences of the documents, and each sentence's document."""
+    ids, n_ids = _flat(batch.column("ids"))
+    ends, counts = _flat(batch.column("ends"))
+    y, doc = np.zeros((len(ends), load.shape[1])), np.repeat(np.arange(batch.num_rows), counts)
+    if len(ends):
+        # Ends count from the document's start.
+        at = ends + np.r_[0, np.cumsum(n_ids)[:-1]][doc]
+        _add_rows(y, np.repeat(np.arange(len(y)), np.diff(at, prepend=0)), load[ids])
+    return y, doc
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -278,13 +375,13 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
     shape = (n_lang * max(k, 1), COMPONENTS)
     marked = labels.where(F.col("subject").isin(*subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
 
-    def seed(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+    def seed(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(shape)
         for batch in _slices(batches):
-            y, counts = _embed(batch, load.value)
-            mean = np.zeros((len(batch), COMPONENTS))
-            _add_rows(mean, np.repeat(np.arange(len(batch)), counts), y)
-            for v, lang, found in zip(_unit(mean), batch["lang"], batch["subjects"], strict=True):
+            y, doc = _embed(batch, load.value)
+            mean = np.zeros((batch.num_rows, COMPONENTS))
+            _add_rows(mean, doc, y)
+            for v, lang, found in zip(_unit(mean), batch.column("lang").to_pylist(), batch.column("subjects").to_pylist(), strict=True):
                 for s in found:
                     out[lang * k + place[s]] += v / len(found)
         return out
@@ -298,11 +395,11 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
     for _ in range(opt.refinements):
         sent = context.broadcast(c)
 
-        def refine(batches: Iterator[pd.DataFrame], sent=sent) -> np.ndarray:
+        def refine(batches: Iterator[pa.RecordBatch], sent=sent) -> np.ndarray:
             out = np.zeros(shape)
             for batch in _slices(batches):
-                y, counts = _embed(batch, load.value)
-                langs = np.repeat(batch["lang"].to_numpy(), counts)
+                y, doc = _embed(batch, load.value)
+                langs = batch.column("lang").to_numpy()[doc]
                 strong = np.linalg.norm(y, axis=1) > opt.energy
                 for lang in range(n_lang):
                     # A subject without a seed in this language has no direction and attracts nothing.
@@ -314,7 +411,7 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
 
         new = _gather(placed.drop("doc_id"), refine, shape).reshape(n_lang, -1, COMPONENTS)
         new = np.where(np.abs(new).sum(axis=2, keepdims=True) > 0, _unit(new), c)
-        still = np.abs(new - c).max() < 1e-4
+        still = np.abs(new - c).max() < 1e-3
         c = new
         if still:
             break
@@ -325,8 +422,9 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], opt: Options |
     """The model of a corpus and the encoded corpus it was fitted on."""
     opt, model = opt or Options(), Model()
     whole = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id")
-    size = _vocabulary(whole, model, opt)
-    coded = Stage(_encode(whole, model), "subjects-coded").df
+    parsed = Stage(_parse(whole), "subjects-parsed").df
+    size = _vocabulary(parsed, model, opt)
+    coded = Stage(_encode(parsed, model), "subjects-coded").df
     if len(model.idf) and subjects:
         _space(coded, model, size, opt)
         _centroids(coded, labels, subjects, model, opt)
@@ -338,23 +436,24 @@ def assign(coded: DataFrame, model: Model, subjects: list[str], opt: Options | N
     opt = opt or Options()
     held = coded.sparkSession.sparkContext.broadcast((model.load, model.centroids))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, centroids = held.value
         for batch in _slices(batches):
-            y, counts = _embed(batch, load)
-            doc = np.repeat(np.arange(len(batch)), counts)
-            cosine = np.einsum("ij,ikj->ik", _unit(y), centroids[batch["lang"].to_numpy()[doc]])
+            y, doc = _embed(batch, load)
+            cosine = np.einsum("ij,ikj->ik", _unit(y), centroids[batch.column("lang").to_numpy()[doc]])
             about = (np.linalg.norm(y, axis=1) > opt.energy) & (cosine.max(axis=1, initial=0) > opt.cosine)
-            hits = np.zeros((len(batch), len(subjects)), dtype=np.int64)
+            hits = np.zeros((batch.num_rows, len(subjects)), dtype=np.int64)
             np.add.at(hits, (doc[about], cosine[about].argmax(axis=1)), 1)
+            counts = np.bincount(doc, minlength=batch.num_rows)
             at, subject = np.nonzero((hits > 0) & (hits >= opt.quarter * counts[:, None]))
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy()[at], "subject": np.array(subjects, dtype=object)[subject], "share": hits[at, subject] / counts[at],
-            })
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(at)), pa.array([subjects[i] for i in subject], pa.string()), pa.array(hits[at, subject] / counts[at])],
+                ["doc_id", "subject", "share"],
+            )
 
     if not len(model.idf) or not subjects:
         return coded.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
-    return coded.select("doc_id", "lang", "ids", "ends").mapInPandas(run, "doc_id long, subject string, share double")
+    return coded.select("doc_id", "lang", "ids", "ends").mapInArrow(run, "doc_id long, subject string, share double")
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: Column | None = None, text: Column | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from parlance.llm import subjects as S
 
 WORDS = {
@@ -31,8 +33,27 @@ def corpus(n, seed=1):
 def test_sentences_and_language():
     parts = S.sentences('One two. &quot;Three four!&quot; five\nsix 7')
     assert parts == [["one", "two"], ["three", "four"], ["five"], ["six"]]
-    assert [S.LANGUAGES[S.language(S.sentences(t))] for t in ("the cat and the dog", "die Katze und der Hund ist am Tor", "el gato y la casa que fue del rey")] == ["en", "de", "es"]
-    assert S.terms(["the", "red", "door"], {"the"}) == ["red", "door", "red door"]
+    texts = ("the cat and the dog", "die Katze und der Hund ist am Tor", "el gato y la casa que fue del rey", "xyzzy")
+    words = [[S._IDS[w] for p in S.sentences(t) for w in p] for t in texts]
+    starts = np.cumsum([0, *map(len, words)])[:-1]
+    assert [S.LANGUAGES[i] for i in S.languages(np.array(sum(words, []), dtype=np.uint32), starts)] == ["en", "de", "es", "en"]
+
+
+def test_terms_are_the_plain_ones(spark):
+    docs = [(1, "The red door. The door of red stone!"), (2, "Nothing; red door\nred door"), (3, "the")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    batch = S._parse(df.coalesce(1)).toArrow().to_batches()[0]
+    w = S.Words.of(batch)
+    assert w.doc.tolist() == [0, 0, 1, 1, 2]
+    frame = {"the", "of"}
+    sentence, place = w.terms(np.array(sorted(S._IDS[x] for x in frame), dtype=np.int64))
+    plain = []
+    for n, words in enumerate(p for _, t in docs for p in S.sentences(t)):
+        kept = [x for x in words if x not in frame]
+        plain += [(n, x) for x in {*kept, *zip(kept, kept[1:])}]
+    # As many distinct terms in each sentence, and the same place exactly where the term is the same.
+    assert np.bincount(sentence, minlength=5).tolist() == np.bincount([n for n, _ in plain], minlength=5).tolist()
+    assert len(set(place.tolist())) == len({x for _, x in plain})
 
 
 def test_accuracy_and_special_rows(spark):
