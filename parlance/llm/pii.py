@@ -2,18 +2,20 @@
 
 Numbers are accepted by the rules of their numbering plan (length, leading digits, check digits) or by a label that
 names them.  A placeholder reads ``[PHONE:1-402-881-3920]``: the type, and a keyed pseudonym in the same format, so
-the text stays readable and equal values stay linked across documents.
+the text stays readable and equal values stay linked across documents.  Pseudonyms of valid numbers are valid under the
+same plan: the free digits are permuted, check digits are computed anew.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parlance.llm.pseudonym import permute, permute_text
+from parlance.llm.pseudonym import DIGITS, permute, permute_date, permute_text, within
 
 # ---- e-mail -------------------------------------------------------------------------------------------------
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?"
@@ -24,7 +26,17 @@ AT = re.compile(r"\s?(?:[@＠]|[\[({<]\s?at\s?[\])}>])\s?", re.I)
 AT_WORD = re.compile(r"\sat\s", re.I)
 DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+{_TLD}", re.I)
 DOMAIN_WORDS = re.compile(rf"(?:{_LABEL}\sdot\s)+{_TLD}", re.I)
-LOCAL_BACK = re.compile(rf"(?:^|(?<![\w.+%-]))({_LOCAL})$")
+LOCAL = re.compile(_LOCAL)
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+
+
+def local_start(text: str, end: int) -> int | None:
+    """Where the local part that ends at ``end`` begins; None if there is none."""
+    at = end
+    while at and text[at - 1] in _LOCAL_CHARS:
+        at -= 1
+    whole = LOCAL.fullmatch(text, at, end) and not (at and (text[at - 1].isalnum() or text[at - 1] == "_"))
+    return at if whole else None
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -37,9 +49,9 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
     for at, domain in marks:
         for m in at.finditer(text):
             right = domain.match(text, m.end())
-            left = right and LOCAL_BACK.search(text[max(0, m.start() - 64) : m.start()])
-            if left:
-                yield m.start() - len(left.group(1)), right.end()
+            left = local_start(text, m.start()) if right else None
+            if left is not None:
+                yield left, right.end()
 
 
 # ---- identity numbers ---------------------------------------------------------------------------------------
@@ -57,7 +69,7 @@ IDENTITY = re.compile(
 )
 ID_LABEL = re.compile(
     r"(?:\bSSN|social\s+security|national\s+insurance|\bNINO?|\bNI\s+number|\bDNI|\bNIF|\bRUT|passport|licen[cs]e|"
-    r"\bidentity|national\s+id|\bID)(?:\s+(?:card|number|no\.?|nr\.?|num\.?|is))*\s*[:#]?\s*$",
+    r"\bidentity|national\s+id|\bID)(?:\s+(?:card|number|no\.?|nr\.?|num\.?|is))*\s*[:#]?\s*",
     re.I,
 )
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: the check letters in the order of the remainder
@@ -68,20 +80,27 @@ def dni_valid(v: str) -> bool:
     return DNI_LETTERS[int(digits) % 23] == v[-1].upper()
 
 
-def rut_valid(v: str) -> bool:
-    body, check = re.sub(r"\D", "", v[:-1]), v[-1].upper()
+def rut_check(body: str) -> str:
     rest = 11 - sum(int(c) * (2 + i % 6) for i, c in enumerate(reversed(body))) % 11
-    return check == {11: "0", 10: "K"}.get(rest, str(rest))
+    return {11: "0", 10: "K"}.get(rest, str(rest))
+
+
+def rut_valid(v: str) -> bool:
+    return v[-1].upper() == rut_check(re.sub(r"\D", "", v[:-1]))
 
 
-def identity_valid(kind: str, m: re.Match, text: str) -> bool:
+def ssn_given(digits: str) -> bool:
+    """Area 000 and 666, group 00 and serial 0000 are never given out."""
+    return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def identity_valid(kind: str, m: re.Match, labels: Collection[int]) -> bool:
     """A label right before the number decides; without one, the form must be unmistakable or its check digit right."""
-    if ID_LABEL.search(text, max(0, m.start() - 45), m.start()):
+    if m.start() in labels:
         return True
     v = m.group()
     if kind == "ssn":
-        # Area 000 and 666, group 00 and serial 0000 are never given out.
-        return m.group("s") not in ("", " ", "\u00a0") and v[:3] not in ("000", "666") and v[4:6] != "00" and v[-4:] != "0000"
+        return m.group("s") not in ("", " ", "\u00a0") and ssn_given(re.sub(r"\D", "", v))
     if kind in ("nino", "licence"):
         return v.upper() == v
     if kind == "dni":
@@ -128,7 +147,7 @@ _CAP = r"[A-ZÀ-Þ][\w'’-]+"
 _NO_WORD = r"(?:of|the|near|at|in|on|to|a|an|and|by|from|with|over|down|up|his|her|this|that|each|gp|silver|paces)\b"
 HOUSE = re.compile(r"(?<![\w.,:+/=-])\d{1,5}[a-z]?\s(?=[^\W\d_]{3})")
 STREET = re.compile(rf"(?:{_CAP}\s){{1,3}}{_KIND}\b\.?|(?!{_NO_WORD})[a-z]{{3,}}\s{_KIND.lower()}\b\.?")
-UNIT_BACK = re.compile(r"(?<!\w)(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s+\d+[A-Za-z]?,?\s+$", re.I)
+UNIT = re.compile(r"(?<!\w)(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s+\d+[A-Za-z]?,?\s+", re.I)
 BOX = re.compile(r"(?<!\w)P\.?\s?O\.?\s?Box\s\d+", re.I)
 GERMAN_MARKS = ("weg ", "straße ", "strasse ", "gasse ", "platz ", "allee ", "str. ", "Weg ", "Straße ", "Strasse ", "Gasse ", "Platz ", "Allee ")
 GERMAN = re.compile(
@@ -136,13 +155,25 @@ GERMAN = re.compile(
 )
 
 
+#: Streets named after their kind, as in Romance languages, with the number before or behind.
+ROMANCE_KINDS = ("alle ", "venida ", "laza ", "aseo ", "ue ", "ia ", "iale ", "iazza ", "orso ", "ua ", "raça ", "oulevard ")
+_ROMANCE = (
+    r"(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Rr]ue|[Bb]oulevard|Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Pp]raça)"
+    rf"(?:\s(?:de|del|des|du|da|do|dos|di|della|dei|la|las|le|les|los)){{0,2}}\s{_CAP}(?:\s{_CAP})?"
+)
+ROMANCE = re.compile(rf"(?<![\w.,:+/=-])(?:\d{{1,4}}(?:\s?(?:bis|ter|[a-d]))?,?\s{_ROMANCE}|{_ROMANCE},?\s(?:n[º°o]\.?\s?)?\d{{1,4}}[a-z]?\b)")
+
+
 def addresses(text: str) -> Iterator[tuple[int, int]]:
+    units: dict[int, int] | None = None
     for m in HOUSE.finditer(text):
         street = STREET.match(text, m.end())
         if street:
-            from_ = max(0, m.start() - 24)
-            unit = UNIT_BACK.search(text[from_ : m.start()])
-            yield from_ + unit.start() if unit else m.start(), street.end()
+            if units is None:
+                units = {u.end(): u.start() for u in UNIT.finditer(text)}
+            yield units.get(m.start(), m.start()), street.end()
+    if any(k in text for k in ROMANCE_KINDS):
+        yield from (m.span() for m in ROMANCE.finditer(text))
     if "ox " in text or "OX " in text:
         yield from (m.span() for m in BOX.finditer(text))
     if any(k in text for k in GERMAN_MARKS):
@@ -175,56 +206,126 @@ GIVEN = frozenset(
 _W = r"[^\W\d_]+(?:['’-][^\W\d_]{2,})*"
 _NICK = r"""(?:\s["“'‘][^\W\d_]+["”'’])?"""
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Herr|Frau|Señora?)\.?\s)?"
-_NAME = rf"{_TITLE}(?P<name>{_W}{_NICK}(?:\s[^\W\d_]\.)?\s{_W}|[^\W\d_]\.\s{_W}|{_W},\s{_W})"
+_PARTICLE = r"(?:\s(?:de|del|della|da|di|du|la|le|van|von|der|den|ter|bin|al|el))*"
+_FULL = rf"(?P<name>{_W}{_NICK}(?:\s[^\W\d_]\.)?{_PARTICLE}\s{_W}|[^\W\d_]\.\s{_W}|{_W},\s{_W})"
+_NAME = rf"{_TITLE}{_FULL}"
+PARTICLES = frozenset("de del della da di du la le van von der den ter bin al el".split())
 _KIN = r"(?:sister|brother|mother|father|wife|husband|partner|mum|mom|dad|son|daughter|cousin|aunt|uncle)"
-#: Contexts in which the person, not the character, is named: a mark to look for, the form, and whether the context
-#: alone is enough.  Where it is not, the given name must be a known one or an initial.
+_ROLE = (
+    r"(?:emergency\s+contact|contact(?:\s+(?:person|sheet|details|info))?|host|hosted\s+by|organi[sz]er|attn|attention|landlord|"
+    r"tenant|guardian|bill(?:ed)?\s+to|ship(?:ped)?\s+to|deliver\s+to|care\s+of|c/o|real\s+name|full\s+name|legal\s+name)"
+)
+_CLOSE = r"(?:signed|(?:(?:best|kind|warm)\s+)?regards|sincerely|yours(?:\s+truly)?|cheers|best(?:\s+wishes)?|cordially|respectfully)"
+#: Contexts in which a person is named: a mark to look for in lower case, the form, and how much the context tells.
+#: "person": it names a real one.  "self": it does outside quoted speech, where characters speak.  "known": only with
+#: a known given name or an initial.
 CONTEXTS = tuple(
-    (mark, re.compile(p), sure) for mark, p, sure in (
-        ("eal name is ", rf"(?i:real\sname\sis)\s{_NAME}", True),
-        ("ontact is ", rf"(?i:emergency\scontact\sis)\s{_NAME}", True),
-        ("ontact sheet: ", rf"(?i:contact\ssheet:)\s{_NAME}", True),
-        ("ost: ", rf"(?i:\bhost:)\s{_NAME}", True),
-        ("igned, ", rf"(?i:\bsigned,)\s{_NAME}(?=\s*(?:\(|\n|$))", True),
-        ("y the way, ", rf"(?i:by\sthe\sway,)\s{_NAME}(?=\shere\b)", True),
-        (" goes to ", rf"(?i:credit\sfor)\s[^.\n]{{1,40}}?\sgoes\sto\s{_NAME}", True),
-        (" / ", rf"(?<![\w/]){_NAME}(?=\s/\s(?:[+(\d]|(?:zero|five)\s|[\w.+-]+@))", True),
-        ("ell ", rf"\b[Tt]ell\s{_NAME}(?=['’]s\s{_KIN}\b)", False),
-        ("sk for ", rf"\b[Aa]sk\sfor\s{_NAME}(?=\sat\sthe\s(?:door|desk|reception|bar|counter|front)\b)", False),
+    (mark, re.compile(p), tells) for mark, p, tells in (
+        (" name", rf"(?i:\b(?:real|full|legal|actual|birth|passport)\sname\s?(?:is|['’]s|:))\s{_NAME}", "person"),
+        (" is ", rf"(?i:\b{_ROLE}\s+is)\s{_NAME}", "person"),
+        (":", rf"(?i:\b{_ROLE}\s?:)\s{_NAME}", "person"),
+        ("c/o ", rf"(?i:\bc/o)\s{_NAME}", "person"),
+        (",", rf"(?i:\b{_CLOSE},)\s+{_NAME}(?=\s*(?:\(|\n|$))", "person"),
+        (" goes to ", rf"(?i:\bcredit\s(?:for\s[^.\n]{{1,200}}?\s)?goes\sto)\s{_NAME}", "person"),
+        (" / ", rf"(?<![\w/]){_NAME}(?=\s/\s(?:[+(\d]|(?:zero|five)\s|[\w.+-]+@))", "person"),
+        (" here", rf"(?i:\b(?:by\sthe\sway|btw|ooc|hi|hello|hey)[,:]?)\s{_NAME}(?=\shere\b)", "person"),
+        (" here", rf"(?<!\w){_NAME}(?=\shere,\s(?i:I\s(?:play|am\splaying)|playing)\b)", "self"),
+        ("name", rf"(?i:\b(?:my|his|her|their)\s+name\s?(?:is|['’]s|:))\s{_NAME}", "self"),
+        ("i'm ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I'm)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
+        ("i’m ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I’m)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
+        ("i am ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I\sam)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
+        ("ell ", rf"\b[Tt]ell\s{_NAME}(?=['’]s\s{_KIN}\b)", "known"),
+        ("sk for ", rf"\b[Aa]sk\sfor\s{_NAME}(?=\sat\sthe\s(?:door|desk|reception|bar|counter|front)\b)", "known"),
+        (",", rf"(?<=[a-zà-ÿ]\s)(?P<name>[^\W\d_]{{3,}},\s[^\W\d_]{{3,}})(?=\s*[.;)\n]|$)", "known"),
     )
 )
 WORD = re.compile(r"[^\W\d_]+")
-FREE = re.compile(rf"(?<![\w.@+-])(?P<given>[^\W\d_]{{2,}}){_NICK}(?:\s[^\W\d_]\.)?\s(?P<family>{_W})(?![\w@+])")
+FREE = re.compile(rf"(?<![\w.@+-])(?P<given>[^\W\d_]{{2,}}){_NICK}(?:\s[^\W\d_]\.)?(?P<particle>{_PARTICLE})\s(?P<family>{_W})(?![\w@+])")
+#: What follows a name in a story, or makes it that of a place: an epithet, what characters do, a kind of street.
+STORY = re.compile(
+    rf"\s(?:the|of)\s|\s(?:draws?|casts?|swings?|attacks?|rolls?|strikes?|raises?|nods?|grins?|charges?|parries|readies|wields?|drew|swung)\b|\s(?:{_CAP}\s)?{_KIND}\b"
+)
 _PUNCTUATION = str.maketrans({c: " " for c in ".,;:!?…()[]{}<>\"'“”‘’«»/@+-_*\n"})
+QUOTES = "\"“”«»"
+#: Words of the game that stand where a name could.
+GAME_WORDS = frozenset("dungeon game master dm gm player character party team level ready".split())
 
 
 def _shape(name: str) -> bool:
-    """Whether every word is capitalised (the given name may be an initial)."""
-    return all(w[0].isupper() for w in WORD.findall(name))
+    """Whether every word but particles is capitalised (the given name may be an initial)."""
+    return all(w[0].isupper() or w in PARTICLES for w in WORD.findall(name))
+
+
+def quoted(text: str, at: int) -> bool:
+    """Whether a place lies inside double quotation marks of its paragraph."""
+    start = max(text.rfind("\n\n", 0, at), text.rfind("\r\n\r\n", 0, at), 0)
+    return sum(text.count(q, start, at) for q in QUOTES) % 2 == 1
 
 
-def names(text: str, words: set[str]) -> Iterator[tuple[int, int]]:
-    for mark, rx, sure in CONTEXTS:
-        if mark in text:
+def names(text: str, words: set[str], cast: Collection[str] = ()) -> Iterator[tuple[int, int]]:
+    """Names of persons.  ``cast`` holds lower-case words of the names of characters: a family name among them is theirs."""
+    low = text.lower()
+    for mark, rx, tells in CONTEXTS:
+        if mark in low:
             for m in rx.finditer(text):
                 name = m.group("name")
                 parts = [w.lower() for w in WORD.findall(name)]
-                given = parts[-1] if ", " in name else parts[0]
-                if given in GIVEN or (_shape(name) and (sure or len(given) == 1)):
+                given, family = (parts[-1], parts[0]) if ", " in name else (parts[0], parts[-1])
+                if family in cast or not GAME_WORDS.isdisjoint(parts):
+                    continue
+                shaped, known = _shape(name), given in GIVEN
+                if tells == "person":
+                    real = shaped or known
+                elif tells == "self":
+                    real = shaped and not quoted(text, m.start())
+                else:
+                    real = known and (shaped or ", " not in name) and family not in GIVEN or shaped and len(given) == 1
+                if real:
                     yield m.span("name")
-    known = GIVEN & words
-    for first in known:
+    for first in GIVEN & words:
+        if first in cast:
+            continue
         # Only the places where a known given name stands are looked at.
         for at in re.finditer(rf"(?<![\w.@+-]){first}(?!\w)", text, re.I):
             m = FREE.match(text, at.start())
-            if m and m.group("given")[0].isupper():
+            if m and m.group("given")[0].isupper() and not STORY.match(text, m.end()):
                 family = m.group("family")
-                if family[0].isupper() and len(family) > 2 and family.lower() not in GIVEN:
+                if family[0].isupper() and len(family) > 2 and family.lower() not in GIVEN and family.lower() not in cast:
                     yield m.start(), m.end("family")
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """``(start, end, type)`` of every occurrence, in order and without overlap; nothing for null or empty text."""
+# ---- dates of birth -----------------------------------------------------------------------------------------
+_MONTHS = "January February March April May June July August September October November December".split()
+BIRTH = re.compile(
+    rf"""(?i:\b(?:born(?:\son)?|date\sof\sbirth|dob|d\.o\.b\.|birthday|birthdate))\s?(?:is|:|,|-)?\s(?:the\s)?(?P<date>
+      (?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}}) | (?P<d2>\d{{1,2}})\.(?P<m2>\d{{1,2}})\.(?P<y2>\d{{4}})
+    | (?P<m3>\d{{1,2}})/(?P<d3>\d{{1,2}})/(?P<y3>\d{{4}}) | (?P<d4>\d{{1,2}})\s(?P<m4>{"|".join(_MONTHS)})\s(?P<y4>\d{{4}})
+    | (?P<m5>{"|".join(_MONTHS)})\s(?P<d5>\d{{1,2}}),\s(?P<y5>\d{{4}}))(?!\w)""",
+    re.X,
+)
+
+
+def moved_date(m: re.Match, key: bytes) -> str | None:
+    """The date's pseudonym written as the date was; None if it is no day of the calendar."""
+    form = next(f for f in ("", "2", "3", "4", "5") if m.group("y" + f))
+    month = m.group("m" + form)
+    try:
+        day = dt.date(int(m.group("y" + form)), int(month) if month.isdigit() else _MONTHS.index(month) + 1, int(m.group("d" + form)))
+    except ValueError:
+        return None
+    new = permute_date(day, key)
+    name = _MONTHS[new.month - 1]
+    return {
+        "": new.isoformat(), "2": f"{new.day:02d}.{new.month:02d}.{new.year}", "3": f"{new.month:02d}/{new.day:02d}/{new.year}",
+        "4": f"{new.day} {name} {new.year}", "5": f"{name} {new.day}, {new.year}",
+    }[form]
+
+
+def find(text: str | None, cast: Collection[str] = ()) -> list[tuple[int, int, str]]:
+    """``(start, end, type)`` of every occurrence, in order and without overlap; nothing for null or empty text.
+
+    ``cast``: lower-case words of characters' names (see :func:`names`).
+    """
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []
@@ -236,89 +337,161 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         spans.extend((a, b, kind) for a, b in found if free(a, b))
 
     add(emails(text), "email")
+    add((m.span("date") for m in BIRTH.finditer(text) if moved_date(m, b"") is not None), "birth")
     runs = [(max(0, m.start() - 8), m.end() + 6) for m in RUN.finditer(text)]
+    labels = {m.end() for m in ID_LABEL.finditer(text)} if runs else ()
     for a, b in runs:
-        add((m.span() for m in IDENTITY.finditer(text, a, b) if identity_valid(m.lastgroup if m.lastgroup != "s" else "ssn", m, text)), "identity")
+        add((m.span() for m in IDENTITY.finditer(text, a, b) if identity_valid(m.lastgroup if m.lastgroup != "s" else "ssn", m, labels)), "identity")
     add(((a, address_end(text, a, b)) for a, b in addresses(text)), "address")
     for a, b in runs:
         add((m.span() for m in PHONE.finditer(text, a, b) if phone_valid(m.lastgroup or "", m.group())), "phone")
     words = set(text.lower().translate(_PUNCTUATION).split())
     if not words.isdisjoint(WORD_DIGIT):
         add((m.span() for m in SPOKEN.finditer(text)), "phone")
-    add(names(text, words), "name")
+    add(names(text, words, cast), "name")
     return sorted(spans)
 
 
-def _national(digits: str) -> tuple[str, str]:
-    """Country prefix and the digits behind it, so that the national and the international form stay linked."""
-    for prefix in ("0044", "0049", "0033", "0061"):
-        if digits.startswith(prefix):
-            digits = digits[2:]
-    for prefix in ("44", "49", "33", "61"):
-        if digits.startswith(prefix) and len(digits) > 10:
-            rest = digits[2:]
-            return digits[: len(digits) - len(rest.lstrip("0"))], rest.lstrip("0")
-    if digits.startswith("0"):
-        return "0", digits[1:]
-    if digits.startswith("1") and len(digits) == 11:
-        return "1", digits[1:]
-    return "", digits
+# ---- pseudonyms ---------------------------------------------------------------------------------------------
+#: Country calling codes of one and two digits; all others have three.
+_SHORT_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def national(value: str) -> tuple[str, str]:
+    """A telephone number's digits as a prefix and the national number behind it, which all its forms share.
+
+    The prefix is the international one with the country's code and a trunk zero, or a trunk zero, or the long-distance
+    one of the North American plan.
+    """
+    digits = "".join(c for c in value if c in DIGITS)
+    if value.lstrip().startswith("+") or digits.startswith("00"):
+        at = 2 if digits.startswith("00") else 0
+        at += next((n for n in (1, 2) if digits[at : at + n] in _SHORT_CODES), 3)
+    else:
+        at = 1 if len(digits) == 11 and digits[0] == "1" else 0
+    body = digits[at:].lstrip("0")
+    return digits[: len(digits) - len(body)], body
+
+
+def number_kind(body: str) -> tuple[bool, bool]:
+    """What a national number must stay: without a zero in front; where it fits the North American plan, within that."""
+    plan = len(body) in (7, 10) and all(body[i] not in "01" for i in ((0, 3) if len(body) == 10 else (0,)))
+    return body[:1] != "0", plan
+
+
+def _phone(value: str, key: bytes) -> str:
+    if any(c in DIGITS for c in value):
+        head, body = national(value)
+        new = iter(head + within(body, lambda b: permute(b, key), number_kind))
+        return "".join(next(new) if c in DIGITS else c for c in value)
+    digits = "".join(WORD_DIGIT[w.lower()] for w in WORD.findall(value))
+    back = "zero one two three four five six seven eight nine".split()
+    return " ".join(back[int(c)] for c in within(digits, lambda b: permute(b, key), number_kind))
+
+
+#: Letters and pairs that no national insurance number begins with.
+_NINO_FIRST, _NINO_SECOND, _NINO_PAIRS = "DFIQUV", "DFIQUVO", ("BG", "GB", "NK", "KN", "TN", "NT", "ZZ")
+
+
+def nino_prefix(pair: str) -> bool:
+    return pair[0] not in _NINO_FIRST and pair[1] not in _NINO_SECOND and pair not in _NINO_PAIRS
+
+
+def _identity(value: str, key: bytes) -> str:
+    m = IDENTITY.fullmatch(value)
+    kind = (m.lastgroup if m.lastgroup != "s" else "ssn") if m else ""
+    bare = re.sub(r"[^0-9A-Za-z]", "", value).upper()
+    digits = "".join(c for c in bare if c in DIGITS)
+    move = lambda b: permute(b, key)
+    if kind == "ssn":
+        bare = within(digits, move, ssn_given)
+    elif kind == "nino":
+        pair = within(bare[:2], lambda p: permute_text(p, key), nino_prefix)
+        bare = pair + move(digits) + "ABCD"[int(permute(str("ABCD".index(bare[-1])), key, "0123"))]
+    elif kind == "dni" and dni_valid(value):
+        digits = move(digits)
+        bare = digits + DNI_LETTERS[int(digits) % 23]
+    elif kind == "rut" and rut_valid(value):
+        body = within(bare[:-1], move, lambda b: b[0] != "0")
+        bare = body + rut_check(body)
+    elif kind in ("dni", "rut"):
+        valid = dni_valid if kind == "dni" else rut_valid
+        bare = within(bare, lambda b: permute_text(b, key), valid)
+    else:
+        bare = permute_text(bare, key)
+    new = iter(bare)
+    return "".join(next(new) if c.isalnum() else c for c in value)
 
 
 def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """The value's pseudonym in its own format."""
-    if kind == "phone" and any(c.isdigit() for c in value):
-        head, body = _national("".join(c for c in value if c.isdigit()))
-        new = iter(head + permute(body, key))
-        return "".join(next(new) if c.isdigit() else c for c in value)
+    """The value's pseudonym in its own format; forms of one value that differ in spacing or notation share it."""
     if kind == "phone":
-        digits = "".join(WORD_DIGIT[w.lower()] for w in WORD.findall(value))
-        back = "zero one two three four five six seven eight nine".split()
-        return " ".join(back[int(c)] for c in permute(digits, key))
+        return _phone(value, key)
     if kind == "email":
         plain = re.sub(rf"(?i){AT.pattern}|\sat\s", "@", value, count=1)
-        return permute_text(re.sub(rf"(?i){_DOT}", ".", plain).lower(), key)
+        plain, dot, top = re.sub(rf"(?i){_DOT}", ".", plain).lower().rpartition(".")
+        return permute_text(plain, key) + dot + top
     if kind == "identity":
-        bare = re.sub(r"[^0-9A-Za-z]", "", value).upper()
-        new = iter(permute_text(bare, key))
-        return "".join(next(new) if c.isalnum() else c for c in value)
+        return _identity(value, key)
+    if kind == "birth":
+        return moved_date(BIRTH.match("born " + value), key) or value
     if kind == "name" and ", " in value:
         value = " ".join(reversed(value.split(", ", 1)))
     return permute_text(" ".join(value.split()).title(), key)
 
 
-def redact(text: str | None, key: bytes) -> str | None:
+def marked(text: str | None, key: bytes, cast: Collection[str] = ()) -> list[tuple[int, int, str, str]]:
+    """``(start, end, type, pseudonym)`` of every occurrence, in order."""
+    return [(a, b, kind, pseudonym(text[a:b], kind, key)) for a, b, kind in find(text, cast)]
+
+
+def redact(text: str | None, key: bytes, cast: Collection[str] = ()) -> str | None:
     """The text with ``[TYPE:pseudonym]`` in place of every occurrence; everything else as it was, null stays null."""
     if text is None:
         return None
     out, at = [], 0
-    for a, b, kind in find(text):
-        out += [text[at:a], f"[{kind.upper()}:{pseudonym(text[a:b], kind, key)}]"]
+    for a, b, kind, stands in marked(text, key, cast):
+        out += [text[at:a], f"[{kind.upper()}:{stands}]"]
         at = b
     return "".join([*out, text[at:]])
 
 
-def occurrences(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """One row per occurrence: ``key, pii_type, start_pos, end_pos`` in code points, the end exclusive.
+def _words(names_: object) -> frozenset[str]:
+    """Lower-case words of a row's names of characters; none for null."""
+    return frozenset(w.lower() for n in (names_ if names_ is not None else ()) if n for w in WORD.findall(n))
+
+
+def _narrow(df: DataFrame, key: Column, text: Column, cast: Column | None) -> DataFrame:
+    return df.select(key.alias("key"), text.alias("text"), (cast if cast is not None else F.lit(None)).cast("array<string>").alias("cast"))
+
+
+def occurrences(df: DataFrame, key: Column, text: Column, secret: bytes, cast: Column | None = None) -> DataFrame:
+    """One row per occurrence: ``key, pii_type, start_pos, end_pos, pseudonym``; places in code points, the end exclusive.
 
-    Null and empty texts give no row.  Rows stand for themselves, repeated or not; a null key is kept.  Texts of any
-    length are read whole.  Extra columns of ``df`` play no role.
+    ``pii_type`` is ``email``, ``phone``, ``identity``, ``address``, ``name`` or ``birth`` (a date of birth).  ``cast`` is an
+    array of names of characters that play in the row, null if none is known.  Null and empty texts give no row.  Rows
+    stand for themselves, repeated or not; a null key is kept.  Texts of any length are read whole.  Extra columns of
+    ``df`` play no role.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, kind, a, b) for k, t in zip(batch["key"], batch["text"], strict=True) for a, b, kind in find(t)]
-            yield pd.DataFrame(rows, columns=["key", "pii_type", "start_pos", "end_pos"])
+            rows = [
+                (k, kind, a, b, stands) for k, t, c in zip(batch["key"], batch["text"], batch["cast"], strict=True) for a, b, kind, stands in marked(t, secret, _words(c))
+            ]
+            yield pd.DataFrame(rows, columns=["key", "pii_type", "start_pos", "end_pos", "pseudonym"])
 
-    narrow = df.select(key.alias("key"), text.alias("text")).where("text <> ''")
-    return narrow.mapInPandas(run, f"key {narrow.schema['key'].dataType.simpleString()}, pii_type string, start_pos long, end_pos long")
+    narrow = _narrow(df, key, text, cast).where("text <> ''")
+    return narrow.mapInPandas(run, f"key {narrow.schema['key'].dataType.simpleString()}, pii_type string, start_pos long, end_pos long, pseudonym string")
 
 
-def redacted(df: DataFrame, key: Column, text: Column, secret: bytes) -> DataFrame:
+def redacted(df: DataFrame, key: Column, text: Column, secret: bytes, cast: Column | None = None) -> DataFrame:
     """``key, text`` of every row with the text redacted under ``secret``; null and empty texts come back as they are."""
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, secret) if isinstance(t, str) else None)
+    def clean(texts: pd.Series, casts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, secret, _words(c)) if isinstance(t, str) else None for t, c in zip(texts, casts, strict=True)])
 
-    return df.select(key.alias("key"), clean(text).alias("text"))
+    return _narrow(df, key, text, cast).select("key", clean("text", "cast").alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import unicodedata
+from collections.abc import Callable, Hashable
 
 ROUNDS = 8
 DIGITS = "0123456789"
@@ -76,6 +77,17 @@ def permute_text(s: str, key: bytes, inverse: bool = False) -> str:
     return "".join(out)
 
 
+def within(s: str, step: Callable[[str], str], kind: Callable[[str], Hashable]) -> str:
+    """``step`` repeated until the value is of the same kind again.
+
+    Where ``step`` is one to one on a finite set, so is this on the values of each kind (cycle walking).
+    """
+    wanted, s = kind(s), step(s)
+    while kind(s) != wanted:
+        s = step(s)
+    return s
+
+
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 

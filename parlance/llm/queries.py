@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from parlance.llm import mixing, names, packing, pii, split, subjects, threads, tokens
 from parlance.sources.tables import table
@@ -12,19 +13,34 @@ from parlance.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Key of the pseudonyms in the queries; a deployment passes its own secret.
-DEMO_KEY = b"parlance demonstration key"
+def _secret(spark: SparkSession) -> bytes:
+    """Key of the pseudonyms: the session's setting, else one drawn for this run, which links values inside it only."""
+    named = spark.conf.get("spark.parlance.pseudonym.key", None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
+def _cast() -> Column:
+    return F.concat(F.array("character"), F.coalesce("name_mentions", F.array().cast("array<string>")))
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.occurrences(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"), _secret(spark), _cast())
+    return found.withColumnRenamed("key", "row_id")
+
+
+def p1_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of personal information in the messages, with what stands in its place; dates of birth too."""
+    return _marked(spark, d)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every occurrence of personal information in the messages."""
-    found = pii.occurrences(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"))
-    return found.select(F.col("key").alias("row_id"), "pii_type", "start_pos")
+    """Every occurrence of personal information of the five types in the messages."""
+    return _marked(spark, d).where("pii_type <> 'birth'").select("row_id", "pii_type", "start_pos")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All messages with typed placeholders in place of personal information."""
-    return pii.redacted(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"), DEMO_KEY).withColumnRenamed("key", "row_id")
+    return pii.redacted(table(spark, d, "campaign_messages"), F.col("row_id"), F.col("text"), _secret(spark), _cast()).withColumnRenamed("key", "row_id")
 
 
 def _rules(spark: SparkSession, d: str) -> tuple[int, int]:
@@ -127,7 +143,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found, "p1_redacted": p1_redacted,
+    "p1_found": p1_found, "p1_pseudonyms": p1_pseudonyms, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
     "p5_found": p5_found, "p5_linked": p5_linked,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,

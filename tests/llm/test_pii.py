@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -68,6 +70,68 @@ def test_traps(text):
     assert pii.find(text) == []
 
 
+#: Sentences whose frames and names are not those of the tables.
+HELD_OUT = [
+    ("My name is Hiroshi Tanaka and I will be late.", ["Hiroshi Tanaka"]), ("I'm Oluwaseun Adeyemi, we spoke last week.", ["Oluwaseun Adeyemi"]),
+    ("Her full name is Siobhan Gallagher.", ["Siobhan Gallagher"]), ("Real name: Katarzyna Nowak", ["Katarzyna Nowak"]), ("Regards,\nBartholomew Okafor", ["Bartholomew Okafor"]),
+    ("Meet at Calle Mayor 12, Madrid", ["Calle Mayor 12, Madrid"]), ("The parcel went to 14 Rue de Rivoli", ["14 Rue de Rivoli"]), ("we live in Via Roma 5", ["Via Roma 5"]),
+    ("the form was signed by López, Maria.", ["López, Maria"]), ("Ship to: Aroha Ngata, thanks", ["Aroha Ngata"]), ("Kind regards,\nTove Lindqvist", ["Tove Lindqvist"]),
+    ("Attn: Dr. Nikhil Raghunathan", ["Nikhil Raghunathan"]), ("Their legal name is Ludwig van Aarden.", ["Ludwig van Aarden"]), ("(I am Ewa Zielinska, new at the table)", ["Ewa Zielinska"]),
+    ("yesterday Maria de la Cruz joined the call", ["Maria de la Cruz"]), ("The landlord: Tomasz Wrona", ["Tomasz Wrona"]), ("hi, Bronagh Kelleher here", ["Bronagh Kelleher"]),
+    ("c/o Anneliese Brandt", ["Anneliese Brandt"]), ("avenue: 3 Rue des Lilas", ["3 Rue des Lilas"]), ("Organizer: Chukwudi Eze", ["Chukwudi Eze"]), ("Sincerely, Wolfgang Amsel", ["Wolfgang Amsel"]),
+    ("born on 12 March 1987 in Leeds", ["12 March 1987"]), ("DOB: 1987-03-12", ["1987-03-12"]), ("my birthday is 03/12/1987", ["03/12/1987"]),
+    ("write to " + "x" * 200 + "@example.org", ["x" * 200 + "@example.org"]), ("passport" + " " * 60 + "number PD 714 4977.", ["PD 714 4977"]),
+    ("at Apartment       12,         7 Cedar Road", ["Apartment       12,         7 Cedar Road"]),
+    ("Maria Silverhand draws her sword", []), ("James Blackwood the wizard casts", []), ("Rosa Parks Avenue is long", []), ('"My name is Inigo Stormcloak," he says.', []),
+    ("“I am Daniel Ravenmoor,” she lies.", []), ("Sorry, Daniel. Thanks, Maria.", []), ("I'm Dungeon Master tonight.", []), ("The battle of 1415-10-25 was long.", []), ("Her name is known to Peter of Dale", []),
+]
+
+
+def test_held_out_sentences():
+    found = [[text[a:b] for a, b, _ in pii.find(text)] for text, _ in HELD_OUT]
+    right = sum(sum(v in want for v in got) for got, (_, want) in zip(found, HELD_OUT))
+    assert right >= 0.9 * sum(len(want) for _, want in HELD_OUT), [(f, w) for f, (_, w) in zip(found, HELD_OUT) if f != w]
+    assert right >= 0.9 * sum(map(len, found)), [(f, w) for f, (_, w) in zip(found, HELD_OUT) if f != w]
+
+
+def test_names_of_the_cast_are_no_persons():
+    text = "yesterday Kwame Okanbrough came. My name is Tilda Marsh."
+    assert [text[a:b] for a, b, _ in pii.find(text)] == ["Kwame Okanbrough", "Tilda Marsh"]
+    assert pii.find(text, {"kwame", "okanbrough", "tilda", "marsh"}) == []
+
+
+def test_pseudonyms_of_valid_numbers_are_valid_and_one_to_one():
+    rng = random.Random(3)
+    dni = {f"{n:08d}{pii.DNI_LETTERS[n % 23]}" for n in (rng.randrange(10**8) for _ in range(300))}
+    rut = {(lambda b: f"{b[:2]}.{b[2:5]}.{b[5:]}-{pii.rut_check(b)}")(str(rng.randrange(10**7, 10**8))) for _ in range(300)}
+    ssn = {f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(300)}
+    nino = {f"{a}{b} {rng.randrange(100):02d} {rng.randrange(100):02d} {rng.randrange(100):02d} {rng.choice('ABCD')}" for a in "ABCEGH" for b in "ABCEGH" if pii.nino_prefix(a + b)}
+    area = {f"({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{rng.randrange(10000):04d}" for _ in range(300)}
+    for values, valid, kind in (
+        (dni, pii.dni_valid, "identity"), (rut, pii.rut_valid, "identity"), (ssn, lambda v: pii.ssn_given(v.replace("-", "")), "identity"),
+        (nino, lambda v: pii.nino_prefix(v[:2]) and v[-1] in "ABCD", "identity"), (area, lambda v: v[1] not in "01" and v[6] not in "01", "phone"),
+    ):
+        out = {pii.pseudonym(v, kind, KEY) for v in values}
+        assert len(out) == len(values) and all(map(valid, values)) and all(map(valid, out)) and out != values
+        assert {re.sub(r"[0-9A-Z]", "x", v) for v in out} == {re.sub(r"[0-9A-Z]", "x", v) for v in values}
+    assert not any(pii.dni_valid(pii.pseudonym(v[:-1] + ("T" if v[-1] != "T" else "R"), "identity", KEY)) for v in dni)
+
+
+@pytest.mark.parametrize(("inland", "abroad"), [("612 345 678", "+34 612 345 678"), ("06 1234 5678", "+39 06 1234 5678"), ("020 7946 0903", "+44 (0)20 7946 0903"), ("402-881-3920", "+1 402 881 3920"), ("030 23125618", "0049 30 23125618"), ("01 4221 2345", "+353 1 4221 2345")])
+def test_forms_of_one_number_stay_linked(inland, abroad):
+    a, b = (pii.pseudonym(v, "phone", KEY) for v in (inland, abroad))
+    assert pii.national(a)[1] == pii.national(b)[1] and pii.national(a)[0] == pii.national(inland)[0] and pii.national(b)[0] == pii.national(abroad)[0]
+
+
+def test_dates_of_birth_keep_their_form():
+    for text in ("born 1987-03-12", "born 12.03.1987", "DOB: 03/12/1987", "born 12 March 1987", "born on March 12, 1987"):
+        out = pii.redact(text, KEY)
+        assert "[BIRTH:" in out and "1987" not in out
+        assert {c for c in re.sub(r"[0-9A-Za-z]", "", out)} >= {c for c in re.sub(r"[0-9A-Za-z]", "", text)}
+    assert pii.redact("born 1987-03-12", KEY)[-11:-1] == permute_date(dt.date(1987, 3, 12), KEY).isoformat()
+    assert pii.redact("born 1987-13-12 or so", KEY) == "born 1987-13-12 or so"
+
+
 def test_one_line_with_all():
     text = "Contact sheet: Ingrid Beruelo, 155 Tanyard Street, Averley 12345; 555-0165; ingrid-beruelo (at) pos (dot) example."
     assert [k for _, _, k in pii.find(text)] == ["name", "address", "phone", "email"]
@@ -111,8 +175,8 @@ def test_table(spark):
     long = "word " * 200_000 + "ring 555-0180 now"
     data = [(1, "ring 555-0180 now", "p"), (2, None, "p"), (3, "", "p"), (None, "ring 555-0180 now", "p"), (5, long, "p"), (1, "ring 555-0180 now", "p")]
     df = spark.createDataFrame(data, "row_id long, text string, pii_type string")
-    got = [tuple(r) for r in pii.occurrences(df, F.col("row_id"), F.col("text")).collect()]
+    got = [tuple(r)[:4] for r in pii.occurrences(df, F.col("row_id"), F.col("text"), KEY).collect()]
     assert sorted(got, key=str) == sorted([(1, "phone", 5, 13), (1, "phone", 5, 13), (None, "phone", 5, 13), (5, "phone", 1_000_005, 1_000_013)], key=str)
     clean = [r.text for r in pii.redacted(df, F.col("row_id"), F.col("text"), KEY).collect()]
     assert clean[1] is None and clean[2] == "" and "555-0180" not in clean[0]
-    assert pii.occurrences(df.limit(0), F.col("row_id"), F.col("text")).count() == 0
+    assert pii.occurrences(df.limit(0), F.col("row_id"), F.col("text"), KEY).count() == 0
