@@ -156,7 +156,7 @@ GERMAN = re.compile(
 
 
 #: Streets named after their kind, as in Romance languages, with the number before or behind.
-ROMANCE_KINDS = ("alle ", "venida ", "laza ", "aseo ", "ue ", "ia ", "iale ", "iazza ", "orso ", "ua ", "raça ", "oulevard ")
+ROMANCE_MARKS = ("calle ", "avenida ", "plaza ", "paseo ", "rue ", "boulevard ", "via ", "viale ", "piazza ", "corso ", "rua ", "praça ")
 _ROMANCE = (
     r"(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Rr]ue|[Bb]oulevard|Via|[Vv]iale|[Pp]iazza|[Cc]orso|[Rr]ua|[Pp]raça)"
     rf"(?:\s(?:de|del|des|du|da|do|dos|di|della|dei|la|las|le|les|los)){{0,2}}\s{_CAP}(?:\s{_CAP})?"
@@ -164,7 +164,8 @@ _ROMANCE = (
 ROMANCE = re.compile(rf"(?<![\w.,:+/=-])(?:\d{{1,4}}(?:\s?(?:bis|ter|[a-d]))?,?\s{_ROMANCE}|{_ROMANCE},?\s(?:n[º°o]\.?\s?)?\d{{1,4}}[a-z]?\b)")
 
 
-def addresses(text: str) -> Iterator[tuple[int, int]]:
+def addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
+    """Street addresses and boxes; ``low`` is the text in lower case, for looking for marks."""
     units: dict[int, int] | None = None
     for m in HOUSE.finditer(text):
         street = STREET.match(text, m.end())
@@ -172,7 +173,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
             if units is None:
                 units = {u.end(): u.start() for u in UNIT.finditer(text)}
             yield units.get(m.start(), m.start()), street.end()
-    if any(k in text for k in ROMANCE_KINDS):
+    if any(k in low for k in ROMANCE_MARKS):
         yield from (m.span() for m in ROMANCE.finditer(text))
     if "ox " in text or "OX " in text:
         yield from (m.span() for m in BOX.finditer(text))
@@ -213,32 +214,33 @@ PARTICLES = frozenset("de del della da di du la le van von der den ter bin al el
 _KIN = r"(?:sister|brother|mother|father|wife|husband|partner|mum|mom|dad|son|daughter|cousin|aunt|uncle)"
 _ROLE = (
     r"(?:emergency\s+contact|contact(?:\s+(?:person|sheet|details|info))?|host|hosted\s+by|organi[sz]er|attn|attention|landlord|"
-    r"tenant|guardian|bill(?:ed)?\s+to|ship(?:ped)?\s+to|deliver\s+to|care\s+of|c/o|real\s+name|full\s+name|legal\s+name)"
+    r"tenant|guardian|bill(?:ed)?\s+to|ship(?:ped)?\s+to|deliver\s+to|care\s+of|c/o)"
 )
 _CLOSE = r"(?:signed|(?:(?:best|kind|warm)\s+)?regards|sincerely|yours(?:\s+truly)?|cheers|best(?:\s+wishes)?|cordially|respectfully)"
-#: Contexts in which a person is named: a mark to look for in lower case, the form, and how much the context tells.
-#: "person": it names a real one.  "self": it does outside quoted speech, where characters speak.  "known": only with
-#: a known given name or an initial.
+_ROLE_MARKS = ("contact", "host", "organi", "attn", "attention", "landlord", "tenant", "guardian", "bill", "ship", "deliver to", "care of", "c/o")
+_CLOSE_MARKS = ("signed,", "regards,", "sincerely,", "yours", "cheers,", "best", "cordially,", "respectfully,")
+_BEGIN = r"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))"
+#: Contexts in which a person is named: marks of which one is there in lower case, the form, and how much the context
+#: tells.  "person": it names a real one.  "self": it does outside quoted speech, where characters speak.  "known": only
+#: with a known given name or an initial.
 CONTEXTS = tuple(
-    (mark, re.compile(p), tells) for mark, p, tells in (
-        (" name", rf"(?i:\b(?:real|full|legal|actual|birth|passport)\sname\s?(?:is|['’]s|:))\s{_NAME}", "person"),
-        (" is ", rf"(?i:\b{_ROLE}\s+is)\s{_NAME}", "person"),
-        (":", rf"(?i:\b{_ROLE}\s?:)\s{_NAME}", "person"),
-        ("c/o ", rf"(?i:\bc/o)\s{_NAME}", "person"),
-        (",", rf"(?i:\b{_CLOSE},)\s+{_NAME}(?=\s*(?:\(|\n|$))", "person"),
-        (" goes to ", rf"(?i:\bcredit\s(?:for\s[^.\n]{{1,200}}?\s)?goes\sto)\s{_NAME}", "person"),
-        (" / ", rf"(?<![\w/]){_NAME}(?=\s/\s(?:[+(\d]|(?:zero|five)\s|[\w.+-]+@))", "person"),
-        (" here", rf"(?i:\b(?:by\sthe\sway|btw|ooc|hi|hello|hey)[,:]?)\s{_NAME}(?=\shere\b)", "person"),
-        (" here", rf"(?<!\w){_NAME}(?=\shere,\s(?i:I\s(?:play|am\splaying)|playing)\b)", "self"),
-        ("name", rf"(?i:\b(?:my|his|her|their)\s+name\s?(?:is|['’]s|:))\s{_NAME}", "self"),
-        ("i'm ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I'm)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
-        ("i’m ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I’m)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
-        ("i am ", rf"(?:^|(?<=[.!?(:\n]\s)|(?<=[(:\n]))(?i:I\sam)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
-        ("ell ", rf"\b[Tt]ell\s{_NAME}(?=['’]s\s{_KIN}\b)", "known"),
-        ("sk for ", rf"\b[Aa]sk\sfor\s{_NAME}(?=\sat\sthe\s(?:door|desk|reception|bar|counter|front)\b)", "known"),
-        (",", rf"(?<=[a-zà-ÿ]\s)(?P<name>[^\W\d_]{{3,}},\s[^\W\d_]{{3,}})(?=\s*[.;)\n]|$)", "known"),
+    (marks, re.compile(p), tells) for marks, p, tells in (
+        (("real name", "full name", "legal name", "actual name", "birth name", "passport name"), rf"(?i:\b(?:real|full|legal|actual|birth|passport)\sname\s?(?:is|['’]s|:))\s{_NAME}", "person"),
+        (_ROLE_MARKS, rf"(?i:\b{_ROLE}(?:\s+is|\s?:))\s{_NAME}", "person"),
+        (("c/o ",), rf"(?i:\bc/o)\s{_NAME}", "person"),
+        (_CLOSE_MARKS, rf"(?i:\b{_CLOSE},)\s+{_NAME}(?=\s*(?:\(|\n|$))", "person"),
+        ((" goes to ",), rf"(?i:\bcredit\s(?:for\s[^.\n]{{1,200}}?\s)?goes\sto)\s{_NAME}", "person"),
+        ((" / ",), rf"(?<![\w/]){_NAME}(?=\s/\s(?:[+(\d]|(?:zero|five)\s|[\w.+-]+@))", "person"),
+        ((" here",), rf"(?i:\b(?:by\sthe\sway|btw|ooc|hi|hello|hey)[,:]?)\s{_NAME}(?=\shere\b)", "person"),
+        ((" here, i play", " here, i am play", " here, playing"), rf"(?<!\w){_NAME}(?=\shere,\s(?i:I\s(?:play|am\splaying)|playing)\b)", "self"),
+        (("my name", "his name", "her name", "their name"), rf"(?i:\b(?:my|his|her|their)\s+name\s?(?:is|['’]s|:))\s{_NAME}", "self"),
+        (("i'm ", "i’m ", "i am "), rf"{_BEGIN}(?i:I['’]m|I\sam)\s{_NAME}(?=\s*(?:[.,;!)\n]|$|and\b|from\b))", "self"),
+        (("tell ",), rf"\b[Tt]ell\s{_NAME}(?=['’]s\s{_KIN}\b)", "known"),
+        (("ask for ",), rf"\b[Aa]sk\sfor\s{_NAME}(?=\sat\sthe\s(?:door|desk|reception|bar|counter|front)\b)", "known"),
     )
 )
+#: A family name before a known given one, inside a sentence.
+TURNED = re.compile(r"(?<=[a-zà-ÿ]\s)(?P<name>[^\W\d_]{3,},\s[^\W\d_]{3,})(?=\s*[.;)\n]|$)")
 WORD = re.compile(r"[^\W\d_]+")
 FREE = re.compile(rf"(?<![\w.@+-])(?P<given>[^\W\d_]{{2,}}){_NICK}(?:\s[^\W\d_]\.)?(?P<particle>{_PARTICLE})\s(?P<family>{_W})(?![\w@+])")
 #: What follows a name in a story, or makes it that of a place: an epithet, what characters do, a kind of street.
@@ -262,11 +264,15 @@ def quoted(text: str, at: int) -> bool:
     return sum(text.count(q, start, at) for q in QUOTES) % 2 == 1
 
 
-def names(text: str, words: set[str], cast: Collection[str] = ()) -> Iterator[tuple[int, int]]:
-    """Names of persons.  ``cast`` holds lower-case words of the names of characters: a family name among them is theirs."""
-    low = text.lower()
-    for mark, rx, tells in CONTEXTS:
-        if mark in low:
+def names(text: str, low: str, words: set[str], cast: Collection[str] = ()) -> Iterator[tuple[int, int]]:
+    """Names of persons; ``low`` is the text in lower case, ``words`` its words.
+
+    ``cast`` holds lower-case words of the names of characters: a family name among them is theirs.
+    """
+    given_there = GIVEN & words
+    turned = [((",",), TURNED, "known")] if given_there else []
+    for marks, rx, tells in (*CONTEXTS, *turned):
+        if any(m in low for m in marks):
             for m in rx.finditer(text):
                 name = m.group("name")
                 parts = [w.lower() for w in WORD.findall(name)]
@@ -282,7 +288,7 @@ def names(text: str, words: set[str], cast: Collection[str] = ()) -> Iterator[tu
                     real = known and (shaped or ", " not in name) and family not in GIVEN or shaped and len(given) == 1
                 if real:
                     yield m.span("name")
-    for first in GIVEN & words:
+    for first in given_there:
         if first in cast:
             continue
         # Only the places where a known given name stands are looked at.
@@ -296,6 +302,7 @@ def names(text: str, words: set[str], cast: Collection[str] = ()) -> Iterator[tu
 
 # ---- dates of birth -----------------------------------------------------------------------------------------
 _MONTHS = "January February March April May June July August September October November December".split()
+BIRTH_MARKS = ("born", "birth", "dob", "d.o.b")
 BIRTH = re.compile(
     rf"""(?i:\b(?:born(?:\son)?|date\sof\sbirth|dob|d\.o\.b\.|birthday|birthdate))\s?(?:is|:|,|-)?\s(?:the\s)?(?P<date>
       (?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}}) | (?P<d2>\d{{1,2}})\.(?P<m2>\d{{1,2}})\.(?P<y2>\d{{4}})
@@ -337,18 +344,20 @@ def find(text: str | None, cast: Collection[str] = ()) -> list[tuple[int, int, s
         spans.extend((a, b, kind) for a, b in found if free(a, b))
 
     add(emails(text), "email")
-    add((m.span("date") for m in BIRTH.finditer(text) if moved_date(m, b"") is not None), "birth")
+    low = text.lower()
+    if any(k in low for k in BIRTH_MARKS):
+        add((m.span("date") for m in BIRTH.finditer(text) if moved_date(m, b"") is not None), "birth")
     runs = [(max(0, m.start() - 8), m.end() + 6) for m in RUN.finditer(text)]
-    labels = {m.end() for m in ID_LABEL.finditer(text)} if runs else ()
-    for a, b in runs:
-        add((m.span() for m in IDENTITY.finditer(text, a, b) if identity_valid(m.lastgroup if m.lastgroup != "s" else "ssn", m, labels)), "identity")
-    add(((a, address_end(text, a, b)) for a, b in addresses(text)), "address")
+    numbers = [m for a, b in runs for m in IDENTITY.finditer(text, a, b)]
+    labels = {m.end() for m in ID_LABEL.finditer(text)} if numbers else ()
+    add((m.span() for m in numbers if identity_valid(m.lastgroup if m.lastgroup != "s" else "ssn", m, labels)), "identity")
+    add(((a, address_end(text, a, b)) for a, b in addresses(text, low)), "address")
     for a, b in runs:
         add((m.span() for m in PHONE.finditer(text, a, b) if phone_valid(m.lastgroup or "", m.group())), "phone")
-    words = set(text.lower().translate(_PUNCTUATION).split())
+    words = set(low.translate(_PUNCTUATION).split())
     if not words.isdisjoint(WORD_DIGIT):
         add((m.span() for m in SPOKEN.finditer(text)), "phone")
-    add(names(text, words, cast), "name")
+    add(names(text, low, words, cast), "name")
     return sorted(spans)
 
 
