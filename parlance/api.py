@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.config import DEFAULTS, Settings
 from parlance.functions import text as X
-from parlance.operators import basic, episodes, lexical, models, semantic
+from parlance.operators import basic, corrections, episodes, families, lexical, models, parsers, semantic
 from parlance.operators.order import with_turns
+from parlance.session import Stage
 from parlance.sources import campaigns
 
 
@@ -73,12 +74,57 @@ def _basic(turns: DataFrame, settings: Settings) -> dict[str, DataFrame]:
 
 
 METRICS: dict[str, Callable[[DataFrame, Settings], dict[str, DataFrame]]] = {"basic": _basic, "jaccard": _jaccard, "semantic": _semantic, "dsi": _dsi}
+JUDGE = "judge"
+#: Metrics that ask an annotator.
+ASKED = (*families.FAMILIES, JUDGE)
+
+
+def judged(turns: DataFrame, make: Callable[[], models.Annotator], settings: Settings = DEFAULTS, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A judge's scores of each session, and their means by campaign and by player: ``series, summary, players``."""
+    held = Stage(turns.select("campaign_id", "turn_idx", "player", "character", "text"), "judge-turns").df
+    sessions = episodes.judge_sessions(held, settings.judge_session)
+    told = f"Rate {', '.join(parsers.DIMENSIONS)} of this session, and of each character under a heading with the name, as name: 1 to 5.\nCharacters: "
+    requests = sessions.select("campaign_id", "block", "characters", F.concat(F.lit(told), "characters", F.lit("\n\n"), "text").alias("prompt"))
+    answers = Stage(models.annotate(requests, "prompt", make, JUDGE, stored=stored).drop("prompt", "request_key"), "judge-answers").df
+    series = answers.withColumn("scores", parsers.judge_overall(F.col("response")))
+    each = answers.select("campaign_id", "block", "response", F.explode(F.split("characters", "\\|")).alias("character")).where("character <> ''")
+    whose = corrections.players_of_characters(held.where("player IS NOT NULL"))
+    scored = each.join(whose, ["campaign_id", "character"]).withColumn("scores", parsers.judge_character(F.col("response"), F.col("character")))
+    return {
+        "series": series.drop("response"), "summary": parsers.judge_summary(series, "scores", ["campaign_id"]),
+        "players": parsers.judge_summary(scored.where("size(scores) > 0"), "scores", ["campaign_id", "player"]),
+    }
 
 
-def analyze(turns: DataFrame, metrics: list[str] | None = None, settings: Settings = DEFAULTS) -> dict[str, dict[str, DataFrame]]:
-    """Lazy result tables by metric family; an unknown name is an error."""
-    wanted = metrics if metrics is not None else list(METRICS)
-    unknown = sorted(set(wanted) - set(METRICS))
+def analyze(
+    turns: DataFrame, metrics: list[str] | None = None, settings: Settings = DEFAULTS,
+    annotators: dict[str, Callable[[], models.Annotator]] | None = None, stored: DataFrame | None = None,
+) -> dict[str, dict[str, DataFrame]]:
+    """Result tables by metric family; an unknown name is an error.
+
+    The families of ``ASKED`` need an annotator of their name in ``annotators``; without ``metrics`` all families run
+    for which there is one.  ``stored`` holds answers of earlier runs.
+    """
+    annotators = annotators or {}
+    wanted = metrics if metrics is not None else [*METRICS, *(m for m in ASKED if m in annotators)]
+    unknown = sorted(set(wanted) - set(METRICS) - set(ASKED))
     if unknown:
         raise ValueError(f"unknown metrics: {', '.join(unknown)}")
-    return {m: METRICS[m](turns, settings) for m in wanted}
+    mute = sorted(m for m in wanted if m in ASKED and m not in annotators)
+    if mute:
+        raise ValueError(f"no annotator for: {', '.join(mute)}")
+    out: dict[str, dict[str, DataFrame]] = {}
+    for m in wanted:
+        if m in METRICS:
+            out[m] = METRICS[m](turns, settings)
+        elif m == JUDGE:
+            out[m] = judged(turns, annotators[m], settings, stored)
+        else:
+            found = families.analyze(turns, families.FAMILIES[m], annotators[m], settings, stored)
+            out[m] = {"series": found.chunks, "summary": found.summary, "episodes": found.episodes, "turns": found.turns} | ({"norms": found.norms} if found.norms is not None else {})
+    return out
+
+
+def campaign_sample(turns: DataFrame, campaign_id: str) -> DataFrame:
+    """One campaign's messages in their order; the selection reaches the scan."""
+    return turns.where(F.col("campaign_id") == campaign_id).orderBy("turn_idx")

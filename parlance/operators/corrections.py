@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from parlance.operators.models import Annotator, annotate
+from parlance.session import written
 
 MASTER = "Dungeon Master"
 
@@ -37,21 +42,30 @@ def resolved(turns: DataFrame, resolution: DataFrame) -> DataFrame:
     return turns.join(one, ["campaign_id", "character", "player"], "left").withColumn("character", F.coalesce("_new", "character")).drop("_new")
 
 
+def proposed(conflicts: DataFrame, make: Callable[[], Annotator], stored: DataFrame | None = None) -> DataFrame:
+    """``campaign_id, character, player, new_name``: what a model answers about ``conflicts`` (see :func:`name_conflicts`).
+
+    A request names the character and its players, a line each; an answer has ``player: name`` lines.  Players the
+    answer leaves out, and empty names, keep the character's name: they give no row.
+    """
+    asked = conflicts.withColumn("prompt", F.concat_ws("\n", "character", F.replace("players", F.lit("|"), F.lit("\n"))))
+    answers = annotate(asked, "prompt", make, "name-conflicts", stored=stored)
+    each = answers.select("campaign_id", "character", "response", F.explode(F.split("players", "\\|")).alias("player"))
+    said = F.filter(F.split("response", "\n"), lambda line: F.startswith(line, F.concat("player", F.lit(":"))))
+    name = F.trim(F.substring(F.try_element_at(said, F.lit(1)), F.length("player") + 2, F.lit(2**31 - 1)))
+    return each.select("campaign_id", "character", "player", name.alias("new_name")).where("new_name <> ''")
+
+
 def corrected(turns: DataFrame, corrections: DataFrame, resolution: DataFrame | None = None) -> DataFrame:
     """Renaming, then dropping single posts, then resolving conflicts: a renaming can save a character from being dropped."""
     kept = without_single_posts(renamed(turns, corrections))
     return kept if resolution is None else resolved(kept, resolution)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
 def save_corrected(messages: DataFrame, folder: str) -> DataFrame:
     """Writes the corrected messages of campaigns that ``folder`` does not hold yet; all that it then holds."""
     spark = messages.sparkSession
-    if _exists(spark, folder):
+    if written(spark, folder):
         messages = messages.join(spark.read.parquet(folder).select("campaign_id").distinct(), "campaign_id", "left_anti")
     messages.write.mode("append").parquet(folder)
     return spark.read.parquet(folder)

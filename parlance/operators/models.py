@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parlance.session import written
+
 
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
@@ -26,19 +28,19 @@ class Annotator(Protocol):
 
 
 class HashEncoder:
-    """Signed hashing of words into a fixed number of dimensions, scaled to unit length."""
+    """Signed hashing of words into a fixed number of dimensions by their MD5 sums, scaled to unit length."""
 
     def __init__(self, size: int = 64):
         self.size = size
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), dtype=np.float32)
+        out = np.zeros((len(texts), self.size))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[i, h % self.size] += 1 if h >> 63 else -1
+                h = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+                out[i, h % self.size] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
+        return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
     def tokens(self, text: str) -> np.ndarray:
         """One vector per word."""
@@ -60,7 +62,7 @@ class KeywordAnnotator:
             texts = [(n, body.partition(": ")[2]) for n, body in zip(parts[::2], parts[1::2], strict=True)]
             hits = [(n, " ".join(t.split())) for n, t in texts if any(k in t.lower() for k in self.keywords)]
             mark = f" [{self.kind}]" if self.kind else ""
-            out.append("\n".join(f"TURN {n}{mark}: {t[:60]}" for n, t in hits) or self.none)
+            out.append("\n".join(f"TURN {n}{mark}: {t}" for n, t in hits) or self.none)
         return out
 
 
@@ -93,6 +95,21 @@ def embed(df: DataFrame, text: str, make: Callable[[], Encoder] = HashEncoder, b
     return df.mapInPandas(run, schema)
 
 
+def embed_cached(df: DataFrame, text: str, model: str, folder: str, make: Callable[[], Encoder] = HashEncoder, batch: int = 64) -> DataFrame:
+    """Adds a vector per row, read from the cache in ``folder``; texts it does not hold are encoded once each and added.
+
+    The key depends on the model's name and the text, so equal texts share a vector, whatever their rows.
+    """
+    plain = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "[EMPTY]").otherwise(F.col(text))
+    keyed = df.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(model), plain), 256))
+    wanted = keyed.select("_key", plain.alias("_text")).dropDuplicates(["_key"])
+    spark = df.sparkSession
+    if written(spark, folder):
+        wanted = wanted.join(spark.read.parquet(folder).select("_key"), "_key", "left_anti")
+    embed(wanted, "_text", make, batch).select("_key", "vector").write.mode("append").parquet(folder)
+    return keyed.join(spark.read.parquet(folder), "_key", "left").drop("_key")
+
+
 #: The text column of each label.
 LABEL_TEXTS = {"in-character": "in_character_text", "out-of-character": "out_of_character_text", "mixed": "mixed_text"}
 
@@ -124,9 +141,17 @@ def token_diversity(df: DataFrame, keys: list[str], text: str, make: Callable[[]
     return df.mapInPandas(run, schema)
 
 
-def annotate(requests: DataFrame, prompt: str, make: Callable[[], Annotator], stage: str, batch: int = 16) -> DataFrame:
-    """Adds ``request_key`` and ``response``.  The key depends on stage and prompt, so stored answers can be reused."""
+def annotate(requests: DataFrame, prompt: str, make: Callable[[], Annotator], stage: str, batch: int = 16, stored: DataFrame | None = None) -> DataFrame:
+    """Adds ``request_key`` and ``response``.  The key depends on stage and prompt.
+
+    A request whose key ``stored(request_key, response)`` holds gets that answer; only the others are asked, and equal
+    ones once each.
+    """
     keyed = requests.withColumn("request_key", F.sha2(F.concat_ws("|", F.lit(stage), F.col(prompt)), 256))
+    if stored is not None:
+        held = stored.groupBy("request_key").agg(F.min("response").alias("response"))
+        new = annotate(keyed.join(held, "request_key", "left_anti").select(prompt).distinct(), prompt, make, stage, batch)
+        return keyed.join(held.unionByName(new.select("request_key", "response")), "request_key")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keyed.schema)}, response string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ def gap_sessions(
     at: Column,
     identity: tuple[Column, ...] = (),
     gap_seconds: int = 6 * 3600,
-    chunk_days: int = 30,
+    chunk_hours: int = 720,
 ) -> DataFrame:
     """Sessions ``(user, started_at, ended_at, n_events, duration_seconds)`` of every user.
 
@@ -39,7 +39,7 @@ def gap_sessions(
     keys = [c.alias(f"k{i}") for i, c in enumerate(identity)]
     base = events.select(user.alias("u"), at.cast("timestamp_ntz").alias("t"), *keys)
     base = base.where(F.col("u").isNotNull() & F.col("t").isNotNull())
-    base = base.withColumn("chunk", F.floor(F.unix_date(F.col("t").cast("date")) / chunk_days).cast("int"))
+    base = base.withColumn("chunk", F.floor((F.unix_date(F.col("t").cast("date")) * 24 + F.hour("t")) / chunk_hours).cast("int"))
 
     names = [f"k{i}" for i in range(len(identity))]
     local = W.partitionBy("u", "chunk").orderBy("t", *names)

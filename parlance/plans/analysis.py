@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlance.functions.text import word_count
 from parlance.functions.vectors import cosine
 from parlance.operators import basic, episodes as E, lexical as L, semantic as S
-from parlance.plans.base import M, stored_turns, turns
+from parlance.plans.base import M, messages, stored_turns, turns
 from parlance.session import Stage
 from parlance.sources.tables import table
 
@@ -103,7 +103,7 @@ def _episodes(t: DataFrame) -> DataFrame:
 
 
 def extraction_windows(spark: SparkSession, d: str) -> DataFrame:
-    return E.windows(turns(spark, d).groupBy("campaign_id").agg(F.count("*").alias("n")))
+    return E.windows(messages(spark, d).groupBy("campaign_id").agg(F.count("*").alias("n")))
 
 
 def dedupe_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +174,7 @@ def first_appearance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return E.summary_schedule(turns(spark, d).groupBy("campaign_id").agg(F.count("*").alias("n")))
+    return E.summary_schedule(messages(spark, d).groupBy("campaign_id").agg(F.count("*").alias("n")))
 
 
 def recent_context(spark: SparkSession, d: str) -> DataFrame:

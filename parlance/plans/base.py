@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.operators.order import with_turns
+from parlance.operators.order import once, with_turns
 from parlance.session import Stage
 from parlance.sources.tables import table
 
@@ -20,6 +20,12 @@ def turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return with_turns(table(spark, d, "campaign_messages").select(*wanted))
 
 
+def messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every message once, without their order: for figures that do not depend on it."""
+    wanted = dict.fromkeys(("row_id", "campaign_id", "message_id", *columns))
+    return once(table(spark, d, "campaign_messages").select(*wanted), columns)
+
+
 def stored_turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """As :func:`turns`, written once: for queries that read the order several times."""
     return Stage(turns(spark, d, *columns), "turns").df

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlance.functions import text as X
 from parlance.operators import basic as B
 from parlance.operators.sessions import gap_sessions, handle
-from parlance.plans.base import M, stats, stored_turns, turns
+from parlance.plans.base import M, messages, stats, stored_turns, turns
 from parlance.sources.tables import table
 
 HOURS = "date_diff('microsecond', lag(date) OVER (PARTITION BY {k} ORDER BY turn_idx), date) / 3.6e9"
@@ -28,16 +28,16 @@ def interval_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return B.length_statistics(turns(spark, d, "word_count"), ["campaign_id"])
+    return B.length_statistics(messages(spark, d, "word_count"), ["campaign_id"])
 
 
 def post_lengths_by_player(spark: SparkSession, d: str) -> DataFrame:
-    return B.length_statistics(turns(spark, d, "word_count", "player"), ["campaign_id", "player"])
+    return B.length_statistics(messages(spark, d, "word_count", "player"), ["campaign_id", "player"])
 
 
 def post_lengths_levels(spark: SparkSession, d: str) -> DataFrame:
     """Overall and per player in one pass over grouping sets; null players only take part overall."""
-    t = turns(spark, d, "word_count", "player")
+    t = messages(spark, d, "word_count", "player")
     sets = t.groupingSets([["campaign_id"], ["campaign_id", "player"]], "campaign_id", "player").agg(
         *B.statistics(F.col("word_count")), F.grouping("player").alias("overall")
     )
@@ -48,15 +48,15 @@ LABEL_COLUMNS = ("word_count", "in_character_word_count", "out_of_character_word
 
 
 def post_lengths_by_label(spark: SparkSession, d: str) -> DataFrame:
-    return B.lengths_by_label(turns(spark, d, *LABEL_COLUMNS), ["campaign_id"])
+    return B.lengths_by_label(messages(spark, d, *LABEL_COLUMNS), ["campaign_id"])
 
 
 def post_lengths_by_label_player(spark: SparkSession, d: str) -> DataFrame:
-    return B.lengths_by_label(turns(spark, d, *LABEL_COLUMNS).where("player IS NOT NULL"), ["campaign_id", "player"])
+    return B.lengths_by_label(messages(spark, d, *LABEL_COLUMNS).where("player IS NOT NULL"), ["campaign_id", "player"])
 
 
 def label_summary(spark: SparkSession, d: str) -> DataFrame:
-    return B.label_summary(turns(spark, d, "label_counts"))
+    return B.label_summary(messages(spark, d, "label_counts"))
 
 
 def mention_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -64,19 +64,19 @@ def mention_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mention_totals(spark: SparkSession, d: str) -> DataFrame:
-    return B.mention_totals(turns(spark, d, "name_mentions"))
+    return B.mention_totals(messages(spark, d, "name_mentions"))
 
 
 def dice_roll_overall(spark: SparkSession, d: str) -> DataFrame:
-    return B.dice_overall(turns(spark, d, "has_dice_roll"))
+    return B.dice_overall(messages(spark, d, "has_dice_roll"))
 
 
 def dice_roll_by_player(spark: SparkSession, d: str) -> DataFrame:
-    return B.dice_by_player(turns(spark, d, "has_dice_roll", "player"))
+    return B.dice_by_player(messages(spark, d, "has_dice_roll", "player"))
 
 
 def dice_roll_daily(spark: SparkSession, d: str) -> DataFrame:
-    return B.dice_daily(turns(spark, d, "has_dice_roll"))
+    return B.dice_daily(messages(spark, d, "has_dice_roll", "date"))
 
 
 def summary_report(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +88,7 @@ def campaign_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def campaign_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return B.largest_campaigns(turns(spark, d))
+    return B.largest_campaigns(messages(spark, d))
 
 
 def cumulative_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ def unique_players_running(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_turns_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = turns(spark, d)
+    t = messages(spark, d)
     large = t.groupBy("campaign_id").agg(F.count("*").alias("n")).where("n >= 5")
     return t.join(large.select("campaign_id"), "campaign_id", "left_semi").groupBy("campaign_id").agg(F.count("*").alias("messages"))
 
@@ -116,8 +116,8 @@ def block_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def campaign_gap_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of a campaign by silence of more than six hours."""
-    s = gap_sessions(table(spark, d, "campaign_messages"), F.col("campaign_id"), F.col("date"), (F.col("message_id"),))
+    """Sessions of a campaign by silence of more than six hours; a campaign may be as dense as the whole table."""
+    s = gap_sessions(table(spark, d, "campaign_messages"), F.col("campaign_id"), F.col("date"), (F.col("message_id"),), chunk_hours=3)
     return s.select(F.col("user").alias("campaign_id"), "started_at", "ended_at", "n_events")
 
 

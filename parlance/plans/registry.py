@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import analysis, basic, records, tables
+from parlance.plans import analysis, basic, families, records, tables
 
 FLAGSHIP = "time_intervals"
-MODULES = (records, basic, analysis, tables)
+MODULES = (records, basic, analysis, tables, families)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,13 +6,14 @@ import json
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from parlance.functions.text import action_class, python_bool
 from parlance.operators import basic, corrections as C, episodes as E, models as Mo, parsers as P, results as R, semantic as Se, simulation as G
 from parlance.operators.shred import actions_table, clean_label, messages_table, paragraphs_table
 from parlance.plans import analysis as An
-from parlance.plans.base import M, turns
+from parlance.plans.base import M, messages, turns
+from parlance.plans.families import VECTOR_SQL, vector_text
 from parlance.plans.records import ACTIONS, LABEL, PARAGRAPHS
 from parlance.session import Stage, shared_folder
 from parlance.sources import campaigns as S
@@ -24,8 +25,12 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d, "player", "character", "text", "word_count", "has_dice_roll", "message_type", "gender", "race", "class")
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages(spark, d, "date", "player", "character", "word_count", "message_type")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).groupBy("campaign_id").agg(F.count("*").alias("messages"), F.round(F.avg("word_count"), 6).alias("words"))
+    return _messages(spark, d).groupBy("campaign_id").agg(F.count("*").alias("messages"), F.round(F.avg("word_count"), 6).alias("words"))
 
 
 def _categories(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +48,7 @@ def category_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "campaign_meta").where(F.col("temperature").isin(0.7, 1.0) & F.col("scratchpad").eqNullSafe(F.lit(False)))
-    return turns(spark, d).join(meta.select("campaign_id"), "campaign_id", "left_semi").groupBy("campaign_id").agg(F.count("*").alias("messages"))
+    return messages(spark, d).join(meta.select("campaign_id"), "campaign_id", "left_semi").groupBy("campaign_id").agg(F.count("*").alias("messages"))
 
 
 def histogram_linear(spark: SparkSession, d: str) -> DataFrame:
@@ -83,14 +88,14 @@ def metric_names(spark: SparkSession, d: str) -> DataFrame:
 def resolve_metric(spark: SparkSession, d: str) -> DataFrame:
     """A metric that only the summary has, and one that both have, from the series first."""
     summary = tidy_summary(spark, d)
-    series = _turns(spark, d).select("campaign_id", F.lit("words").alias("metric"), F.col("word_count").cast("double").alias("value"))
+    series = _messages(spark, d).select("campaign_id", F.lit("words").alias("metric"), F.col("word_count").cast("double").alias("value"))
     both = R.resolve_metric(series, summary, "words").withColumn("metric", F.lit("words"))
     only = R.resolve_metric(series, summary, "messages").withColumn("metric", F.lit("messages"))
     return both.unionByName(only).groupBy("campaign_id", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def topic_day_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.day_topics(_turns(spark, d), F.to_date("date"), F.col("message_type"), ["action", "dialogue", "narrative"])
+    return R.day_topics(_messages(spark, d), F.to_date("date"), F.col("message_type"), ["action", "dialogue", "narrative"])
 
 
 def type_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +114,7 @@ def cross_model_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return C.turn_distribution(_turns(spark, d))
+    return C.turn_distribution(_messages(spark, d))
 
 
 def first_sheets(spark: SparkSession, d: str) -> DataFrame:
@@ -121,26 +126,25 @@ def character_players(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return C.name_conflicts(_turns(spark, d))
+    return C.name_conflicts(_messages(spark, d))
 
 
 def single_post_filter(spark: SparkSession, d: str) -> DataFrame:
-    return C.without_single_posts(_turns(spark, d)).select("campaign_id", "message_id", "character")
+    return C.without_single_posts(_messages(spark, d)).select("campaign_id", "message_id", "character")
 
 
 def manual_corrections(spark: SparkSession, d: str) -> DataFrame:
-    return C.renamed(_turns(spark, d), table(spark, d, "name_corrections")).select("campaign_id", "message_id", "character")
+    return C.renamed(_messages(spark, d), table(spark, d, "name_corrections")).select("campaign_id", "message_id", "character")
 
 
 def corrected_messages(spark: SparkSession, d: str) -> DataFrame:
-    return C.corrected(_turns(spark, d), table(spark, d, "name_corrections")).select("campaign_id", "message_id", "character")
+    return C.corrected(_messages(spark, d), table(spark, d, "name_corrections")).select("campaign_id", "message_id", "character")
 
 
 def player_posts_top(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten posts of each player of a campaign."""
-    ranked = _turns(spark, d).where("player IS NOT NULL")
-    least = ranked.groupBy("campaign_id", "player").agg(F.array_sort(F.collect_list("turn_idx")).alias("at"))
-    return least.select("campaign_id", "player", F.explode(F.slice("at", 1, 10)).alias("turn_idx"))
+    """The first ten posts of each player of a campaign; ranks above ten are cut before rows are exchanged."""
+    rank = F.row_number().over(W.partitionBy("campaign_id", "player").orderBy("turn_idx"))
+    return _turns(spark, d).where("player IS NOT NULL").withColumn("rank", rank).where("rank <= 10").select("campaign_id", "player", "turn_idx")
 
 
 def cache_miss(spark: SparkSession, d: str) -> DataFrame:
@@ -235,8 +239,9 @@ def annotated_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The vector of every message, whole, as text."""
     t = table(spark, d, "campaign_messages").select("row_id", "text")
-    return Mo.embed(t, "text").select("row_id", F.size("vector").alias("size"), F.round(F.element_at("vector", 1), 6).alias("first"))
+    return Mo.embed(t, "text").select("row_id", vector_text(F.col("vector")).alias("vector"))
 
 
 def scene_diversity(spark: SparkSession, d: str) -> DataFrame:
@@ -348,15 +353,15 @@ def corrected_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linked_norms(spark: SparkSession, d: str) -> DataFrame:
-    """Norms linked over the first texts of combat episodes, as stand-ins for an annotator's descriptions."""
+    """Norms linked over the texts of combat turns, as stand-ins for an annotator's descriptions."""
     t = turns(spark, d, "text", "in_combat").where("in_combat AND text IS NOT NULL")
-    norms = t.select("campaign_id", F.col("turn_idx").alias("start_turn"), F.substring_index("text", ".", 1).alias("description"), (F.col("turn_idx") % 2 == 0).alias("is_explicit"))
+    norms = t.select("campaign_id", F.col("turn_idx").alias("start_turn"), F.col("text").alias("description"), (F.col("turn_idx") % 2 == 0).alias("is_explicit"))
     kind = F.element_at(F.array(*map(F.lit, ("establishing", "following", "violating", "enforcing"))), (F.col("start_turn") % 4 + 1).cast("int"))
     return Mo.norm_summaries(Mo.link_norms(norms.withColumn("episode_type", kind)))
 
 
 def system_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return G.system_prompts(_turns(spark, d))
+    return G.system_prompts(_messages(spark, d))
 
 
 class _Echo:
@@ -483,8 +488,11 @@ QUALIFY row_number() OVER (PARTITION BY campaign_id, player ORDER BY turn_idx) <
     "metadata_index": f"SELECT DISTINCT campaign_id, {_META} FROM raw_messages WHERE message_key = '_metadata' AND json_valid(payload)",
     "system_prompts": f"""WITH {M} SELECT campaign_id, 'You take part in the game ' || campaign_id || printf('. Posts have %d words on average (median %d, standard deviation %d).',
   CAST(floor(avg(word_count) + 0.5) AS BIGINT), CAST(floor(median(word_count) + 0.5) AS BIGINT), CAST(floor(stddev_pop(word_count) + 0.5) AS BIGINT)) AS prompt FROM m GROUP BY 1""",
-    "annotated_turns": f"""WITH {M} SELECT campaign_id, turn_idx, 'DRAMATIC' AS type FROM m WHERE regexp_matches('Turn ' || turn_idx || ' - ' || coalesce(character, '') || ': ' || split_part(coalesce(text, ''), chr(10), 1), '^Turn \\d+ - [^:\\n]*: .*')
-  AND contains(lower(regexp_replace(coalesce(character, '') || ': ' || split_part(replace(coalesce(text, ''), chr(13), chr(10)), chr(10), 1), '^[^:]*: ', '')), 'attacks')""",
+    "message_embeddings": VECTOR_SQL,
+    "annotated_turns": f"WITH {M} SELECT campaign_id, turn_idx, 'DRAMATIC' AS type FROM m WHERE contains(lower(text), 'attacks')",
+    "annotated_episodes": f"""WITH {M}, a AS (SELECT campaign_id, turn_idx, turn_idx - row_number() OVER (PARTITION BY campaign_id ORDER BY turn_idx) AS isl
+  FROM m WHERE contains(lower(text), 'attacks'))
+SELECT campaign_id, min(turn_idx) AS start_turn, max(turn_idx) AS end_turn, count(*) AS turn_count, 'DRAMATIC' AS kind FROM a GROUP BY campaign_id, isl""",
     "message_formats": f"WITH {PARAGRAPHS} SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS format, count(*) AS messages FROM msg GROUP BY 1",
     "paragraph_labels": f"WITH {PARAGRAPHS} SELECT {LABEL} AS label, count(*) AS paragraphs FROM par GROUP BY 1",
     "paragraph_fallback": f"WITH {PARAGRAPHS}, x AS (SELECT lower(q ->> '$.text') AS t FROM par) SELECT CASE WHEN contains(t, 'roll') OR contains(t, 'd20') OR contains(t, 'dice') THEN 'roll'"

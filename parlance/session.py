@@ -49,6 +49,12 @@ class Stage:
         path.getFileSystem(conf).delete(path, True)
 
 
+def written(spark: SparkSession, folder: str) -> bool:
+    """Whether a table has been written to a folder and completed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write once to the shared folder and read back: no recomputation, and safe against executor loss."""
     return Stage(df, label).df
