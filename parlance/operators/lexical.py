@@ -26,19 +26,24 @@ def player_words(turns: DataFrame, session_turns: int = 5) -> DataFrame:
     return sets.join(several, "campaign_id", "left_semi")
 
 
+def session_values(words: DataFrame) -> DataFrame:
+    """As :func:`session_jaccard`, not rounded: whole numbers are summed up and divided once."""
+    held = words.groupBy("campaign_id", "session").agg(F.collect_list(F.struct("player", "words")).alias("p"))
+    others = lambda me: F.flatten(F.transform(F.filter("p", lambda q: q["player"] != me["player"]), lambda q: q["words"]))
+    shared = F.aggregate(F.transform("p", lambda me: F.size(F.array_intersect(me["words"], others(me)))), F.lit(0), lambda s, x: s + x)
+    union = F.size(F.array_distinct(F.flatten(F.transform("p", lambda q: q["words"]))))
+    players = F.size("p")
+    value = shared / (F.greatest(union, F.lit(1)) * players)
+    return held.where(players >= 2).select("campaign_id", "session", players.cast("long").alias("players"), value.alias("jaccard"))
+
+
 def session_jaccard(words: DataFrame) -> DataFrame:
     """Each player's words against the others' together, averaged over the players of a session with at least two.
 
     The union is all words of the session for every player.  A session is a few messages, so its sets are compared
     inside one row; no pairs of rows are formed.
     """
-    held = words.groupBy("campaign_id", "session").agg(F.collect_list(F.struct("player", "words")).alias("p"))
-    others = lambda me: F.flatten(F.transform(F.filter("p", lambda q: q["player"] != me["player"]), lambda q: q["words"]))
-    shared = F.aggregate(F.transform("p", lambda me: F.size(F.array_intersect(me["words"], others(me)))), F.lit(0), lambda s, x: s + x)
-    union = F.size(F.array_distinct(F.flatten(F.transform("p", lambda q: q["words"]))))
-    players = F.size("p")
-    value = shared / F.greatest(union, F.lit(1)) / players
-    return held.where(players >= 2).select("campaign_id", "session", players.cast("long").alias("players"), F.round(value + 1e-12, 6).alias("jaccard"))
+    return session_values(words).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def vocabulary_sizes(words: DataFrame) -> DataFrame:

@@ -12,15 +12,22 @@ DIMENSIONS = ("novelty", "value", "adherence", "resonance")
 NORM_TYPES = "establishing|following|violating|enforcing"
 
 
+def _entries(found: DataFrame, answer: Column, head: str, beyond: str) -> DataFrame:
+    """An answer cut before every ``beyond``, one row ``_e`` for each part that starts with ``head``, numbered by ``position``."""
+    parts = F.filter(F.split(answer, rf"(?i)(?={beyond})"), lambda e: F.rlike(e, F.lit(rf"(?i)^{head}")))
+    return found.select(*found.columns, F.posexplode(parts).alias("position", "_e"))
+
+
 def turn_list(found: DataFrame, response: Column, none: str) -> DataFrame:
     """``TURN n: explanation`` entries, explanations over several lines, inside the window of each row.
 
     Adds ``position, turn_idx, explanation``.  An answer that holds the token ``none`` in any case gives no row.
     """
     kept = found.withColumn("_r", response).where(~F.contains(F.upper("_r"), F.lit(none.upper())))
-    pattern = F.lit(r"(?is)TURN\s+(\d+):\s*(.+?)(?=TURN\s+\d+:|\z)")
-    zipped = F.arrays_zip(F.regexp_extract_all("_r", pattern, F.lit(1)).alias("n"), F.regexp_extract_all("_r", pattern, F.lit(2)).alias("e"))
-    return _in_window(kept.select(*found.columns, F.posexplode(zipped).alias("position", "_m")), F.col("_m.n"), {"explanation": _strip(F.col("_m.e"))})
+    head = r"TURN\s+(\d+):\s*"
+    rows = _entries(kept, F.col("_r"), head, r"TURN\s+\d+:")
+    told = _strip(F.regexp_replace("_e", rf"(?i)^{head}", ""))
+    return _in_window(rows, F.regexp_extract("_e", rf"(?i)^{head}", 1), {"explanation": told})
 
 
 def typed_turns(found: DataFrame, response: Column, none: str, types: tuple[str, str]) -> DataFrame:
@@ -36,10 +43,10 @@ def typed_turns(found: DataFrame, response: Column, none: str, types: tuple[str,
 def norm_turns(found: DataFrame, response: Column, none: str = "NO_NORMS_FOUND") -> DataFrame:
     """``TURN n [type]: explanation`` with one of the four norm types; other types are passed over."""
     kept = found.withColumn("_r", response).where(~F.contains(F.upper("_r"), F.lit(none)))
-    pattern = F.lit(rf"(?is)TURN\s+(\d+)\s*\[({NORM_TYPES})\]:\s*(.+?)(?=TURN\s+\d+\s*\[|\z)")
-    zipped = F.arrays_zip(*(F.regexp_extract_all("_r", pattern, F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "t"), (3, "e"))))
-    rows = kept.select(*found.columns, F.posexplode(zipped).alias("position", "_m"))
-    return _in_window(rows, F.col("_m.n"), {"explanation": _strip(F.col("_m.e")), "type": F.lower("_m.t")})
+    head = rf"TURN\s+(\d+)\s*\[({NORM_TYPES})\]:\s*"
+    rows = _entries(kept, F.col("_r"), head, r"TURN\s+\d+\s*\[")
+    told = {"explanation": _strip(F.regexp_replace("_e", rf"(?i)^{head}", "")), "type": F.lower(F.regexp_extract("_e", rf"(?i)^{head}", 2))}
+    return _in_window(rows, F.regexp_extract("_e", rf"(?i)^{head}", 1), told)
 
 
 def _strip(c: Column) -> Column:
@@ -50,7 +57,7 @@ def _in_window(rows: DataFrame, number: Column, extra: dict[str, Column]) -> Dat
     out = rows.withColumn("turn_idx", number.try_cast("long"))
     for name, c in extra.items():
         out = out.withColumn(name, c)
-    return out.where("turn_idx BETWEEN window_start AND window_end").drop("_m", "_l")
+    return out.where("turn_idx BETWEEN window_start AND window_end").drop("_e", "_l", "_r")
 
 
 def humor_types(response: Column) -> Column:
@@ -66,15 +73,22 @@ def rating(response: Column, name: str, default: int = 3) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(response, rf"(?i){name}:\s*(\d)", 1), F.lit("")).cast("int"), F.lit(default))
 
 
+def _field(answer: Column, name: str) -> Column:
+    """What the first line with ``name:`` says behind it, up to a field that follows on the line; null if nothing."""
+    line = F.try_element_at(F.filter(F.split(answer, "\n"), lambda x: F.rlike(x, F.lit(rf"(?i)\b{name}:"))), F.lit(1))
+    said = F.regexp_extract(line, rf"(?i)\b{name}:(.*)$", 1)
+    return F.nullif(_strip(F.element_at(F.split(said, r"(?i)\b(?:Type|Explicit|Norm|Description):"), 1)), F.lit(""))
+
+
 def norm_category(response: Column, hint: Column, description: Column) -> Column:
     """Type, explicitness, norm and description of a norm episode, each with its default."""
-    kind = F.nullif(F.lower(F.regexp_extract(response, rf"(?i)Type:\s*({NORM_TYPES})", 1)), F.lit(""))
-    norm = F.nullif(_strip(F.regexp_extract(response, r"(?is)Norm:\s*(.+?)(?=\n|Description:|\z)", 1)), F.lit(""))
-    told = F.nullif(_strip(F.regexp_extract(response, r"(?is)Description:\s*(.+?)(?=\n|\z)", 1)), F.lit(""))
+    kind = F.lower(_field(response, "Type"))
+    known = F.regexp_extract(kind, rf"^({NORM_TYPES})", 1)
     return F.struct(
-        F.coalesce(kind, hint, F.lit("establishing")).alias("episode_type"),
-        (F.upper(F.regexp_extract(response, r"(?i)Explicit:\s*(YES|NO)", 1)) == "YES").alias("is_explicit"),
-        F.coalesce(norm, description, F.lit("")).alias("description"), F.coalesce(told, description, F.lit("")).alias("episode_description"),
+        F.coalesce(F.nullif(known, F.lit("")), hint, F.lit("establishing")).alias("episode_type"),
+        F.coalesce(F.startswith(F.upper(_field(response, "Explicit")), F.lit("YES")), F.lit(False)).alias("is_explicit"),
+        F.coalesce(_field(response, "Norm"), description, F.lit("")).alias("description"),
+        F.coalesce(_field(response, "Description"), description, F.lit("")).alias("episode_description"),
     )
 
 
@@ -85,10 +99,25 @@ def judge_overall(response: Column) -> Column:
 
 
 def judge_character(response: Column, character: Column) -> Column:
-    """Map from dimension to the score in a character's section; ``N/A`` is null, missing dimensions are absent."""
-    pattern = F.concat(F.lit(r"(?is)\Q"), character, F.lit(r"\E:\s*\n(.*?)(?=\n\w+:|### |\z)"))
-    section = F.call_function("regexp_extract", response, pattern, F.lit(1))
-    raw = F.array(*(F.struct(F.lit(d).alias("k"), F.nullif(F.regexp_extract(section, rf"(?i)-\s*{d}:\s*(\d|N/A)", 1), F.lit("")).alias("v")) for d in DIMENSIONS))
+    """Map from dimension to the score in a character's section; ``N/A`` is null, missing dimensions are absent.
+
+    The answer is read line by line: a line that is a name with a colon, perhaps marked as a heading, opens that name's
+    section, and the scores are the lines of the section that start with a dash.
+    """
+    lines = F.transform(F.split(response, "\n"), lambda x: _strip(x))
+    heads = F.transform(lines, lambda x: F.when(F.startswith(x, F.lit("-")), None).otherwise(F.regexp_extract(x, r"^[#*\s]*(.*?)[*\s]*:[*\s]*$", 1)))
+    opens = F.transform(heads, lambda h: F.nullif(F.lower(h), F.lit("")))
+    first = F.array_position(opens, F.lower(character))
+    rest = F.slice(lines, F.greatest(first, F.lit(1)).cast("int") + 1, F.size(lines))
+    later = F.slice(opens, F.greatest(first, F.lit(1)).cast("int") + 1, F.size(lines))
+    stop = F.array_position(F.transform(later, lambda h: h.isNotNull()), True)
+    own = F.when(first > 0, F.when(stop > 0, F.slice(rest, 1, (stop - 1).cast("int"))).otherwise(rest)).otherwise(F.array().cast("array<string>"))
+
+    def score(dimension: str) -> Column:
+        hit = F.try_element_at(F.filter(own, lambda x: F.rlike(x, F.lit(rf"(?i)^-\s*{dimension}:\s*(\d|N/A)"))), F.lit(1))
+        return F.nullif(F.regexp_extract(hit, r":\s*(\d|[Nn]/[Aa])", 1), F.lit(""))
+
+    raw = F.array(*(F.struct(F.lit(d).alias("k"), score(d).alias("v")) for d in DIMENSIONS))
     kept = F.filter(raw, lambda e: e["v"].isNotNull())
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("k"), e["v"].try_cast("int").alias("v"))))
 
@@ -105,9 +134,12 @@ def judge_summary(scores: DataFrame, score: str, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("judged"), *means, F.round(F.avg(own), 6).alias("mean_creativity"))
 
 
+#: A name in a list: without its number or bullet, stars and a remark in brackets.
+LISTED = re.compile(r"[\s\d.)*-]*(?P<name>[^(]*?)[\s*]*(?:\(.*)?")
+
+
 def _clean_name(raw: str) -> str:
-    name = re.sub(r"\*+", "", re.sub(r"^[\d.)\-*\s]+", "", raw)).strip()
-    return name.split(" (", 1)[0].strip() if " (" in name and ")" in name else name
+    return LISTED.fullmatch(raw).group("name") if "\n" not in raw else raw
 
 
 def described(response: str | None, names: list[str], master: str = "Dungeon Master") -> dict[str, str]:

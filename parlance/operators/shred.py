@@ -117,26 +117,31 @@ MESSAGE = (
     Leaf("date"), Leaf("player"), Leaf("character"), Leaf("text"), Leaf("format"),
     Many("paragraphs", (Leaf("key"), Leaf("text"), Leaf("label"), Many("actions", (Leaf("name"),)))),
 )
-WRAPPERS = ("message", "msg", "payload", "data", "record")
+#: Attributes by which a message object is told from a wrapper around one.
+ATTRIBUTES = frozenset(("date", "player", "character", "text", "paragraphs"))
 
 
 def message_object(payload: str | None) -> dict | None:
-    """The message object in a payload; None if it holds no readable one.
+    """The message object in a payload; None if it holds no readable object.
 
-    A payload may be encoded as a JSON string once more, and the message may sit under a single wrapping key.
+    A payload may be encoded as a JSON string again and again, and the message may sit under single keys that are no
+    attributes of a message, in any depth.
     """
-    value = payload
-    for _ in range(8):
+    value: object = payload
+    while True:
         if isinstance(value, str):
             try:
                 value = json.loads(value)
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
-        elif isinstance(value, dict) and len(value) == 1 and next(iter(value)) in WRAPPERS:
-            value = next(iter(value.values()))
+        elif isinstance(value, dict) and len(value) == 1 and ATTRIBUTES.isdisjoint(value):
+            inner = next(iter(value.values()))
+            found = message_object(inner) if isinstance(inner, str) else inner
+            if not isinstance(found, dict):
+                return value
+            value = found
         else:
-            break
-    return value if isinstance(value, dict) else None
+            return value if isinstance(value, dict) else None
 
 
 def paragraph_items(value: dict) -> list[tuple[str, dict]] | None:

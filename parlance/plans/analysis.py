@@ -21,7 +21,7 @@ def jaccard_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_campaign(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_session(spark, d).groupBy("campaign_id").agg(F.count("*").alias("sessions"), F.round(F.avg("jaccard") + 1e-9, 5).alias("jaccard"))
+    return L.session_values(_words(spark, d)).groupBy("campaign_id").agg(F.count("*").alias("sessions"), F.round(F.avg("jaccard"), 6).alias("jaccard"))
 
 
 def player_vocab(spark: SparkSession, d: str) -> DataFrame:
@@ -198,12 +198,10 @@ _W = rf"""WITH {M}, r AS (SELECT campaign_id, turn_idx // 5 AS session, player,
   FROM m WHERE text IS NOT NULL AND player IS NOT NULL), k AS (SELECT campaign_id FROM r GROUP BY 1 HAVING count(DISTINCT player) >= 2),
 s AS (SELECT campaign_id, session, player, list_distinct(flatten(list(ws))) AS ws FROM r JOIN k USING (campaign_id) GROUP BY 1, 2, 3)"""
 
-_PAIRS = f"""{_W}, g AS (SELECT campaign_id, session, count(*) AS players FROM s GROUP BY 1, 2 HAVING count(*) >= 2),
-o AS (SELECT a.campaign_id, a.session, a.player, any_value(a.ws) AS ws, list_distinct(flatten(list(b.ws))) AS rest FROM s a JOIN s b
+_PAIRS = f"""{_W}, o AS (SELECT a.campaign_id, a.session, a.player, any_value(a.ws) AS ws, list_distinct(flatten(list(b.ws))) AS rest FROM s a JOIN s b
   ON a.campaign_id = b.campaign_id AND a.session = b.session AND a.player <> b.player GROUP BY 1, 2, 3),
-j AS (SELECT campaign_id, session, avg(CASE WHEN len(ws) = 0 OR len(rest) = 0 THEN 0.0
-  ELSE len(list_intersect(ws, rest)) / len(list_distinct(list_concat(ws, rest))) END) AS jaccard FROM o GROUP BY 1, 2),
-q AS (SELECT campaign_id, session, players, round(jaccard + 1e-12, 6) AS jaccard FROM j JOIN g USING (campaign_id, session))"""
+q AS (SELECT campaign_id, session, count(*) AS players, CAST(sum(len(list_intersect(ws, rest))) AS DOUBLE)
+  / (greatest(max(len(list_distinct(list_concat(ws, rest)))), 1) * count(*)) AS jaccard FROM o GROUP BY 1, 2)"""
 
 _V = """WITH v AS (SELECT label AS campaign_id, vec_id, vec_id % 4 AS player, CAST(embedding AS DOUBLE[]) AS x,
   row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS turn_idx, row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) - 1 AS own_idx FROM embeddings)"""
@@ -229,8 +227,8 @@ f AS (SELECT campaign_id, chunk_no, start, "end", coalesce(episodes, 0) AS episo
   round(coalesce(turns, 0) / ("end" - start), 6) AS proportion, round(coalesce(r, 0.0), 6) AS mean_rating FROM c LEFT JOIN h USING (campaign_id, chunk_no))"""
 
 SQL = {
-    "jaccard_session": _PAIRS + " SELECT * FROM q",
-    "jaccard_campaign": _PAIRS + " SELECT campaign_id, count(*) AS sessions, round(avg(jaccard) + 1e-9, 5) AS jaccard FROM q GROUP BY 1",
+    "jaccard_session": _PAIRS + " SELECT * REPLACE (round(jaccard, 6) AS jaccard) FROM q",
+    "jaccard_campaign": _PAIRS + " SELECT campaign_id, count(*) AS sessions, round(avg(jaccard), 6) AS jaccard FROM q GROUP BY 1",
     "player_vocab": _W + " SELECT campaign_id, player, len(list_distinct(flatten(list(ws)))) AS vocabulary, count(*) AS sessions FROM s GROUP BY 1, 2",
     "player_self_jaccard": _W + """, z AS (SELECT * FROM s WHERE len(ws) > 0)
 SELECT a.campaign_id, a.player, round(avg(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))), 6) AS self_jaccard, count(*) AS pairs

@@ -55,9 +55,9 @@ t1 AS (SELECT raw_id, CASE WHEN json_type(p) = 'VARCHAR' THEN p ->> '$' ELSE p E
 t2 AS (SELECT raw_id, p FROM t1 WHERE json_valid(p)),
 t3 AS (SELECT raw_id, CASE WHEN json_type(p) = 'OBJECT' AND json_keys(p) = ['message'] THEN CAST(json_extract(p, '$.message') AS VARCHAR) ELSE p END AS p FROM t2),
 msg AS (SELECT raw_id, p, json_extract(p, '$.paragraphs') AS ps, coalesce(json_type(p, '$.text'), 'NULL') <> 'NULL' AS old FROM t3 WHERE json_type(p) = 'OBJECT'),
-ent AS (SELECT raw_id, k, json_extract(ps, '$."' || k || '"') AS q FROM (SELECT raw_id, ps, unnest(json_keys(ps)) AS k FROM msg WHERE NOT old AND json_type(ps) = 'OBJECT')
-  UNION ALL SELECT raw_id, CAST(i AS VARCHAR), json_extract(ps, '$[' || i || ']') FROM (SELECT raw_id, ps, unnest(range(CAST(json_array_length(ps) AS BIGINT))) AS i FROM msg WHERE NOT old AND json_type(ps) = 'ARRAY')),
-par AS (SELECT raw_id, k, q, json_extract(q, '$.actions') AS a FROM ent WHERE json_type(q) = 'OBJECT')"""
+ent AS (SELECT raw_id, nth, k, json_extract(ps, '$."' || k || '"') AS q FROM (SELECT raw_id, ps, unnest(json_keys(ps)) AS k, unnest(range(len(json_keys(ps)))) AS nth FROM msg WHERE NOT old AND json_type(ps) = 'OBJECT')
+  UNION ALL SELECT raw_id, i, CAST(i AS VARCHAR), json_extract(ps, '$[' || i || ']') FROM (SELECT raw_id, ps, unnest(range(CAST(json_array_length(ps) AS BIGINT))) AS i FROM msg WHERE NOT old AND json_type(ps) = 'ARRAY')),
+par AS (SELECT raw_id, nth, k, q, json_extract(q, '$.actions') AS a FROM ent WHERE json_type(q) = 'OBJECT')"""
 LABEL = r"""CASE WHEN lower(regexp_replace(q ->> '$.label', '^\s+|\s+$', '', 'g')) IN ('in-character', 'out-of-character', 'mixed')
   THEN lower(regexp_replace(q ->> '$.label', '^\s+|\s+$', '', 'g')) ELSE 'unlabeled' END"""
 #: Actions of the paragraphs, nulls left out, numbered from 1; with the paragraphs that have none.
@@ -69,7 +69,13 @@ act AS (SELECT raw_id, k, q, row_number() OVER (PARTITION BY raw_id, k ORDER BY
 every AS (SELECT * FROM act UNION ALL SELECT raw_id, k, q, CASE WHEN coalesce(json_type(a), 'NULL') = 'NULL' THEN -1 ELSE 0 END, '' FROM par
   WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.raw_id = par.raw_id AND act.k = par.k))"""
 
+_STRING = "CASE WHEN json_type({o}, '$.{c}') = 'VARCHAR' THEN {o} ->> '$.{c}' END AS {c}"
+
 SQL = {
+    "p6_messages": f"WITH {PARAGRAPHS} SELECT raw_id AS record_id, " + ", ".join(_STRING.format(o="p", c=c) for c in ("date", "player", "character", "text"))
+    + ", CASE WHEN old THEN 'old' ELSE 'new' END AS format FROM msg",
+    "p6_paragraphs": f"""WITH {PARAGRAPHS}, num AS (SELECT raw_id, k, q, row_number() OVER (PARTITION BY raw_id ORDER BY nth) - 1 AS para_no FROM par)
+SELECT raw_id AS record_id, para_no, k AS para_key, """ + ", ".join(_STRING.format(o="q", c=c) for c in ("text", "label")) + " FROM num",
     "p6_found": f"WITH {PARAGRAPHS}, {ACTIONS} SELECT raw_id, k AS para_key, {LABEL} AS label_out, action_no, action_name FROM every",
     "p4_found": r"""
 WITH m AS (

@@ -8,11 +8,12 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from parlance.functions.text import action_class, python_bool
+from parlance.functions.text import ROLL_WORDS, SPEECH_WORDS, SPELL_WORDS, WEAPON_WORDS, action_class, python_bool
 from parlance.operators import basic, corrections as C, episodes as E, models as Mo, parsers as P, results as R, semantic as Se, simulation as G
 from parlance.operators.shred import actions_table, clean_label, messages_table, paragraphs_table
 from parlance.plans import analysis as An
 from parlance.plans.base import M, messages, turns
+from parlance.plans.basic import _sessions
 from parlance.plans.families import VECTOR_SQL, vector_text
 from parlance.plans.records import ACTIONS, LABEL, PARAGRAPHS
 from parlance.session import Stage, shared_folder
@@ -179,7 +180,7 @@ def flatten_messages(spark: SparkSession, d: str) -> DataFrame:
     flat = S.flatten(rows)
     return flat.select(
         F.col("ordinal").alias("raw_id"), "player", "character", F.md5("text").alias("text_md5"), "label_counts.in_character", "label_counts.out_of_character",
-        "label_counts.mixed", "label_counts.unlabeled", F.size("name_mentions").alias("mentions"), F.array_join("paragraph_actions", ",").alias("paragraph_actions"),
+        "label_counts.mixed", "label_counts.unlabeled", F.size("name_mentions").alias("mentions"), F.coalesce(F.size("paragraph_actions"), F.lit(0)).alias("n_actions"),
     )
 
 
@@ -391,16 +392,25 @@ def events_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """The sessions a stream over the events emits, drained into a table; those still open at its end are not in it."""
-    folder = f"{shared_folder(spark)}/stream-{abs(hash(d)) % 10**8}"
-    out = f"{folder}/out-{spark.sparkContext.applicationId}"
-    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The sessions a stream over the events emits, drained into a table.
+
+    A second source brings a last event of no user, far in the future: the watermark then passes every session's end.
+    """
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    last = {"ts": F.lit("2999-01-01").cast("timestamp_ntz")}
+    closing = spark.range(1).select(*(last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
+    closing.write.parquet(f"{folder}/closing")
+    # A table is one file or a folder of them.
+    read = lambda path: spark.readStream.schema(events.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = read(f"{d}/events.parquet*").unionByName(read(f"{folder}/closing"))
     query = (
-        Z.sessions(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        Z.sessions(stream).writeStream.format("parquet").outputMode("append")
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")}
+    return spark.read.parquet(f"{folder}/out").where("user_id IS NOT NULL").withColumns(times)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -493,6 +503,16 @@ QUALIFY row_number() OVER (PARTITION BY campaign_id, player ORDER BY turn_idx) <
     "annotated_episodes": f"""WITH {M}, a AS (SELECT campaign_id, turn_idx, turn_idx - row_number() OVER (PARTITION BY campaign_id ORDER BY turn_idx) AS isl
   FROM m WHERE contains(lower(text), 'attacks'))
 SELECT campaign_id, min(turn_idx) AS start_turn, max(turn_idx) AS end_turn, count(*) AS turn_count, 'DRAMATIC' AS kind FROM a GROUP BY campaign_id, isl""",
+    "flatten_messages": f"""WITH {PARAGRAPHS}, r AS (SELECT raw_id FROM raw_messages WHERE NOT coalesce(starts_with(message_key, '_'), false)),
+f AS (SELECT raw_id, k, q, q ->> '$.text' AS t, q ->> '$.label' AS l, lower(q ->> '$.text') AS low, a FROM par),
+s AS (SELECT raw_id, string_agg(t, ' ' ORDER BY CASE WHEN regexp_full_match(k, '[0-9]+') THEN CAST(k AS BIGINT) ELSE 0 END, k) AS text,
+  count(*) FILTER (WHERE l = 'in-character') AS i, count(*) FILTER (WHERE l = 'out-of-character') AS o, count(*) FILTER (WHERE l = 'mixed') AS m, count(*) AS n,
+  sum(CASE WHEN json_type(a) = 'ARRAY' THEN len(list_filter(CAST(a AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'NULL')) WHEN coalesce(json_type(a), 'NULL') IN ('VARCHAR', 'OBJECT') THEN 1
+    WHEN {" OR ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in ROLL_WORDS + SPEECH_WORDS + SPELL_WORDS + WEAPON_WORDS)} THEN 1 ELSE 0 END) AS acts FROM f GROUP BY 1)
+SELECT r.raw_id, p ->> '$.player' AS player, p ->> '$.character' AS character, CASE WHEN old THEN md5(p ->> '$.text') ELSE md5(coalesce(s.text, CASE WHEN json_type(ps) IN ('OBJECT', 'ARRAY') THEN '' END)) END AS text_md5,
+  coalesce(i, 0) AS in_character, coalesce(o, 0) AS out_of_character, coalesce(m, 0) AS mixed, CASE WHEN old THEN 1 ELSE coalesce(n - i - o - m, 0) END AS unlabeled,
+  CASE WHEN json_type(p, '$.name_mentions') = 'ARRAY' THEN json_array_length(p, '$.name_mentions') ELSE 0 END AS mentions, CAST(coalesce(acts, 0) AS INTEGER) AS n_actions
+FROM r LEFT JOIN msg USING (raw_id) LEFT JOIN s USING (raw_id)""",
     "message_formats": f"WITH {PARAGRAPHS} SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS format, count(*) AS messages FROM msg GROUP BY 1",
     "paragraph_labels": f"WITH {PARAGRAPHS} SELECT {LABEL} AS label, count(*) AS paragraphs FROM par GROUP BY 1",
     "paragraph_fallback": f"WITH {PARAGRAPHS}, x AS (SELECT lower(q ->> '$.text') AS t FROM par) SELECT CASE WHEN contains(t, 'roll') OR contains(t, 'd20') OR contains(t, 'dice') THEN 'roll'"
@@ -502,5 +522,6 @@ SELECT campaign_id, min(turn_idx) AS start_turn, max(turn_idx) AS end_turn, coun
         "WHEN " + " OR ".join(f"contains(lower(action_name), '{w}')" for w in words) + f" THEN '{name}'" for name, words in ACTION_KINDS
     ) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2)
 SELECT kind, count(*) AS paragraphs FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0 GROUP BY 1""",
+    "streamed_sessions": _sessions("user_id", "ts", "SELECT user_id, event_id AS k, ts FROM events") + " FROM s GROUP BY user_id, sid",
     "events_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
