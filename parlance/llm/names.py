@@ -49,7 +49,7 @@ SHORT_LENGTH = 6
 LONGEST_SHORT = 7
 #: Forms of a bucket that one task pairs with as many others; larger buckets are split into parts.
 BUCKET_PART = 2_000
-#: No more buckets than this can be that large (see :func:`_parts`).
+#: No more buckets than this can be that large (see :func:`_large`).
 MOST_SPLIT = 10_000
 
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
@@ -265,27 +265,29 @@ class Bands:
                 yield from ((k, None) for k in self.of_name(v))
 
 
-def _parts(banded: DataFrame, rows: int) -> DataFrame:
-    """``key, parts`` of the buckets that are paired part by part.
+def _large(rows: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
+    """``key, n`` of the values of ``key`` with more rows than ``BUCKET_PART`` and than a ten-thousandth of all, and that bound.
 
-    They hold more than ``BUCKET_PART`` forms and more than a ten-thousandth of all rows: fewer than ``MOST_SPLIT``,
-    so they can be sent to every task.
+    They are fewer than ``MOST_SPLIT``, so they can be sent to every task.
     """
-    large = max(BUCKET_PART, rows // MOST_SPLIT)
-    return banded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key", F.ceil(F.col("n") / large).cast("int").alias("parts"))
+    bound = max(BUCKET_PART, total // MOST_SPLIT)
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound), bound
 
 
-def _candidates(banded: DataFrame, rows: int) -> DataFrame:
-    """``a, b``: distinct pairs of forms that share a bucket, whole names with whole ones, incomplete ones with all."""
-    split = banded.join(F.broadcast(_parts(banded, rows)), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def _candidates(banded: DataFrame, large: DataFrame, bound: int) -> DataFrame:
+    """``a, b``: distinct pairs of forms that share a bucket, whole names with whole ones, incomplete ones with all.
+
+    ``large(key, n)`` are the buckets with more than ``bound`` forms; they are paired part by part.
+    """
+    parts = large.select("key", F.ceil(F.col("n") / bound).cast("int").alias("parts"))
+    split = banded.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    # Part (p, q) of a bucket pairs the left forms of part p with the right forms of part q.
-    left = lambda df: df.select("key", F.col("id").alias("a"), own.alias("p"), every.alias("q"))
-    right = lambda df: df.select("key", F.col("id").alias("b"), every.alias("p"), own.alias("q"))
-    whole, single = split.where("full IS NULL"), split.where("full IS NOT NULL")
-    near = left(whole).join(right(whole), ["key", "p", "q"]).where("a < b").select("a", "b")
-    near = near.unionByName(left(single.where("NOT full")).join(right(single), ["key", "p", "q"]).where("a <> b").select("a", "b"))
+    # Part (p, q) of a bucket pairs the left forms of part p with the right forms of part q.  Keys of whole names and of
+    # single ones are never the same.
+    left = split.where("full IS NULL OR NOT full").select("key", F.col("id").alias("a"), F.col("full").isNull().alias("whole"), own.alias("p"), every.alias("q"))
+    right = split.select("key", F.col("id").alias("b"), every.alias("p"), own.alias("q"))
+    near = left.join(right, ["key", "p", "q"]).where("a < b OR NOT whole AND a <> b")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -359,9 +361,13 @@ def link(spelled: DataFrame, nick: DataFrame, threshold: float = 0.8) -> DataFra
                     whole.append(full)
             yield pd.DataFrame({"id": ids, "grp": grps, "key": out, "full": pd.array(whole, dtype="boolean")})
 
-    rows = forms_at.df.select("id", "tokens", "names", F.xxhash64("grp").alias("grp")).mapInPandas(keys, "id long, grp long, key long, full boolean")
-    banded = Stage(rows.select("id", F.xxhash64("grp", "key").alias("key"), "full"), "names-bands")
-    near = _candidates(banded.df, banded.df.count())
+    named = forms_at.df.select("id", "tokens", "names", F.xxhash64("grp").alias("grp"))
+    # A bucket holds forms of one group, so only large groups can have large buckets.
+    groups, bound = _large(named, "grp", named.count())
+    rows = named.mapInPandas(keys, "id long, grp long, key long, full boolean").join(F.broadcast(groups), "grp", "left")
+    banded = Stage(rows.select("id", F.xxhash64("grp", "key").alias("key"), "full", F.col("n").isNotNull().alias("large")), "names-bands").df
+    buckets, _ = _large(banded.where("large"), "key", bound * MOST_SPLIT)
+    near = _candidates(banded.select("id", "key", "full"), buckets, bound)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -77,8 +77,10 @@ def test_stars_of_a_long_chain_and_of_a_large_bucket(spark, monkeypatch):
     assert {r.id for r in N._satellites(edges).collect()} == {9, 7, 5, 3, 1}
     monkeypatch.setattr(N, "BUCKET_PART", 7)
     monkeypatch.setattr(N, "MOST_SPLIT", 1)
-    bucket = spark.createDataFrame([(i, 5, None if i % 2 else i % 4 == 0) for i in range(60)], "id long, key long, full boolean")
-    got = sorted((r.a, r.b) for r in N._candidates(bucket, 1).collect())
+    bucket = spark.createDataFrame([(i, 5 if i % 2 else 6, None if i % 2 else i % 4 == 0) for i in range(60)], "id long, key long, full boolean")
+    large, bound = N._large(bucket, "key", 7)
+    assert sorted((r.key, r.n) for r in large.collect()) == [(5, 30), (6, 30)] and bound == 7
+    got = sorted((r.a, r.b) for r in N._candidates(bucket, large, bound).collect())
     odd, short = [i for i in range(60) if i % 2], [i for i in range(60) if i % 4 == 2]
     want = {(a, b) for a in odd for b in odd if a < b} | {(min(a, b), max(a, b)) for a in short for b in range(0, 60, 2) if a != b}
     assert got == sorted(want)
