@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,20 +36,53 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_SCOPES: list[list[Stage]] = []
+
+
 class Stage:
-    """A written intermediate table: read through ``df``, removed with ``drop`` once nothing reads it any more."""
+    """A written intermediate table: read through ``df``, removed with ``drop`` once nothing reads it any more.
+
+    All stages of an application lie in one folder under the shared one (see :func:`forget`).
+    """
 
     def __init__(self, df: DataFrame, label: str):
         spark = df.sparkSession
-        self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def drop(self) -> None:
-        jvm = self.df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.df.sparkSession, self.path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/parlance-{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def stages() -> Iterator[None]:
+    """Removes at its end all stages written inside: for work whose result has been written or read by then.
+
+    A query's result is lazy and reads its stages when it is used, so the use belongs inside.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for stage in _SCOPES.pop():
+            stage.drop()
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes all stages of this application; no earlier result can be read any more."""
+    _delete(spark, _own_folder(spark))
 
 
 def written(spark: SparkSession, folder: str) -> bool:
@@ -66,9 +102,14 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_parlance", False):
         return
-    archive = Path(tempfile.mkdtemp(prefix="parlance-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
+    path = f"{_own_folder(spark)}-{uuid.uuid4().hex}/{root.name}.zip"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    context.addPyFile(path)
     context._parlance = True
