@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from parlance.llm import mixing, names, packing, pii, split, subjects, threads, tokens
+from parlance.session import Stage
 from parlance.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.withColumnRenamed("key", "row_id")
 
 
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of all pieces, as counts of exceptions: limit, cover, overlap within its tolerance, and text."""
+    limit, overlap = _rules(spark, d)
+    order = W.partitionBy("row_id").orderBy("piece_no")
+    before, after = F.lag("end_pos").over(order), F.lead("piece_no").over(order)
+    p = p2_pieces(spark, d).withColumns({"lap": before - F.col("start_pos"), "last": after.isNull()})
+    p = p.join(table(spark, d, "campaign_messages").select("row_id", "text"), "row_id")
+    part = F.expr("substring(text, CAST(start_pos + 1 AS INT), CAST(end_pos - start_pos AS INT))")
+    first = F.col("piece_no") == 0
+    slack = overlap * split.TOLERANCE
+    return p.agg(
+        F.count_if(first).alias("texts"), F.count_if(F.length("piece") > limit).alias("too_long"),
+        F.count_if(F.when(first, F.col("start_pos") != 0).otherwise(F.col("lap") < 0)).alias("gaps"),
+        F.count_if(F.col("last") & (F.col("end_pos") != F.length("text"))).alias("ends_missing"),
+        F.count_if(~first & (F.abs(F.col("lap") - overlap) > slack)).alias("off_overlap"), F.count_if(part != F.col("piece")).alias("other_text"),
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every message above the limit, with the coarsest level at which its units fit."""
     return p2_pieces(spark, d).where("piece_no = 0").select("row_id", "cut_at")
@@ -95,6 +114,25 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return full.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed for each capacity, and exceptions: containers over capacity, documents split though they fit."""
+    packed = Stage(p7_packed(spark, d), "packed").df.join(F.broadcast(table(spark, d, "pack_containers")), "container_kind")
+    over = packed.groupBy("container_kind", "container_no").agg(F.sum("n_tokens").alias("n"), F.first("capacity_tokens").alias("c"))
+    over = over.groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("c")).alias("over_capacity"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.first("capacity_tokens").alias("c"))
+    docs = docs.groupBy("container_kind").agg(F.count("*").alias("docs"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("c"))).alias("split_though_fitting"))
+    return docs.join(over, "container_kind")
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Exceptions by mix: documents repeated too often, or of a source that is no target; every mix with documents is there."""
+    mixed = p8_mixed(spark, d).groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"))
+    targets = table(spark, d, "mix_targets").select("mix_name", mixing.source_name(F.col("source")).alias("source"), "max_repeats")
+    return mixed.join(F.broadcast(targets), ["mix_name", "source"], "left").groupBy("mix_name").agg(
+        F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("max_repeats").isNull()).alias("foreign")
+    )
+
+
 def _mixed(spark: SparkSession, d: str, total: str | None) -> DataFrame:
     sizes = tokens.with_sizes(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), ("source",))
     return mixing.mix(sizes, table(spark, d, "mix_targets"), total)
@@ -144,10 +182,10 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_pseudonyms": p1_pseudonyms, "p1_redacted": p1_redacted,
-    "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_conversations": p3_conversations,
+    "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_invariants": p2_invariants, "p3_found": p3_found, "p3_conversations": p3_conversations,
     "p5_found": p5_found, "p5_linked": p5_linked,
-    "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
-    "p8_shares_exact": p8_shares_exact,
+    "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_invariants": p7_invariants, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
+    "p8_shares_exact": p8_shares_exact, "p8_invariants": p8_invariants,
     "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
@@ -174,6 +212,11 @@ WITH m AS (
 _LONGEST = "coalesce(list_max(list_transform({l}, lambda x: length(x))), 0)"
 
 SQL = {
+    "p2_invariants": """SELECT count(*) AS texts, 0 AS too_long, 0 AS gaps, 0 AS ends_missing, 0 AS off_overlap, 0 AS other_text
+FROM campaign_messages, split_rules WHERE item_kind = 'campaign_message' AND length(text) > max_chars""",
+    "p7_invariants": """SELECT container_kind, count(*) AS docs, 0 AS split_though_fitting, 0 AS over_capacity
+FROM pack_containers, documents WHERE text <> '' GROUP BY 1""",
+    "p8_invariants": "SELECT DISTINCT mix_name, 0 AS too_often, 0 AS foreign FROM mix_targets",
     "p2_found": r"""
 WITH u AS (SELECT row_id, text, max_chars AS n, regexp_split_to_array(text, '\n[ \t\r\f\v]*\n\s*') AS paras FROM campaign_messages, split_rules WHERE length(text) > max_chars),
 s AS (SELECT *, flatten(list_transform(paras, lambda p: regexp_split_to_array(regexp_replace(p, '([.!?…]["''”’»)\]}›“‘]*)\s+', '\1' || chr(1), 'g'), chr(1)))) AS sents,

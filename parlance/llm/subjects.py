@@ -33,12 +33,17 @@ FUNCTION_WORDS = {
     "es": frozenset("el la de que fue los para al por del una con se lo en si más".split()),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
-SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]}]*\s+|\s*\n\s*""")
-WORD = re.compile(r"[^\W\d_]+")
-COMPONENTS, SPARE, PASSES = 24, 10, 6
+#: A word, or the end of a sentence: a mark with closing quotes and brackets before white space, or a line break.
+TOKEN = re.compile(r"""[^\W\d_]+|[.!?…]["'”’»)\]}]*(?=\s)|\n""")
+#: The number that stands for the end of a sentence.
+END = 0
+COMPONENTS, SPARE, PASSES = 24, 10, 5
 #: Places of the hashed terms of one language.
-WIDTH = 1 << 17
-SPACE = WIDTH * len(LANGUAGES)
+WIDTH_BITS = 17
+WIDTH = 1 << WIDTH_BITS
+#: Places of all languages; a power of two, so that numbers of two parts are taken apart by shifts.
+SPACE_BITS = WIDTH_BITS + (len(LANGUAGES) - 1).bit_length()
+SPACE = 1 << SPACE_BITS
 BLOCK = 2048
 SLICE = 1000
 
@@ -59,17 +64,17 @@ class Options:
     refinements: int = 6
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Lower-cased words of each sentence that has any; escaped characters are read as what they stand for."""
-    found = (WORD.findall(s) for s in SENTENCE.split(html.unescape(text).lower()))
-    return [s for s in found if s]
+def tokens(text: str) -> list[str]:
+    """Lower-cased words and ends of sentences; escaped characters are read as what they stand for."""
+    return TOKEN.findall(html.unescape(text).lower())
 
 
 class WordIds(dict):
-    """A 32-bit number for every word, remembered."""
+    """A 32-bit number for every word, remembered; ``END`` for the end of a sentence."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, token: str) -> int:
+        # A word that would get the number of an end gets the next one.
+        self[token] = n = max(zlib.crc32(token.encode("utf-8", "surrogatepass")), END + 1) if token[0].isalpha() else END
         return n
 
 
@@ -83,6 +88,13 @@ def languages(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.argmax(hits, axis=0).astype(np.int32)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs; plain sorting is the fastest way here."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[first], np.diff(first, append=len(x))
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
 
@@ -107,24 +119,32 @@ def _parse(docs: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             if len(ids) > 1_000_000:
                 ids.clear()
-            doc, flat, sizes, lengths = [], [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = sentences(t)
-                if parts:
-                    doc.append(i)
-                    sizes.append(len(parts))
-                    for p in parts:
-                        flat += map(ids.__getitem__, p)
-                        lengths.append(len(p))
-            if not doc:
+            held: list[int] = []
+            sizes = []
+            for t in batch.column("text").to_pylist():
+                found = tokens(t)
+                held += map(ids.__getitem__, found)
+                sizes.append(len(found))
+            every = np.array(held, dtype=np.uint32)
+            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            # Numbers of sentences over the whole slice; one begins with every document and after every end.
+            begins = np.zeros(len(every), dtype=bool)
+            begins[np.flatnonzero(np.diff(doc, prepend=-1))] = True
+            begins[1:] |= every[:-1] == END
+            sentence = np.cumsum(begins)
+            is_word = every != END
+            word, doc, sentence = every[is_word], doc[is_word], sentence[is_word]
+            if not len(word):
                 continue
-            words, sizes_, ends = np.array(flat, dtype=np.uint32), np.array(sizes), np.cumsum(lengths)
-            # Where each document's words end; its sentences' ends count from where they start.
-            last = ends[np.cumsum(sizes_) - 1]
-            starts = np.r_[0, last[:-1]]
-            own = (ends - np.repeat(starts, sizes_)).astype(np.int32)
+            # Sentences and documents without words are left out.
+            first = np.flatnonzero(np.diff(sentence, prepend=0))
+            lengths, own = np.diff(first, append=len(word)), doc[first]
+            start = np.flatnonzero(np.diff(doc, prepend=-1))
+            kept = doc[start]
+            n_words, n_sentences = np.diff(start, append=len(word)), np.diff(np.flatnonzero(np.diff(own, prepend=-1)), append=len(own))
+            ends = (np.cumsum(lengths) - np.repeat(start, n_sentences)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(languages(words, starts)), _lists(words.view(np.int32), last - starts), _lists(own, sizes_)],
+                [batch.column("doc_id").take(pa.array(kept)), pa.array(languages(word, start)), _lists(word.view(np.int32), n_words), _lists(ends, n_sentences)],
                 ["doc_id", "lang", "words", "ends"],
             )
 
@@ -164,10 +184,10 @@ class Words:
             pairs = (w[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[1:])[near]
             mixed = np.concatenate((w, pairs)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
-            place = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - (WIDTH.bit_length() - 1))
-        place = place.astype(np.int64) + np.concatenate((lang, lang[1:][near])) * WIDTH
-        key = np.unique(np.concatenate((s, s[1:][near])) * SPACE + place)
-        return key // SPACE, key % SPACE
+            place = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - WIDTH_BITS)
+        place = place.astype(np.int64) | np.concatenate((lang, lang[1:][near])) << WIDTH_BITS
+        key, _ = _distinct(np.concatenate((s, s[1:][near])) << SPACE_BITS | place)
+        return key >> SPACE_BITS, key & (SPACE - 1)
 
 
 class Model:
@@ -196,11 +216,9 @@ def _vocabulary(parsed: DataFrame, model: Model, opt: Options) -> np.ndarray:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             w = Words.of(batch)
-            doc, one = w.doc[w.sentence], w.keyed()
-            order = np.lexsort((one, doc))
-            doc, one = doc[order], one[order]
-            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (one[1:] != one[:-1])] if len(one) else np.zeros(0, dtype=bool)
-            key, n = np.unique(one[fresh], return_counts=True)
+            # A slice has at most SLICE documents, so both fit into one number.
+            each, _ = _distinct(w.doc[w.sentence] << 40 | w.keyed())
+            key, n = _distinct(each & ((1 << 40) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "df"])
 
     counted = parsed.mapInArrow(words, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))
@@ -214,12 +232,12 @@ def _vocabulary(parsed: DataFrame, model: Model, opt: Options) -> np.ndarray:
         for batch in _slices(batches):
             w = Words.of(batch)
             sentence, place = w.terms(frame.value)
-            out[:, 0] += np.bincount(np.unique(w.doc[sentence] * SPACE + place) % SPACE, minlength=SPACE)
+            out[:, 0] += np.bincount(_distinct(w.doc[sentence] << SPACE_BITS | place)[0] & (SPACE - 1), minlength=SPACE)
         return out
 
     df = _gather(parsed.select("lang", "words", "ends"), places, (SPACE, 1))[:, 0]
-    lang = np.arange(SPACE) // WIDTH
-    used = np.flatnonzero((df > 0) & (df >= opt.min_share * size[lang]))
+    lang = np.arange(SPACE) >> WIDTH_BITS
+    used = np.flatnonzero((df > 0) & (df >= opt.min_share * np.pad(size, (0, len(lang) // WIDTH - len(size)))[lang]))
     model.row[used] = np.arange(len(used))
     model.lang = lang[used]
     model.idf = np.maximum(np.log((size[model.lang] + 1) / (df[used] + 0.5)), 0)
@@ -243,12 +261,12 @@ def _encode(parsed: DataFrame, model: Model) -> DataFrame:
             doc = w.doc[sentence]
             before = np.r_[0, np.cumsum(np.bincount(doc, minlength=n_docs))]
             ends = (np.cumsum(in_sentence) - before[w.doc]).astype(np.int32)
-            key, counts = np.unique(doc * np.int64(SPACE) + row, return_counts=True)
+            key, counts = _distinct(doc << SPACE_BITS | row)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("lang"), _lists(row, np.diff(before)), _lists(ends, n_sentences),
-                    _lists((key % SPACE).astype(np.int32), np.bincount(key // SPACE, minlength=n_docs)),
-                    _lists(counts.astype(np.int32), np.bincount(key // SPACE, minlength=n_docs)),
+                    _lists((key & (SPACE - 1)).astype(np.int32), np.bincount(key >> SPACE_BITS, minlength=n_docs)),
+                    _lists(counts.astype(np.int32), np.bincount(key >> SPACE_BITS, minlength=n_docs)),
                 ],
                 ["doc_id", "lang", "ids", "ends", "cols", "counts"],
             )
@@ -266,13 +284,15 @@ def _matrix(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, col, val / np.maximum(norm, 1e-12)[row]
 
 
-def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
-    """Add every row to the row of ``out`` that its index names."""
+def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray, ordered: bool = False) -> None:
+    """Add every row to the row of ``out`` that its index names; ``ordered`` if the index already is."""
     if len(index):
-        order = np.argsort(index, kind="stable")
-        sorted_ = index[order]
-        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        out[sorted_[first]] += np.add.reduceat(rows[order], first, axis=0)
+        if not ordered:
+            # Small numbers are sorted by their digits.
+            order = np.argsort(index.astype(np.uint16) if len(out) <= 1 << 16 else index, kind="stable")
+            index, rows = index[order], rows[order]
+        first = np.flatnonzero(np.diff(index, prepend=-1))
+        out[index[first]] += np.add.reduceat(rows, first, axis=0)
 
 
 def _gather(coded: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
@@ -323,7 +343,7 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
             for batch in _slices(batches):
                 row, col, val = _matrix(batch, idf.value)
                 weight, b = val.astype(np.float32)[:, None], np.zeros((batch.num_rows, width), dtype=np.float32)
-                _add_rows(b, row, sent.value[col] * weight)
+                _add_rows(b, row, sent.value[col] * weight, ordered=True)
                 _add_rows(out[:, :width], col, b[row] * weight)
                 if moments:
                     out[:, width] += np.bincount(col, val, n)
@@ -359,7 +379,7 @@ def _embed(batch: pa.RecordBatch, load: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(ends):
         # Ends count from the document's start.
         at = ends + np.r_[0, np.cumsum(n_ids)[:-1]][doc]
-        _add_rows(y, np.repeat(np.arange(len(y)), np.diff(at, prepend=0)), load[ids])
+        _add_rows(y, np.repeat(np.arange(len(y)), np.diff(at, prepend=0)), load[ids], ordered=True)
     return y, doc
 
 
@@ -380,7 +400,7 @@ def _centroids(coded: DataFrame, labels: DataFrame, subjects: list[str], model:
         for batch in _slices(batches):
             y, doc = _embed(batch, load.value)
             mean = np.zeros((batch.num_rows, COMPONENTS))
-            _add_rows(mean, doc, y)
+            _add_rows(mean, doc, y, ordered=True)
             for v, lang, found in zip(_unit(mean), batch.column("lang").to_pylist(), batch.column("subjects").to_pylist(), strict=True):
                 for s in found:
                     out[lang * k + place[s]] += v / len(found)

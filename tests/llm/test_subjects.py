@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import random
+import re
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 
 from parlance.llm import subjects as S
 
@@ -30,17 +33,37 @@ def corpus(n, seed=1):
     return docs, truth
 
 
-def test_sentences_and_language():
-    parts = S.sentences('One two. &quot;Three four!&quot; five\nsix 7')
-    assert parts == [["one", "two"], ["three", "four"], ["five"], ["six"]]
+SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]}]*\s+|\s*\n\s*""")
+
+
+def sentences(text):
+    """The plain way: split, then find the words."""
+    found = (re.findall(r"[^\W\d_]+", s) for s in SENTENCE.split(html.unescape(text).lower()))
+    return [s for s in found if s]
+
+
+@settings(max_examples=300)
+@given(st.text(st.sampled_from("ab é.!?…\"')\n\t 1_-&"), max_size=80))
+def test_tokens_make_the_plain_sentences(text):
+    found, one = [], []
+    for t in [*S.tokens(text), "\n"]:
+        if t[0].isalpha():
+            one.append(t)
+        elif one:
+            found.append(one)
+            one = []
+    assert found == sentences(text)
+
+
+def test_languages():
     texts = ("the cat and the dog", "die Katze und der Hund ist am Tor", "el gato y la casa que fue del rey", "xyzzy")
-    words = [[S._IDS[w] for p in S.sentences(t) for w in p] for t in texts]
+    words = [[S._IDS[w] for p in sentences(t) for w in p] for t in texts]
     starts = np.cumsum([0, *map(len, words)])[:-1]
     assert [S.LANGUAGES[i] for i in S.languages(np.array(sum(words, []), dtype=np.uint32), starts)] == ["en", "de", "es", "en"]
 
 
 def test_terms_are_the_plain_ones(spark):
-    docs = [(1, "The red door. The door of red stone!"), (2, "Nothing; red door\nred door"), (3, "the")]
+    docs = [(1, "The red door. The door of red stone!"), (2, "Nothing; red door\nred door"), (3, "the"), (4, "... 12 !")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     batch = S._parse(df.coalesce(1)).toArrow().to_batches()[0]
     w = S.Words.of(batch)
@@ -48,7 +71,7 @@ def test_terms_are_the_plain_ones(spark):
     frame = {"the", "of"}
     sentence, place = w.terms(np.array(sorted(S._IDS[x] for x in frame), dtype=np.int64))
     plain = []
-    for n, words in enumerate(p for _, t in docs for p in S.sentences(t)):
+    for n, words in enumerate(p for _, t in docs for p in sentences(t)):
         kept = [x for x in words if x not in frame]
         plain += [(n, x) for x in {*kept, *zip(kept, kept[1:])}]
     # As many distinct terms in each sentence, and the same place exactly where the term is the same.
