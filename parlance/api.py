@@ -54,7 +54,10 @@ def _jaccard(turns: DataFrame, settings: Settings) -> dict[str, DataFrame]:
 
 
 def _semantic(turns: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    vectors = semantic.as_doubles(models.embed(turns.select("campaign_id", "turn_idx", "player", "text"), "text"))
+    # Campaigns with fewer than five texts tell nothing of cohesion.
+    told = semantic.enough(turns.where("text IS NOT NULL"), ["campaign_id"], 5).select("campaign_id").distinct()
+    held = turns.select("campaign_id", "turn_idx", "player", "text").join(told, "campaign_id", "left_semi")
+    vectors = semantic.as_doubles(models.embed(held, "text"))
     return {
         "series": semantic.cosine_back(vectors, ["campaign_id"], "turn_idx").select("campaign_id", "turn_idx", "cosine"),
         "sessions": semantic.block_cohesion(vectors, ["campaign_id"], "turn_idx", settings.messages_per_session),
@@ -62,6 +65,7 @@ def _semantic(turns: DataFrame, settings: Settings) -> dict[str, DataFrame]:
 
 
 def _dsi(turns: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    turns = semantic.enough(turns, ["campaign_id"], 2)
     counted = turns.withColumn("_n", X.word_count(F.col("text"), X.UNICODE_SPACE))
     placed = episodes.scenes(counted, F.col("_n"), settings.scene_words).join(turns.select("campaign_id", "turn_idx", "text"), ["campaign_id", "turn_idx"])
     scene = placed.groupBy("campaign_id", "scene_no").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "text"))).alias("s"))

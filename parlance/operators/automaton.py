@@ -14,8 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 1024
-#: From states and a turn's symbol to the new states and whether a new unit begins with the turn.
-Step = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+#: From states and symbols of turns to the new states and whether a new unit begins with the turn; arrays that broadcast.
+Step = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _padded(symbols: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A row of symbols per block, and which of its places are there."""
+    sizes = symbols.map(len).to_numpy()
+    there = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    out = np.zeros(there.shape, dtype=np.int64)
+    if len(sizes):
+        out[there] = np.concatenate(list(symbols))
+    return out, there
 
 
 def starts(turns: DataFrame, states: int, step: Step) -> DataFrame:
@@ -29,24 +39,19 @@ def starts(turns: DataFrame, states: int, step: Step) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def through(symbols: pd.Series) -> pd.Series:
-        def run(row: np.ndarray) -> np.ndarray:
-            s = np.arange(states)
-            for x in row:
-                s, _ = step(s, int(x))
-            return s.astype(np.int32)
-
-        return symbols.map(run)
+        x, there = _padded(symbols)
+        s = np.broadcast_to(np.arange(states), (len(x), states))
+        for i in range(x.shape[1]):
+            s = np.where(there[:, i, None], step(s, x[:, i, None])[0], s)
+        return pd.Series(list(s.astype(np.int32)))
 
     @F.pandas_udf("array<boolean>")
     def replay(symbols: pd.Series, entry: pd.Series) -> pd.Series:
-        def run(row: np.ndarray, state: int) -> np.ndarray:
-            s, out = np.array([state]), np.zeros(len(row), dtype=bool)
-            for i, x in enumerate(row):
-                s, fresh = step(s, int(x))
-                out[i] = fresh[0]
-            return out
-
-        return pd.Series([run(r, e) for r, e in zip(symbols, entry, strict=True)])
+        x, there = _padded(symbols)
+        s, out = entry.to_numpy(np.int64), np.zeros(x.shape, dtype=bool)
+        for i in range(x.shape[1]):
+            s, out[:, i] = step(s, x[:, i])
+        return pd.Series([row[: n] for row, n in zip(out, there.sum(axis=1), strict=True)])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
@@ -72,7 +77,7 @@ def packing_step(target: int) -> tuple[int, Step]:
     any next item closes the unit.
     """
 
-    def step(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def step(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = s - 1
         fresh = (s == 0) | (held + size > target)
         return np.minimum(np.where(fresh, size, held + size), target + 1) + 1, fresh
@@ -86,7 +91,7 @@ def chunking_step(size: int) -> tuple[int, Step]:
     States: 0 is before the first turn, s the number of turns in the current chunk, ``size`` also if it is overdue.
     """
 
-    def step(s: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
+    def step(s: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fresh = (s == 0) | ((s == size) & (inside == 0))
         return np.where(fresh, 1, np.minimum(s + 1, size)), fresh
 

@@ -8,6 +8,8 @@ from parlance.functions.times import hours_between, micros_between
 from parlance.operators.order import previous, running_sum
 
 DAY_MICROS = 86_400_000_000
+#: Places of a conversation that are worked on together.
+PLACES = 4_096
 
 
 def statistics(value: Column, prefix: str = "") -> list[Column]:
@@ -141,7 +143,15 @@ def running_distinct(turns: DataFrame, column: str, into: str) -> DataFrame:
 
 
 def rolling_mean(values: DataFrame, keys: list[str], order: str, value: str, window: int = 10) -> DataFrame:
-    """Mean over a centred window of rows; null where the window is not full."""
-    frame = W.partitionBy(*keys).orderBy(order).rowsBetween(-(window // 2), window - window // 2 - 1)
-    full = F.count(value).over(frame) == window
-    return values.withColumn("rolling", F.when(full, F.round(F.avg(value).over(frame), 6)))
+    """Mean over a centred window of rows; null where the window is not full.
+
+    ``order`` counts the rows of the keys without holes.  Windows run inside chunks of places; rows near a border also
+    take part in the neighbouring chunk.
+    """
+    before, after = window // 2, window - window // 2 - 1
+    own = F.floor(F.col(order) / PLACES)
+    near = F.array_distinct(F.array(F.floor((F.col(order) - after) / PLACES), own, F.floor((F.col(order) + before) / PLACES)))
+    spread = values.withColumn("_own", own).withColumn("_chunk", F.explode(near))
+    frame = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-before, after)
+    rolled = spread.withColumn("rolling", F.when(F.count(value).over(frame) == window, F.round(F.avg(value).over(frame), 6)))
+    return rolled.where("_own = _chunk").drop("_own", "_chunk")

@@ -134,12 +134,15 @@ def judge_summary(scores: DataFrame, score: str, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("judged"), *means, F.round(F.avg(own), 6).alias("mean_creativity"))
 
 
-#: A name in a list: without its number or bullet, stars and a remark in brackets.
-LISTED = re.compile(r"[\s\d.)*-]*(?P<name>[^(]*?)[\s*]*(?:\(.*)?")
+#: A name in a list: behind a number or bullet, perhaps in stars.
+LISTED = re.compile(r"[\s\d.)*-]*(?P<name>.*?)[\s*]*")
+REMARK = re.compile(r"[\s*]*\([^()]*\)[\s*]*$")
 
 
-def _clean_name(raw: str) -> str:
-    return LISTED.fullmatch(raw).group("name") if "\n" not in raw else raw
+def _known(head: str, names: dict[str, str]) -> str | None:
+    """The name a head stands for: as it is, without what lists put around it, or without a remark in brackets too."""
+    plain = LISTED.fullmatch(head.strip()).group("name").lower()
+    return names.get(head.strip().lower()) or names.get(plain) or names.get(REMARK.sub("", plain))
 
 
 def described(response: str | None, names: list[str], master: str = "Dungeon Master") -> dict[str, str]:
@@ -149,14 +152,14 @@ def described(response: str | None, names: list[str], master: str = "Dungeon Mas
     text = (response or "").strip()
     for line in text.split("\n"):
         head, colon, tail = line.strip().partition(":")
-        name = lower.get(_clean_name(head.strip()).lower())
+        name = _known(head, lower)
         if colon and name:
             out[name] = tail.strip()
     if len(out) < sum(n != master for n in names):
         # A pair ends where a comma is followed by the next name and its colon.
         for part in re.split(r",\s*(?=[^,:\n]+:)", text):
             head, colon, tail = part.strip().partition(":")
-            name = lower.get(_clean_name(head.strip()).lower())
+            name = _known(head, lower)
             if colon and name:
                 out.setdefault(name, tail.strip())
     return out

@@ -80,7 +80,8 @@ def resolve_metric(series: DataFrame, summary: DataFrame, name: str) -> DataFram
     """Values of a metric: from the series if it has the name, else from the summary."""
     wanted = series.where(F.col("metric") == name).select("campaign_id", "value", F.lit(0).alias("_p"))
     wanted = wanted.unionByName(summary.where(F.col("metric") == name).select("campaign_id", "value", F.lit(1).alias("_p")))
-    return wanted.withColumn("_best", F.min("_p").over(W.partitionBy("campaign_id"))).where("_p = _best").drop("_p", "_best")
+    best = wanted.groupBy("campaign_id").agg(F.min("_p").alias("_p"))
+    return wanted.join(best, ["campaign_id", "_p"], "left_semi").drop("_p")
 
 
 def day_topics(rows: DataFrame, day: Column, topic: Column, topics: list[str]) -> DataFrame:

@@ -15,6 +15,12 @@ def place_in(df: DataFrame, keys: list[str], order: str, into: str) -> DataFrame
     return offset(chunked.withColumn(into, F.row_number().over(inside) - 1), keys, into, F.count("*")).drop("chunk")
 
 
+def enough(df: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Rows of keys with at least ``least`` rows."""
+    many = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return df.join(many, keys, "left_semi")
+
+
 def cosine_back(df: DataFrame, keys: list[str], place: str, window: int = 1) -> DataFrame:
     """Cosine with the row ``window`` places earlier; null for the first ones.  A join on the place, so no long window."""
     earlier = df.select(*keys, (F.col(place) + window).alias(place), F.col("vector").alias("_earlier"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parlance.operators.models import Annotator
 
@@ -56,9 +55,9 @@ def prompt(system: str, sheet: str, history: History, turn: int, log: list[dict]
 
 
 def turn_sequence(spark: SparkSession, characters: list[str], turns: int, seed: int = 20) -> DataFrame:
-    """The owner of each turn, drawn evenly with replacement."""
-    pick = F.element_at(F.array(*map(F.lit, characters)), (F.floor(F.rand(seed) * len(characters)) + 1).cast("int"))
-    return spark.range(turns).select(F.col("id").alias("turn_idx"), pick.alias("character"))
+    """The owner of each turn, drawn evenly with replacement: by a checksum of seed and turn, so it does not depend on partitions."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % len(characters)
+    return spark.range(turns).select(F.col("id").alias("turn_idx"), F.element_at(F.array(*map(F.lit, characters)), (drawn + 1).cast("int")).alias("character"))
 
 
 LOG = "game_id string, turn_idx long, character string, text string, n_summaries int"
@@ -90,14 +89,25 @@ def play(games: DataFrame, make: Callable[[], Annotator], chunk: int = 50, verba
     return games.mapInPandas(run, LOG)
 
 
-def save_log(log: DataFrame, path: str) -> None:
-    """Appends played turns; the newest load of a turn is the valid one."""
-    log.write.mode("append").partitionBy("game_id").json(path)
+def as_message(character: Column, text: Column, date: Column) -> Column:
+    """A logged event as a message object of the conversation format."""
+    part = F.struct(text.alias("text"), F.lit("in-character").alias("label"), F.array().cast("array<string>").alias("actions"))
+    return F.to_json(F.struct(date.alias("date"), character.alias("player"), character.alias("character"), F.create_map(F.lit("0"), part).alias("paragraphs")))
 
 
-def as_message(character: str, text: str, date: str, paragraph: str = "0") -> str:
-    """A logged event as a message object of the conversation format."""
-    return json.dumps({"date": date, "player": character, "character": character, "paragraphs": {paragraph: {"text": text, "label": "in-character", "actions": []}}})
+def save_log(log: DataFrame, folder: str) -> None:
+    """Appends played turns as messages of the conversation format: ``campaign_id, message_key, payload, loaded_at``."""
+    rows = log.select(
+        F.col("game_id").alias("campaign_id"), F.col("turn_idx").cast("string").alias("message_key"),
+        as_message(F.col("character"), F.col("text"), F.lit(None).cast("string")).alias("payload"), F.current_timestamp().alias("loaded_at"),
+    )
+    rows.write.mode("append").parquet(folder)
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The logged messages as rows for the flattener; of a turn logged repeatedly the newest load."""
+    newest = spark.read.parquet(folder).groupBy("campaign_id", "message_key").agg(F.max_by("payload", F.struct("loaded_at", "payload")).alias("payload"))
+    return newest.select("campaign_id", F.col("message_key").try_cast("long").alias("ordinal"), "message_key", "payload")
 
 
 def system_prompt(name: str, mean: float, median: float, deviation: float) -> str:

@@ -9,9 +9,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.config import DEFAULTS
-from parlance.operators import corrections as C, families as Fa, models as Mo, parsers as P
+from parlance.operators import corrections as C, families as Fa, models as Mo, profiles as Pr, simulation as G
 from parlance.plans.base import M, messages, stored_turns
 from parlance.session import Stage, shared_folder
+from parlance.sources import campaigns as S
 from parlance.sources.tables import table
 
 #: What the offline annotator takes for a finding of each family.
@@ -123,8 +124,52 @@ def conflicts_resolved(spark: SparkSession, d: str) -> DataFrame:
     return C.resolved(t, C.proposed(C.name_conflicts(t), _Resolver)).select("campaign_id", "message_id", "character")
 
 
+class _Profiler:
+    """An annotator that describes everyone by the length of the name."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            names = p.partition("\nNames:\n")[2].partition("\n\n")[0].split("\n")
+            sheet = p.startswith(Pr.REQUESTS["sheet"])
+            out.append("\n".join(f"{n}:\nLevel: {len(n)}\nLanguages: common, {len(n)}" if sheet else f"{i}. **{n}**: {len(n)} letters" for i, n in enumerate(names, 1)))
+        return out
+
+
+def character_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions and sheets of the characters and personalities of the players of every campaign, from excerpts."""
+    t = stored_turns(spark, d, "player", "character", "text")
+    out = None
+    for kind in Pr.REQUESTS:
+        one = Pr.profiles(t, kind, _Profiler).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("campaign_id", "kind", "field").agg(F.count("*").alias("names"))
+
+
+def games_logged(spark: SparkSession, d: str) -> DataFrame:
+    """Played games written turn by turn as conversation messages, read again and flattened; the newest load of a turn counts."""
+    folder = f"{shared_folder(spark)}/games-{uuid.uuid4().hex}"
+    meta = table(spark, d, "campaign_meta").where("model IS NOT NULL")
+    games = meta.select(
+        F.col("campaign_id").alias("game_id"), F.lit("Play.").alias("system"), F.lit("It begins.").alias("scenario"),
+        F.array(F.lit("Ann"), F.lit("Bo")).alias("characters"), F.lit(6).alias("turns"),
+    )
+    played = Stage(G.play(games, _Counter, chunk=4, verbatim=4), "games").df
+    G.save_log(played.where("turn_idx < 4"), folder)
+    G.save_log(played.where("turn_idx >= 2"), folder)
+    return S.flatten(G.read_log(spark, folder)).groupBy("campaign_id").agg(F.count("*").alias("turns"), F.max("message_id").alias("last_turn"))
+
+
+class _Counter:
+    """An annotator that answers with the number of lines it was shown."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        return [f"after {p.count(chr(10))} lines" for p in prompts]
+
+
 QUERIES = {q.__name__: q for q in (
-    *(make(name) for name in Fa.FAMILIES for make in (_episodes, _summary)), norms_linked, answers_reused, embeddings_cached, conflicts_resolved,
+    *(make(name) for name in Fa.FAMILIES for make in (_episodes, _summary)), norms_linked, answers_reused, embeddings_cached, conflicts_resolved, character_profiles,
+    games_logged,
 )}
 
 _SIZE = DEFAULTS.chunk_turns
@@ -203,6 +248,11 @@ SQL = {k: q for name in Fa.FAMILIES for k, q in _sql(name).items()} | {
     + " FROM e GROUP BY campaign_id, description",
     "answers_reused": f"WITH {M} SELECT campaign_id, turn_idx, CASE WHEN turn_idx % 2 = 1 THEN 'DRAMATIC' ELSE 'PLAYER' END AS type FROM m WHERE contains(lower(text), 'attacks')",
     "embeddings_cached": VECTOR_SQL,
+    "character_profiles": f"""WITH {M}, c AS (SELECT DISTINCT campaign_id, character AS name FROM m WHERE character IS NOT NULL), p AS (SELECT DISTINCT campaign_id, lower(regexp_replace(player, '^\\s+|\\s+$', '', 'g')) AS name FROM m WHERE regexp_replace(player, '^\\s+|\\s+$', '', 'g') <> ''),
+k AS (SELECT DISTINCT campaign_id, lower(trim(name)) AS name, 'description' AS kind, 'description' AS field FROM c WHERE trim(name) <> '' UNION ALL SELECT *, 'personality', 'personality' FROM p
+  UNION ALL SELECT *, 'sheet', 'Level' FROM c UNION ALL SELECT *, 'sheet', 'Languages' FROM c)
+SELECT campaign_id, kind, field, count(*) AS names FROM k GROUP BY 1, 2, 3""",
+    "games_logged": "SELECT campaign_id, 6 AS turns, 5 AS last_turn FROM campaign_meta WHERE model IS NOT NULL",
     "conflicts_resolved": f"""WITH {_CORRECTED} SELECT y.campaign_id, message_id, CASE WHEN u.character IS NOT NULL AND player IS NOT NULL THEN trim(y.character || ' of ' || player) ELSE y.character END AS character
 FROM y LEFT JOIN u USING (campaign_id, character)""",
 }

@@ -391,6 +391,10 @@ def events_daily(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
 
 
+def events_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return Z.sliding(table(spark, d, "events"))
+
+
 def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
     """The sessions a stream over the events emits, drained into a table.
 
@@ -419,7 +423,7 @@ QUERIES = {f.__name__: f for f in (
     character_players, name_conflicts, single_post_filter, manual_corrections, corrected_messages, player_posts_top, cache_miss, cache_status, cache_merge,
     cache_roundtrip, flatten_messages, metadata_index, message_formats, paragraph_labels, paragraph_actions, paragraph_fallback, annotated_turns,
     annotated_episodes, message_embeddings, label_embeddings, player_scenes, player_diversity, character_pool, episode_rating_correlation, judge_summaries,
-    judge_player_summaries, corrected_once, scene_diversity, linked_norms, system_prompts, simulated_games, turn_owners, events_daily, streamed_sessions,
+    judge_player_summaries, corrected_once, scene_diversity, linked_norms, system_prompts, simulated_games, turn_owners, events_daily, events_sliding, streamed_sessions,
 )}
 
 _SIZES = f"WITH {M}, z AS (SELECT campaign_id, count(*) AS messages, round(avg(word_count), 6) AS words FROM m GROUP BY 1)"
@@ -523,5 +527,8 @@ FROM r LEFT JOIN msg USING (raw_id) LEFT JOIN s USING (raw_id)""",
     ) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2)
 SELECT kind, count(*) AS paragraphs FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0 GROUP BY 1""",
     "streamed_sessions": _sessions("user_id", "ts", "SELECT user_id, event_id AS k, ts FROM events") + " FROM s GROUP BY user_id, sid",
+    "turn_owners": "SELECT t AS turn_idx, ['Ann', 'Bo', 'Cy'][CAST('0x' || substr(md5('20|' || t), 1, 8) AS BIGINT) % 3 + 1] AS character FROM range(1000) r(t)",
+    "events_sliding": """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start FROM events, range(4) r(k))
+SELECT start, start + INTERVAL 1 DAY AS "end", event_type, count(*) AS n FROM w GROUP BY 1, 2, 3""",
     "events_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -22,6 +22,13 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     return windowed.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
+def sliding(events: DataFrame, length: str = "1 day", every: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Events per type in overlapping windows; on a stream or a table."""
+    windowed = events.withWatermark("ts", late) if events.isStreaming else events
+    counted = windowed.groupBy(F.window("ts", length, every), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
+
+
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Sessions per user, emitted once the watermark has passed their end."""
     grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("n_events"))
