@@ -71,6 +71,20 @@ def correlations(values: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("p")).select("p.*")
 
 
+def compare_models(values: DataFrame, keys: list[str], model: str, value: str, models: list[str]) -> DataFrame:
+    """One column per model with the mean of its values, side by side for the same keys; null where a model has none."""
+    return values.groupBy(*keys).pivot(model, models).agg(F.round(F.avg(value), 6))
+
+
+def panels(values: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """Histograms of several columns over the same rows: ``panel, bin, n`` with ``bins`` equal bins each."""
+    out = None
+    for c in columns:
+        one = histogram(values, F.col(c), bins + 1).select(F.lit(c).alias("panel"), "bin", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def tidy(values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """A wide table as ``keys, metric, value`` rows."""
     return values.unpivot(keys, columns, "metric", "value")

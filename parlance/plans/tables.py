@@ -198,11 +198,12 @@ def paragraph_labels(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(clean_label(F.col("label")).alias("label")).agg(F.count("*").alias("paragraphs"))
 
 
+#: Kinds of paragraph actions and the words that tell them, in their order.
 ACTION_KINDS = (("name_mentions", ("name", "mention")), ("spells", ("spell", "magic")), ("dialogue", ("dialogue", "talk", "speak")), ("roll", ("roll", "dice", "check")), ("weapon", ("weapon", "attack", "fight")))
 
 
-def paragraph_actions(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs by kind of action; a paragraph counts once for each kind it has, ``no_action`` if for none."""
+def _paragraph_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """``record_id, kind``: a row for each kind of action a paragraph has, ``no_action`` if it has none."""
     from parlance.functions.text import has_any
 
     rows = actions_table(_raw(spark, d), F.col("raw_id"), F.col("payload"), outer=True)
@@ -211,8 +212,46 @@ def paragraph_actions(spark: SparkSession, d: str) -> DataFrame:
         kind = F.when(has_any(low, words), name).otherwise(kind)
     each = rows.withColumn("kind", kind).groupBy("record_id", "para_no").agg(F.collect_set("kind").alias("kinds"))
     named = F.filter("kinds", lambda k: k != "no_action")
-    kinds = F.explode(F.when(F.size(named) == 0, F.array(F.lit("no_action"))).otherwise(named)).alias("kind")
-    return each.select(kinds).groupBy("kind").agg(F.count("*").alias("paragraphs"))
+    return each.select("record_id", F.explode(F.when(F.size(named) == 0, F.array(F.lit("no_action"))).otherwise(named)).alias("kind"))
+
+
+def paragraph_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs by kind of action; a paragraph counts once for each kind it has, ``no_action`` if for none."""
+    return _paragraph_kinds(spark, d).groupBy("kind").agg(F.count("*").alias("paragraphs"))
+
+
+def paragraph_actions_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs by day and kind of action, and the kind's share of the day's kinds; messages without a readable date are left out."""
+    rows = Stage(_paragraph_kinds(spark, d), "paragraph-kinds").df
+    date = messages_table(_raw(spark, d), F.col("raw_id"), F.col("payload")).select("record_id", F.try_to_timestamp("date").cast("date").alias("day")).where("day IS NOT NULL")
+    daily = rows.join(date, "record_id").groupBy("day", "kind").agg(F.count("*").alias("paragraphs"))
+    total = daily.groupBy("day").agg(F.sum("paragraphs").alias("_n"))
+    return daily.join(total, "day").select("day", "kind", "paragraphs", F.round(100.0 * F.col("paragraphs") / F.col("_n"), 6).alias("percent"))
+
+
+def session_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of the sessions' mean, least and spread of cohesion."""
+    return R.panels(Stage(An.session_cohesion(spark, d), "sessions").df, ["mean", "least", "deviation"])
+
+
+def session_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of each session against its mean distance."""
+    return An.session_cohesion(spark, d).select("campaign_id", "block", "posts", F.round(1 - F.col("mean"), 6).alias("distance"))
+
+
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Mean words of the same stretch of a game under each model, side by side."""
+    meta = table(spark, d, "campaign_meta").where("model IS NOT NULL").select("campaign_id", "campaign_name", "model")
+    # One row per model: few.
+    models = sorted(r.model for r in meta.select("model").distinct().collect())
+    t = turns(spark, d, "word_count").select("campaign_id", F.floor(F.col("turn_idx") / 50).alias("chunk_idx"), "word_count")
+    return R.compare_models(t.join(meta, "campaign_id"), ["campaign_name", "chunk_idx"], "model", "word_count", models)
+
+
+def histogram_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Words per message of campaigns by model and by whether players had personalities, in common bins."""
+    meta = table(spark, d, "campaign_meta").where("model IS NOT NULL").select("campaign_id", "model", "include_player_personalities")
+    return R.histogram(_sizes(spark, d).join(meta, "campaign_id"), F.col("words"), 10, group=["model", "include_player_personalities"])
 
 
 def paragraph_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -421,7 +460,7 @@ QUERIES = {f.__name__: f for f in (
     campaign_categories, category_pool, metadata_filter, histogram_linear, histogram_log, histogram_by_category, novelty_panels, metric_correlation,
     tidy_summary, metric_names, resolve_metric, topic_day_counts, type_transitions, top_transitions, cross_model_pivot, turn_distribution, first_sheets,
     character_players, name_conflicts, single_post_filter, manual_corrections, corrected_messages, player_posts_top, cache_miss, cache_status, cache_merge,
-    cache_roundtrip, flatten_messages, metadata_index, message_formats, paragraph_labels, paragraph_actions, paragraph_fallback, annotated_turns,
+    paragraph_actions_daily, session_panels, session_scatter, model_comparison, histogram_by_model, cache_roundtrip, flatten_messages, metadata_index, message_formats, paragraph_labels, paragraph_actions, paragraph_fallback, annotated_turns,
     annotated_episodes, message_embeddings, label_embeddings, player_scenes, player_diversity, character_pool, episode_rating_correlation, judge_summaries,
     judge_player_summaries, corrected_once, scene_diversity, linked_norms, system_prompts, simulated_games, turn_owners, events_daily, events_sliding, streamed_sessions,
 )}
@@ -452,6 +491,11 @@ _META = ", ".join(
     )
 )
 
+_KINDS = f"WITH {PARAGRAPHS}, {ACTIONS}, z AS (SELECT DISTINCT raw_id, k, CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(action_name), '{w}')" for w in words) + f" THEN '{name}'" for name, words in ACTION_KINDS
+) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2),
+kinds AS (SELECT raw_id, kind FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0)"""
+
 SQL = {
     "campaign_categories": f"WITH {_CATEGORY} SELECT * FROM k",
     "category_pool": f"""{_SIZES}, {_CATEGORY} SELECT category, count(DISTINCT campaign_id) AS campaigns, count(words) AS values, round(avg(words), 6) AS mean,
@@ -522,11 +566,19 @@ FROM r LEFT JOIN msg USING (raw_id) LEFT JOIN s USING (raw_id)""",
     "paragraph_fallback": f"WITH {PARAGRAPHS}, x AS (SELECT lower(q ->> '$.text') AS t FROM par) SELECT CASE WHEN contains(t, 'roll') OR contains(t, 'd20') OR contains(t, 'dice') THEN 'roll'"
     """ WHEN contains(t, 'says') OR contains(t, 'asks') OR contains(t, 'replies') OR contains(t, '"') OR contains(t, '''') THEN 'dialogue' WHEN contains(t, 'spell') OR contains(t, 'cast') OR contains(t, 'magic') THEN 'spells'
   WHEN contains(t, 'attack') OR contains(t, 'sword') OR contains(t, 'weapon') OR contains(t, 'hit') THEN 'weapon' ELSE 'none' END AS kind, count(*) AS paragraphs FROM x GROUP BY 1""",
-    "paragraph_actions": f"WITH {PARAGRAPHS}, {ACTIONS}, z AS (SELECT DISTINCT raw_id, k, CASE " + " ".join(
-        "WHEN " + " OR ".join(f"contains(lower(action_name), '{w}')" for w in words) + f" THEN '{name}'" for name, words in ACTION_KINDS
-    ) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2)
-SELECT kind, count(*) AS paragraphs FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0 GROUP BY 1""",
-    "streamed_sessions": _sessions("user_id", "ts", "SELECT user_id, event_id AS k, ts FROM events") + " FROM s GROUP BY user_id, sid",
+    "paragraph_actions": _KINDS + " SELECT kind, count(*) AS paragraphs FROM kinds GROUP BY 1",
+    "paragraph_actions_daily": _KINDS + """, dated AS (SELECT raw_id, CAST(TRY_CAST(p ->> '$.date' AS TIMESTAMP) AS DATE) AS day FROM msg)
+SELECT day, kind, count(*) AS paragraphs, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY day), 6) AS percent FROM kinds JOIN dated USING (raw_id) WHERE day IS NOT NULL GROUP BY 1, 2""",
+    "session_panels": " UNION ALL ".join(
+        f"SELECT '{c}' AS panel, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin, count(*) AS n FROM (SELECT {c} AS x, min({c}) OVER () AS lo, max({c}) OVER () AS hi FROM ({An.SQL['session_cohesion']})) GROUP BY 1, 2"
+        for c in ("mean", "least", "deviation")
+    ),
+    "session_scatter": f"SELECT campaign_id, block, posts, round(1 - mean, 6) AS distance FROM ({An.SQL['session_cohesion']})",
+    "model_comparison": f"""WITH {M}, x AS (SELECT campaign_name, turn_idx // 50 AS chunk_idx, model, round(avg(word_count), 6) AS v FROM m JOIN campaign_meta USING (campaign_id)
+  WHERE model IS NOT NULL GROUP BY 1, 2, 3) PIVOT x ON model USING first(v) GROUP BY campaign_name, chunk_idx""",
+    "histogram_by_model": f"""{_SIZES}, s AS (SELECT model, include_player_personalities, words AS y, min(words) OVER () AS lo, max(words) OVER () AS hi FROM z JOIN campaign_meta USING (campaign_id)
+  WHERE model IS NOT NULL AND words IS NOT NULL)
+SELECT model, include_player_personalities, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((y - lo) / ((hi - lo) / 9)), 8) END AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY 1, 2, 3""",
     "turn_owners": "SELECT t AS turn_idx, ['Ann', 'Bo', 'Cy'][CAST('0x' || substr(md5('20|' || t), 1, 8) AS BIGINT) % 3 + 1] AS character FROM range(1000) r(t)",
     "events_sliding": """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start FROM events, range(4) r(k))
 SELECT start, start + INTERVAL 1 DAY AS "end", event_type, count(*) AS n FROM w GROUP BY 1, 2, 3""",
