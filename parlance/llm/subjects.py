@@ -95,13 +95,18 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(first, append=len(x))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Lists of 32-bit numbers as bytes, which tables and tasks hand on without looking at single numbers."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * 4
+    held = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.astype(np.int32, copy=False).tobytes())]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), held)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column one after another, and the length of each list."""
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+def _flat(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of lists one after another, and the length of each list."""
+    _, ends, held = column.buffers()
+    at = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(held or b"", dtype=np.int32)[at[0] // 4 : at[-1] // 4], np.diff(at) // 4
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,7 @@ def _parse(docs: DataFrame) -> DataFrame:
                 ["doc_id", "lang", "words", "ends"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang int, words array<int>, ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang int, words binary, ends binary")
 
 
 @dataclass
@@ -271,7 +276,7 @@ def _encode(parsed: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang", "ids", "ends", "cols", "counts"],
             )
 
-    return parsed.mapInArrow(run, "doc_id long, lang int, ids array<int>, ends array<int>, cols array<int>, counts array<int>")
+    return parsed.mapInArrow(run, "doc_id long, lang int, ids binary, ends binary, cols binary, counts binary")
 
 
 def _matrix(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,7 +380,7 @@ def _embed(batch: pa.RecordBatch, load: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Vectors of all sentences of the documents, and each sentence's document."""
     ids, n_ids = _flat(batch.column("ids"))
     ends, counts = _flat(batch.column("ends"))
-    y, doc = np.zeros((len(ends), load.shape[1])), np.repeat(np.arange(batch.num_rows), counts)
+    y, doc = np.zeros((len(ends), load.shape[1]), dtype=np.float32), np.repeat(np.arange(batch.num_rows), counts)
     if len(ends):
         # Ends count from the document's start.
         at = ends + np.r_[0, np.cumsum(n_ids)[:-1]][doc]
