@@ -37,7 +37,9 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 TOKEN = re.compile(r"""[^\W\d_]+|[.!?…]["'”’»)\]}]*(?=\s)|\n""")
 #: The number that stands for the end of a sentence.
 END = 0
-COMPONENTS, SPARE, PASSES = 24, 10, 5
+COMPONENTS, SPARE, PASSES = 24, 10, 8
+#: Passes end when the variance that the space explains grows by less than this share in every language.
+SETTLED = 0.03
 #: Places of the hashed terms of one language.
 WIDTH_BITS = 17
 WIDTH = 1 << WIDTH_BITS
@@ -340,6 +342,7 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
 
     q = orthonormal(np.random.default_rng(0).standard_normal((n, width)))
     last = z = q
+    explained = np.zeros(len(LANGUAGES))
     for step in range(PASSES):
         sent = context.broadcast(q.astype(np.float32))
 
@@ -362,8 +365,11 @@ def _space(coded: DataFrame, model: Model, size: np.ndarray, opt: Options) -> No
             z = z[:, :width].copy()
         for i, rows in enumerate(own):
             z[rows] -= size[i] * np.outer(mean[rows], mean[rows] @ q[rows])
+        before, explained = explained, np.array([(q[rows] * z[rows]).sum() for rows in own])
         last, q = q, orthonormal(z)
         sent.unpersist()
+        if (explained - before <= SETTLED * explained).all():
+            break
     model.load = np.zeros((n, COMPONENTS), dtype=np.float32)
     for rows in own:
         if not len(rows):
@@ -465,7 +471,9 @@ def assign(coded: DataFrame, model: Model, subjects: list[str], opt: Options | N
         load, centroids = held.value
         for batch in _slices(batches):
             y, doc = _embed(batch, load)
-            cosine = np.einsum("ij,ikj->ik", _unit(y), centroids[batch.column("lang").to_numpy()[doc]])
+            langs, cosine = batch.column("lang").to_numpy()[doc], np.zeros((len(y), len(subjects)))
+            for lang in range(len(LANGUAGES)):
+                cosine[langs == lang] = _unit(y[langs == lang]) @ centroids[lang].T
             about = (np.linalg.norm(y, axis=1) > opt.energy) & (cosine.max(axis=1, initial=0) > opt.cosine)
             hits = np.zeros((batch.num_rows, len(subjects)), dtype=np.int64)
             np.add.at(hits, (doc[about], cosine[about].argmax(axis=1)), 1)
