@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parlance.functions.times import hours_between, micros_between
-from parlance.operators.order import previous, running_sum
+from parlance.operators.order import large, previous, running_sum
 
 DAY_MICROS = 86_400_000_000
 #: Places of a conversation that are worked on together.
@@ -20,6 +20,43 @@ def statistics(value: Column, prefix: str = "") -> list[Column]:
     ]
 
 
+#: Rows of a campaign whose values one buffer may hold; with more, the middle is found by counting.
+BUFFERED = 1_000_000
+BINS = 1_024
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, into: str, least: int | None = None) -> DataFrame:
+    """``keys, into``: the exact median of the non-null values, however many a campaign (the first key) has.
+
+    Values of most campaigns are few and are sorted in a buffer.  Those of the others, which are fewer than
+    ``order.MOST_LARGE``, are counted in bins; only bins with the middle are looked at value by value.
+    """
+    there = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    many = [r[0] for r in large(there, keys[0], BUFFERED if least is None else least).collect()]
+    plain = lambda df: df.groupBy(*keys).agg(F.median("_v").alias(into))
+    if not many:
+        return plain(there)
+    heavy = F.col(keys[0]).isin(many)
+    limits = there.where(heavy).groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    at = F.coalesce(F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(BINS - 1)), F.lit(0))
+    placed = there.where(heavy).join(limits, keys).select(*keys, "_v", "_n", at.alias("_bin"))
+
+    def around(counted: DataFrame, within: list[str], order: str, start: Column) -> DataFrame:
+        """Rows that hold the middle place or places, by the counts ``_c`` in their order."""
+        up_to = start + F.sum("_c").over(W.partitionBy(*within).orderBy(order))
+        held = counted.withColumn("_end", up_to).withColumn("_before", F.col("_end") - F.col("_c"))
+        first, second = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+        return held.where((F.col("_before") < second) & (F.col("_end") >= first))
+
+    bins = around(placed.groupBy(*keys, "_n", "_bin").agg(F.count("*").alias("_c")), keys, "_bin", F.lit(0))
+    close = placed.join(bins.select(*keys, "_bin", F.col("_before").alias("_start")), [*keys, "_bin"])
+    counted = close.groupBy(*keys, "_n", "_bin", "_start", "_v").agg(F.count("*").alias("_c"))
+    middle = around(counted, [*keys, "_bin"], "_v", F.col("_start"))
+    found = middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(into))
+    return plain(there.where(~heavy)).unionByName(found)
+
+
 def intervals(turns: DataFrame, keys: list[str]) -> DataFrame:
     """Hours since the previous dated message of the same keys; the first of each has null."""
     dated = turns.where(F.col("date").isNotNull())
@@ -29,9 +66,16 @@ def intervals(turns: DataFrame, keys: list[str]) -> DataFrame:
     return before.withColumn("hours", hours_between(F.col("date_before"), F.col("date")))
 
 
-def interval_statistics(turns: DataFrame, keys: list[str]) -> DataFrame:
-    stats = [c for c in statistics(F.col("hours")) if True]
-    return intervals(turns, keys).where("hours IS NOT NULL").groupBy(*keys).agg(*stats[:3], stats[4])
+def interval_statistics(turns: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
+    """Mean, exact median, sample deviation and number of the hours between messages.
+
+    ``source``: the messages before they were ordered, for counting them at less cost.
+    """
+    hours = intervals(turns, keys).where("hours IS NOT NULL")
+    mean, _, deviation, _, count = statistics(F.col("hours"))
+    if not large(turns if source is None else source, keys[0], BUFFERED).isEmpty():
+        return hours.groupBy(*keys).agg(mean, deviation, count).join(medians(hours, keys, "hours", "median").withColumn("median", F.round("median", 6)), keys)
+    return hours.groupBy(*keys).agg(*statistics(F.col("hours"))[:3], count)
 
 
 def length_statistics(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,13 +153,13 @@ def summary_report(turns: DataFrame) -> DataFrame:
     return joined.withColumn("per_day", F.round(F.col("messages") / F.greatest(F.coalesce("days", F.lit(0)), F.lit(1)), 6))
 
 
-def campaign_bundle(turns: DataFrame) -> DataFrame:
+def campaign_bundle(turns: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """One row per campaign with the headline figures of length, rhythm and dice."""
     flat = turns.groupBy("campaign_id").agg(
         *statistics(F.col("word_count"), "words_")[:2], F.count("*").alias("messages"), F.count_distinct("player").alias("players"),
         F.round(100.0 * F.count_if("has_dice_roll") / F.count("*"), 6).alias("dice_percent"),
     )
-    rhythm = interval_statistics(turns, ["campaign_id"]).select("campaign_id", F.col("mean").alias("hours_mean"), F.col("median").alias("hours_median"))
+    rhythm = interval_statistics(turns, ["campaign_id"], source).select("campaign_id", F.col("mean").alias("hours_mean"), F.col("median").alias("hours_median"))
     return flat.join(rhythm, "campaign_id", "left")
 
 

@@ -15,11 +15,11 @@ PERCENT = "round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6)"
 
 
 def time_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return B.interval_statistics(turns(spark, d), ["campaign_id"])
+    return B.interval_statistics(turns(spark, d), ["campaign_id"], table(spark, d, "campaign_messages"))
 
 
 def time_intervals_by_player(spark: SparkSession, d: str) -> DataFrame:
-    return B.interval_statistics(turns(spark, d, "player"), ["campaign_id", "player"])
+    return B.interval_statistics(turns(spark, d, "player"), ["campaign_id", "player"], table(spark, d, "campaign_messages"))
 
 
 def interval_series(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def summary_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def campaign_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return B.campaign_bundle(stored_turns(spark, d, "player", "word_count", "has_dice_roll"))
+    return B.campaign_bundle(stored_turns(spark, d, "player", "word_count", "has_dice_roll"), table(spark, d, "campaign_messages"))
 
 
 def campaign_sizes(spark: SparkSession, d: str) -> DataFrame:

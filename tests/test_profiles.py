@@ -75,6 +75,19 @@ def test_rolling_means_over_borders(spark, monkeypatch):
     assert got == {i: round(sum(x[i - 3 : i + 3]) / 6, 6) if 3 <= i <= 37 else None for i in range(40)}
 
 
+@pytest.mark.parametrize("bins", [1, 3, 64])
+def test_medians_by_counting(spark, monkeypatch, bins):
+    monkeypatch.setattr(basic, "BINS", bins)
+    rng = np.random.default_rng(bins)
+    rows = [(f"c{c}", f"p{i % 2}", None if i % 11 == 5 else float(rng.integers(0, 9)) ** 2) for c, n in enumerate((1, 2, 7, 30, 61)) for i in range(n)] + [("same", "p", 2.0)] * 8
+    df = spark.createDataFrame(rows, "c string, p string, v double")
+    for keys in (["c"], ["c", "p"]):
+        want = sorted(map(tuple, df.where("v IS NOT NULL").groupBy(*keys).agg(F.median("v")).collect()))
+        assert sorted(map(tuple, basic.medians(df, keys, "v", "m", least=20).collect())) == want
+        assert sorted(map(tuple, basic.medians(df, keys, "v", "m", least=0).collect())) == want
+    assert basic.medians(df.limit(0), ["c"], "v", "m").count() == 0
+
+
 def test_payloads_are_unwrapped_to_any_depth():
     import json
 
