@@ -34,14 +34,23 @@ def load_campaigns(
     max_campaigns: int | None = None,
     filter_by: dict[str, object] | None = None,
     settings: Settings = DEFAULTS,
+    corpora: dict[str, str] | None = None,
 ) -> DataFrame:
     """Messages of the conversation files in one folder, or in several with the first one preferred.
 
+    ``corpora`` names folders, in order of preference.  ``source`` may then be one of these names, or names of
+    conversations (without a slash), which are looked for in all of them.
     ``max_campaigns`` limits the sorted files before conversations of fewer than ``settings.min_turns`` messages drop
     out.  ``filter_by`` selects by the metadata in the files; a list means any of its values.  A folder without
     messages gives an empty result.
     """
     folders = [source] if isinstance(source, str) else list(source)
+    if corpora and all("/" not in f for f in folders):
+        known = [f for f in folders if f in corpora]
+        if known and len(known) < len(folders):
+            raise ValueError(f"neither names of corpora nor of conversations: {', '.join(folders)}")
+        names = names if known else folders
+        folders = [corpora[f] for f in known] or list(corpora.values())
     rows = campaigns.message_rows(campaigns.read_files(spark, folders, names, max_campaigns))
     if filter_by:
         rows = campaigns.matching(rows, campaigns.metadata_index(rows), filter_by)

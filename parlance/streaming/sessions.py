@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -40,22 +41,34 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def summaries_due(events: DataFrame, chunk: int = 50, verbatim: int = 50) -> DataFrame:
-    """Chunks of a user's events that fall due for a summary, counted in the order of arrival.
+class _Due(StatefulProcessor):
+    """Counts a key's events and tells which chunks fall due; the state is one pair of counters per key."""
 
-    The state is one pair of counters per user.
-    """
+    def __init__(self, chunk: int, verbatim: int):
+        self.chunk, self.verbatim = chunk, verbatim
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done = state.get if state.exists else (0, 0)
-        seen += sum(len(b) for b in batches)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "seen long, done long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        seen, done = self.counts.get() if self.counts.exists() else (0, 0)
+        seen += sum(len(b) for b in rows)
         out = []
-        while (done + 1) * chunk <= seen and seen - (done + 1) * chunk >= verbatim:
-            out.append((key[0], done * chunk, (done + 1) * chunk - 1))
+        while (done + 1) * self.chunk <= seen and seen - (done + 1) * self.chunk >= self.verbatim:
+            out.append((key[0], done * self.chunk, (done + 1) * self.chunk - 1))
             done += 1
-        state.update((seen, done))
+        self.counts.update((seen, done))
         yield pd.DataFrame(out, columns=["user_id", "chunk_start", "chunk_end"])
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, chunk_start long, chunk_end long", "seen long, done long", "append", GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
+
+
+def summaries_due(events: DataFrame, chunk: int = 50, verbatim: int = 50) -> DataFrame:
+    """Chunks of a user's events that fall due for a summary, counted in the order of arrival.
+
+    Needs the state store ``STATE_STORE`` as ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    return events.groupBy("user_id").transformWithStateInPandas(
+        _Due(chunk, verbatim), outputStructType="user_id long, chunk_start long, chunk_end long", outputMode="Append", timeMode="None"
     )

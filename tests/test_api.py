@@ -24,3 +24,19 @@ def test_load_and_analyze(spark, tmp_path):
     assert all(df.count() > 0 for tables in results.values() for df in tables.values())
     with pytest.raises(ValueError):
         api.analyze(turns, ["nope"])
+
+
+def test_named_corpora(spark, tmp_path):
+    for kind, names in (("human", ("a", "b")), ("llm", ("b", "c"))):
+        (tmp_path / kind).mkdir()
+        for n in names:
+            (tmp_path / kind / f"{n}.json").write_text(json.dumps({str(i): {"text": f"{kind} {i}"} for i in range(6)}))
+    corpora = {k: str(tmp_path / k) for k in ("human", "llm")}
+
+    def got(source):
+        return {(r.campaign_id, r.text.split()[0]) for r in api.load_campaigns(spark, source, corpora=corpora).select("campaign_id", "text").collect()}
+
+    assert got("llm") == {("b", "llm"), ("c", "llm")} and got(["human", "llm"]) == {("a", "human"), ("b", "human"), ("c", "llm")}
+    assert got("b") == {("b", "human")} and got(["b", "c"]) == {("b", "human"), ("c", "llm")}
+    with pytest.raises(ValueError):
+        got(["human", "c"])

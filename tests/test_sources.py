@@ -42,6 +42,7 @@ def test_corrections_file(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", Z.STATE_STORE)
     data = [(i, f"2024-01-0{1 + i // 60} {i % 24:02d}:00:00", i % 3, "post", 1.0, "{}") for i in range(120)] + [(0, "2024-01-01 00:00:00", 0, "post", 1.0, "{}"), (999, "2024-01-20 00:00:00", 0, "post", 1.0, "{}")]
     spark.createDataFrame(data, "event_id long, t string, user_id long, event_type string, value double, props string").select(
         "event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props"
