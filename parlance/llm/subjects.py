@@ -66,9 +66,9 @@ class Options:
     refinements: int = 6
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words and ends of sentences; escaped characters are read as what they stand for."""
-    return TOKEN.findall(html.unescape(text).lower())
+def pieces(text: str) -> list[str]:
+    """The text in lower case between its spaces; escaped characters are read as what they stand for."""
+    return html.unescape(text).lower().split(" ")
 
 
 class WordIds(dict):
@@ -80,6 +80,28 @@ class WordIds(dict):
         return n
 
 
+class Pieces(dict):
+    """Number of every distinct piece between spaces, each of which is taken apart once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ids, self.sizes, self.flat = WordIds(), [], []
+
+    def __missing__(self, piece: str) -> int:
+        # A space follows, by which a mark at the end is told to end a sentence.
+        found = TOKEN.findall(piece + " ")
+        self[piece] = n = len(self.sizes)
+        self.sizes.append(len(found))
+        self.flat += map(self.ids.__getitem__, found)
+        return n
+
+    def expand(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and ends of pieces one after another, and how many each piece has."""
+        sizes, flat = np.array(self.sizes, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
+        start, n = np.cumsum(sizes) - sizes, sizes[numbers]
+        return flat[np.arange(n.sum()) + np.repeat(start[numbers] - (np.cumsum(n) - n), n)], n
+
+
 _IDS = WordIds()
 _FUNCTION_IDS = [np.array(sorted(_IDS[w] for w in words), dtype=np.uint32) for words in FUNCTION_WORDS.values()]
 
@@ -122,18 +144,18 @@ def _parse(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, words, ends``: numbers of a document's words, and where its sentences end among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
+        known = Pieces()
         for batch in _slices(batches):
-            if len(ids) > 1_000_000:
-                ids.clear()
+            if len(known) > 200_000:
+                known = Pieces()
             held: list[int] = []
             sizes = []
             for t in batch.column("text").to_pylist():
-                found = tokens(t)
-                held += map(ids.__getitem__, found)
+                found = pieces(t)
+                held += map(known.__getitem__, found)
                 sizes.append(len(found))
-            every = np.array(held, dtype=np.uint32)
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
+            every, n = known.expand(np.array(held, dtype=np.int64))
+            doc = np.repeat(np.repeat(np.arange(batch.num_rows), sizes), n)
             # Numbers of sentences over the whole slice; one begins with every document and after every end.
             begins = np.zeros(len(every), dtype=bool)
             begins[np.flatnonzero(np.diff(doc, prepend=-1))] = True

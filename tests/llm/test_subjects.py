@@ -43,16 +43,16 @@ def sentences(text):
 
 
 @settings(max_examples=300)
-@given(st.text(st.sampled_from("ab é.!?…\"')\n\t 1_-&"), max_size=80))
+@given(st.text(st.sampled_from("ab é.!?…\"')\n\t\xa0 1_-&"), max_size=80))
 def test_tokens_make_the_plain_sentences(text):
-    found, one = [], []
-    for t in [*S.tokens(text), "\n"]:
-        if t[0].isalpha():
-            one.append(t)
-        elif one:
-            found.append(one)
-            one = []
-    assert found == sentences(text)
+    known, found = S.Pieces(), [[]]
+    every, _ = known.expand(np.array([known[p] for p in S.pieces(text)], dtype=np.int64))
+    for n in every.tolist():
+        if n == S.END:
+            found.append([])
+        else:
+            found[-1].append(n)
+    assert [f for f in found if f] == [[S._IDS[w] for w in one] for one in sentences(text)]
 
 
 def test_languages():
