@@ -19,7 +19,7 @@ def gap_sessions(
     at: Column,
     identity: tuple[Column, ...] = (),
     gap_seconds: int = 6 * 3600,
-    chunk_hours: int = 720,
+    chunk_days: float = 30,
 ) -> DataFrame:
     """Sessions ``(user, started_at, ended_at, n_events, duration_seconds)`` of every user.
 
@@ -29,7 +29,7 @@ def gap_sessions(
     * Work is split by ``(user, time chunk)``: local sessions are built inside each chunk, so a user with a third
       of all rows is spread over as many tasks as that user has chunks.  Only the first and last local session of
       a chunk can touch a neighbour; the merge window therefore sees at most two rows per user and chunk, a number
-      bounded by the time span and not by the volume.
+      bounded by the time span and not by the volume.  ``chunk_days`` may be a fraction, down to an hour.
     * ``identity``: columns that name an event.  Rows that agree in them and in user and time are one event
       loaded repeatedly and count once; a row with a null identity column stands for itself.  Copies share their
       time, hence their chunk, so they vanish inside the same shuffle that builds the sessions.
@@ -39,7 +39,7 @@ def gap_sessions(
     keys = [c.alias(f"k{i}") for i, c in enumerate(identity)]
     base = events.select(user.alias("u"), at.cast("timestamp_ntz").alias("t"), *keys)
     base = base.where(F.col("u").isNotNull() & F.col("t").isNotNull())
-    base = base.withColumn("chunk", F.floor((F.unix_date(F.col("t").cast("date")) * 24 + F.hour("t")) / chunk_hours).cast("int"))
+    base = base.withColumn("chunk", F.floor((F.unix_date(F.col("t").cast("date")) * 24 + F.hour("t")) / max(1, round(24 * chunk_days))).cast("int"))
 
     names = [f"k{i}" for i in range(len(identity))]
     local = W.partitionBy("u", "chunk").orderBy("t", *names)

@@ -117,7 +117,7 @@ def block_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def campaign_gap_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of a campaign by silence of more than six hours; a campaign may be as dense as the whole table."""
-    s = gap_sessions(table(spark, d, "campaign_messages"), F.col("campaign_id"), F.col("date"), (F.col("message_id"),), chunk_hours=3)
+    s = gap_sessions(table(spark, d, "campaign_messages"), F.col("campaign_id"), F.col("date"), (F.col("message_id"),), chunk_days=1 / 8)
     return s.select(F.col("user").alias("campaign_id"), "started_at", "ended_at", "n_events")
 
 

@@ -180,7 +180,7 @@ def flatten_messages(spark: SparkSession, d: str) -> DataFrame:
     flat = S.flatten(rows)
     return flat.select(
         F.col("ordinal").alias("raw_id"), "player", "character", F.md5("text").alias("text_md5"), "label_counts.in_character", "label_counts.out_of_character",
-        "label_counts.mixed", "label_counts.unlabeled", F.size("name_mentions").alias("mentions"), F.coalesce(F.size("paragraph_actions"), F.lit(0)).alias("n_actions"),
+        "label_counts.mixed", "label_counts.unlabeled", F.size("name_mentions").alias("mentions"), F.array_join("paragraph_actions", ",").alias("paragraph_actions"),
     )
 
 
@@ -496,6 +496,13 @@ _KINDS = f"WITH {PARAGRAPHS}, {ACTIONS}, z AS (SELECT DISTINCT raw_id, k, CASE "
 ) + """ ELSE 'no_action' END AS kind FROM every), n AS (SELECT raw_id, k, count(*) FILTER (WHERE kind <> 'no_action') AS named FROM z GROUP BY 1, 2),
 kinds AS (SELECT raw_id, kind FROM z JOIN n USING (raw_id, k) WHERE kind <> 'no_action' OR named = 0)"""
 
+_ACTION = "CASE WHEN json_type({x}) = 'VARCHAR' THEN {x} ->> '$' ELSE CAST(json({x}) AS VARCHAR) END"
+#: The kind of action a paragraph's lower-cased text suggests.
+_CLASS = "CASE " + " ".join(
+    "WHEN " + " OR ".join("contains(low, '{}')".format(w.replace("'", "''")) for w in words) + f" THEN '{name}'"
+    for name, words in (("roll", ROLL_WORDS), ("dialogue", SPEECH_WORDS), ("spells", SPELL_WORDS), ("weapon", WEAPON_WORDS))
+) + " END"
+
 SQL = {
     "campaign_categories": f"WITH {_CATEGORY} SELECT * FROM k",
     "category_pool": f"""{_SIZES}, {_CATEGORY} SELECT category, count(DISTINCT campaign_id) AS campaigns, count(words) AS values, round(avg(words), 6) AS mean,
@@ -555,11 +562,12 @@ SELECT campaign_id, min(turn_idx) AS start_turn, max(turn_idx) AS end_turn, coun
 f AS (SELECT raw_id, k, q, q ->> '$.text' AS t, q ->> '$.label' AS l, lower(q ->> '$.text') AS low, a FROM par),
 s AS (SELECT raw_id, string_agg(t, ' ' ORDER BY CASE WHEN regexp_full_match(k, '[0-9]+') THEN CAST(k AS BIGINT) ELSE 0 END, k) AS text,
   count(*) FILTER (WHERE l = 'in-character') AS i, count(*) FILTER (WHERE l = 'out-of-character') AS o, count(*) FILTER (WHERE l = 'mixed') AS m, count(*) AS n,
-  sum(CASE WHEN json_type(a) = 'ARRAY' THEN len(list_filter(CAST(a AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'NULL')) WHEN coalesce(json_type(a), 'NULL') IN ('VARCHAR', 'OBJECT') THEN 1
-    WHEN {" OR ".join(f"contains(low, '{w.replace(chr(39), chr(39) * 2)}')" for w in ROLL_WORDS + SPEECH_WORDS + SPELL_WORDS + WEAPON_WORDS)} THEN 1 ELSE 0 END) AS acts FROM f GROUP BY 1)
+  string_agg(acts, ',' ORDER BY CASE WHEN regexp_full_match(k, '[0-9]+') THEN CAST(k AS BIGINT) ELSE 0 END, k) FILTER (WHERE acts <> '') AS acts FROM (
+    SELECT *, CASE WHEN json_type(a) = 'ARRAY' THEN array_to_string(list_transform(list_filter(CAST(a AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') <> 'NULL'), lambda x: {_ACTION.format(x="x")}), ',')
+      WHEN coalesce(json_type(a), 'NULL') IN ('VARCHAR', 'OBJECT') THEN {_ACTION.format(x="a")} ELSE coalesce({_CLASS}, '') END AS acts FROM f) GROUP BY 1)
 SELECT r.raw_id, p ->> '$.player' AS player, p ->> '$.character' AS character, CASE WHEN old THEN md5(p ->> '$.text') ELSE md5(coalesce(s.text, CASE WHEN json_type(ps) IN ('OBJECT', 'ARRAY') THEN '' END)) END AS text_md5,
   coalesce(i, 0) AS in_character, coalesce(o, 0) AS out_of_character, coalesce(m, 0) AS mixed, CASE WHEN old THEN 1 ELSE coalesce(n - i - o - m, 0) END AS unlabeled,
-  CASE WHEN json_type(p, '$.name_mentions') = 'ARRAY' THEN json_array_length(p, '$.name_mentions') ELSE 0 END AS mentions, CAST(coalesce(acts, 0) AS INTEGER) AS n_actions
+  CASE WHEN json_type(p, '$.name_mentions') = 'ARRAY' THEN json_array_length(p, '$.name_mentions') ELSE 0 END AS mentions, CASE WHEN NOT old AND json_type(ps) IN ('OBJECT', 'ARRAY') THEN coalesce(acts, '') END AS paragraph_actions
 FROM r LEFT JOIN msg USING (raw_id) LEFT JOIN s USING (raw_id)""",
     "message_formats": f"WITH {PARAGRAPHS} SELECT CASE WHEN old THEN 'old' ELSE 'new' END AS format, count(*) AS messages FROM msg GROUP BY 1",
     "paragraph_labels": f"WITH {PARAGRAPHS} SELECT {LABEL} AS label, count(*) AS paragraphs FROM par GROUP BY 1",

@@ -130,5 +130,5 @@ def test_once_takes_the_first_load(spark):
 
 def test_sessions_do_not_depend_on_the_chunk(spark):
     events = spark.createDataFrame([(f"u{i % 3}", i * i * 977 % 500_000) for i in range(400)], "u string, s int").selectExpr("u", "timestamp_ntz'1969-12-30 00:00:00' + make_dt_interval(0, 0, 0, s) AS t")
-    got = [sorted(map(tuple, gap_sessions(events, F.col("u"), F.col("t"), gap_seconds=1800, chunk_hours=h).collect())) for h in (1, 5, 720)]
+    got = [sorted(map(tuple, gap_sessions(events, F.col("u"), F.col("t"), gap_seconds=1800, chunk_days=h / 24).collect())) for h in (1, 5, 720)]
     assert got[0] == got[1] == got[2] and len(got[0]) > 20
