@@ -227,14 +227,20 @@ SELECT c.*, coalesce(episodes, 0) AS episodes, {', '.join(f'coalesce({x}, 0) AS
 
 
 #: The offline encoder: signed counts of words by the first digits of their MD5 sum, scaled to unit length.
-VECTORS = r"""t AS (SELECT row_id, CASE WHEN regexp_full_match(coalesce(text, ''), '[\s\x{1c}-\x{1f}\x{85}\x{a0}]*') THEN '[EMPTY]' ELSE text END AS text FROM campaign_messages),
-w AS (SELECT row_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda x: x <> '')) AS w FROM t),
+def vectors_sql(source: str) -> str:
+    """SQL of ``row_id, vector`` for the texts of ``source(row_id, text)``."""
+    return rf"""WITH src AS ({source}),
+t AS (SELECT row_id, CASE WHEN regexp_full_match(coalesce(text, ''), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]*') THEN '[EMPTY]' ELSE text END AS text FROM src),
+w AS (SELECT row_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\v\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+'), lambda x: x <> '')) AS w FROM t),
 b AS (SELECT row_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w),
 s AS (SELECT row_id, h % 64 AS i, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM b GROUP BY 1, 2),
 z AS (SELECT row_id, sqrt(sum(x * x)) AS z FROM s GROUP BY 1),
 v AS (SELECT t.row_id, k AS i, CAST(coalesce(CASE WHEN z = 0 THEN x ELSE x / z END, 0) AS FLOAT) AS x
-  FROM (SELECT row_id, unnest(range(64)) AS k FROM t) t LEFT JOIN s ON s.row_id = t.row_id AND s.i = k LEFT JOIN z ON z.row_id = t.row_id)"""
-VECTOR_SQL = f"WITH {VECTORS} SELECT row_id, string_agg(CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM v GROUP BY 1"
+  FROM (SELECT row_id, unnest(range(64)) AS k FROM t) t LEFT JOIN s ON s.row_id = t.row_id AND s.i = k LEFT JOIN z ON z.row_id = t.row_id)
+SELECT row_id, string_agg(CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM v GROUP BY 1"""
+
+
+VECTOR_SQL = vectors_sql("SELECT row_id, text FROM campaign_messages")
 
 _CORRECTED = f"""{M}, o AS (SELECT campaign_id, old_name, min(new_name) AS new_name FROM name_corrections GROUP BY 1, 2),
 x AS (SELECT m.campaign_id, message_id, player, coalesce(new_name, character) AS character FROM m LEFT JOIN o ON o.campaign_id = m.campaign_id AND o.old_name = m.character),

@@ -14,7 +14,7 @@ from parlance.operators.shred import actions_table, clean_label, messages_table,
 from parlance.plans import analysis as An
 from parlance.plans.base import M, messages, turns
 from parlance.plans.basic import _sessions
-from parlance.plans.families import VECTOR_SQL, vector_text
+from parlance.plans.families import VECTOR_SQL, vector_text, vectors_sql
 from parlance.plans.records import ACTIONS, LABEL, PARAGRAPHS
 from parlance.session import Stage, shared_folder
 from parlance.sources import campaigns as S
@@ -297,7 +297,7 @@ def scene_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 def label_embeddings(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "campaign_messages").select("row_id", *Mo.LABEL_TEXTS.values())
-    return Mo.embed_labels(t, ["row_id"]).select("row_id", "label", F.size("vector").alias("size"), F.round(F.element_at("vector", 1), 6).alias("first"))
+    return Mo.embed_labels(t, ["row_id"]).select("row_id", "label", vector_text(F.col("vector")).alias("vector"))
 
 
 def player_scenes(spark: SparkSession, d: str) -> DataFrame:
@@ -587,6 +587,14 @@ SELECT day, kind, count(*) AS paragraphs, round(100.0 * count(*) / sum(count(*))
     "histogram_by_model": f"""{_SIZES}, s AS (SELECT model, include_player_personalities, words AS y, min(words) OVER () AS lo, max(words) OVER () AS hi FROM z JOIN campaign_meta USING (campaign_id)
   WHERE model IS NOT NULL AND words IS NOT NULL)
 SELECT model, include_player_personalities, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((y - lo) / ((hi - lo) / 9)), 8) END AS INTEGER) AS bin, count(*) AS n FROM s GROUP BY 1, 2, 3""",
+    "label_embeddings": "SELECT CAST(split_part(row_id, '|', 1) AS BIGINT) AS row_id, split_part(row_id, '|', 2) AS label, vector FROM (" + vectors_sql(" UNION ALL ".join(
+        f"SELECT row_id || '|{label}' AS row_id, {column} AS text FROM campaign_messages WHERE length({column}) > 0" for label, column in Mo.LABEL_TEXTS.items()
+    )) + ")",
+    "episode_rating_correlation": An._A + r""", x AS (SELECT e.campaign_id, start_turn, any_value(rating) AS rating, sum(len(list_filter(regexp_split_to_array(
+  'Turn ' || turn_idx || ' - ' || coalesce(character, '') || ': ' || coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> ''))) AS words
+  FROM e JOIN m ON m.campaign_id = e.campaign_id AND turn_idx BETWEEN start_turn AND end_turn GROUP BY 1, 2)
+SELECT 'words' AS a, 'rating' AS b, round(corr(words, rating), 6) AS r FROM x""",
+    "streamed_sessions": _sessions("user_id", "ts", "SELECT user_id, event_id AS k, ts FROM events") + " FROM s GROUP BY user_id, sid",
     "turn_owners": "SELECT t AS turn_idx, ['Ann', 'Bo', 'Cy'][CAST('0x' || substr(md5('20|' || t), 1, 8) AS BIGINT) % 3 + 1] AS character FROM range(1000) r(t)",
     "events_sliding": """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS start FROM events, range(4) r(k))
 SELECT start, start + INTERVAL 1 DAY AS "end", event_type, count(*) AS n FROM w GROUP BY 1, 2, 3""",
